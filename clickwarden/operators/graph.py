@@ -54,7 +54,7 @@ def node_degrees(edges: DataFrame, root: str = ROOT_PATH) -> DataFrame:
 
 def bfs_depths(edges: DataFrame, root: str = ROOT_PATH) -> DataFrame:
     """Hops from the root to every page it reaches, one round of joins per depth."""
-    links = edges.select("source", "target")
+    links = checkpointed(edges.select("source", "target"))
     reached = checkpointed(
         edges.sparkSession.range(1).select(F.lit(root).alias("path"), F.lit(0).alias("depth"))
     )
@@ -77,6 +77,7 @@ def bfs_depths(edges: DataFrame, root: str = ROOT_PATH) -> DataFrame:
 
 def graph_nodes(edges: DataFrame, categories: DataFrame | None = None, root: str = ROOT_PATH) -> DataFrame:
     """Nodes with category, depth (-1 when unreached), degrees and leaf flag."""
+    edges = checkpointed(edges.select("source", "target"))
     nodes = node_degrees(edges, root).join(bfs_depths(edges, root), "path", "left")
     category = path_category(F.col("path"))
     if categories is not None:
@@ -108,7 +109,7 @@ def hop_distances(pairs: DataFrame, edges: DataFrame) -> DataFrame:
     Equal ends are 0 and direct links 1 by a join. Only the remaining pairs search, all sources at
     once, a round of joins per hop; a source stops as soon as its last target is found.
     """
-    links = edges.select("source", "target").distinct()
+    links = checkpointed(edges.select("source", "target").distinct())
     direct = (
         pairs.join(links.withColumn("linked", F.lit(1)), ["source", "target"], "left")
         .withColumn("hops", F.when(F.col("source") == F.col("target"), 0).when(F.col("linked") == 1, 1))

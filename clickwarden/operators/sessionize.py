@@ -17,9 +17,19 @@ from ..constants import LABELS, REQUIRED_SESSION_REQUEST_COLUMNS, SESSION_TIMEOU
 from ..functions.paths import is_page_path, normalize_path, path_category
 from ..functions.values import blank_to_null, int_or_null, text_or_null
 
+# rows of one key that a single task may order; None when no key can have more
 HOT_ROWS = 1_000_000
 MAX_HOT_KEYS = 100_000
 
+_EVENT = "struct<path:string,page_category:string>"
+_CARRY = {
+    "c_breaks": "bigint", "c_rows_before": "bigint", "c_breaks_before": "bigint", "c_open_start": "bigint",
+    "c_last_time": "double", "c_last": _EVENT, "c_last2": _EVENT,
+    "c_agent": "struct<position:bigint,user_agent:string>",
+    "c_head_n": "bigint", "c_tail_n": "bigint", "c_head_vote_min": "string", "c_tail_vote_min": "string",
+    "c_head_vote_max": "string", "c_tail_vote_max": "string",
+}
+
 
 def client_key(df: DataFrame) -> Column:
     """cookie_id or client_id when present, else address and agent."""
@@ -54,7 +64,7 @@ def sessionize(
     drop_assets: bool = True,
     min_length: int = 2,
     tie_breaker: str | None = None,
-    hot_rows: int = HOT_ROWS,
+    hot_rows: int | None = HOT_ROWS,
 ) -> DataFrame:
     """Events of all sessions with at least ``min_length`` requests.
 
@@ -76,7 +86,7 @@ def sessionize(
     return _ordered_columns(events.where(F.col("n_events") >= min_length))
 
 
-def load_session_requests(df: DataFrame, *, hot_rows: int = HOT_ROWS) -> DataFrame:
+def load_session_requests(df: DataFrame, *, hot_rows: int | None = HOT_ROWS) -> DataFrame:
     """Events from stored session requests, whose sessions are already known.
 
     Missing columns raise at once; a label outside the allowed ones, or two labels in one session,
@@ -122,8 +132,8 @@ def _ordered_columns(events: DataFrame) -> DataFrame:
     return events.select(*[c for c in first if c in events.columns], *rest, *last)
 
 
-def _with_slices(df: DataFrame, key: str, hot_rows: int) -> DataFrame:
-    """Add ``_slice``: NULL for ordinary keys, the time slice for keys with too many rows.
+def _hot_keys(df: DataFrame, key: str, hot_rows: int) -> DataFrame | None:
+    """Keys with too many rows for one window partition and the slice width of each; None without any.
 
     A hot key holds more than total/MAX_HOT_KEYS rows, so there are fewer than MAX_HOT_KEYS of
     them and their list is safe to broadcast at any data size.
@@ -131,11 +141,16 @@ def _with_slices(df: DataFrame, key: str, hot_rows: int) -> DataFrame:
     counts = df.groupBy(key).agg(
         F.count("*").alias("_rows"), F.min("timestamp").alias("_from"), F.max("timestamp").alias("_to")
     )
-    total = counts.agg(F.sum("_rows")).scalar()
-    limit = F.greatest(F.lit(hot_rows), F.ceil(total / F.lit(MAX_HOT_KEYS)))
-    hot = counts.where(F.col("_rows") > limit).select(
-        key, "_from", ((F.col("_to") - F.col("_from")) * limit / F.col("_rows")).alias("_width")
-    )
+    largest, total = counts.agg(F.max("_rows"), F.sum("_rows")).head()
+    limit = max(hot_rows, (total or 0) // MAX_HOT_KEYS)
+    if not total or largest <= limit:
+        return None
+    width = (F.col("_to") - F.col("_from")) * F.lit(float(limit)) / F.col("_rows")
+    return counts.where(F.col("_rows") > limit).select(key, "_from", width.alias("_width"))
+
+
+def _with_slices(df: DataFrame, key: str, hot: DataFrame) -> DataFrame:
+    """Add ``_slice``: the time slice for hot keys, NULL for all others."""
     position = F.floor((F.col("timestamp") - F.col("_from")) / F.nullif("_width", F.lit(0.0)))
     in_slice = F.when(F.col("_from").isNotNull(), F.coalesce(position, F.lit(0)))
     return (
@@ -147,7 +162,7 @@ def _with_slices(df: DataFrame, key: str, hot_rows: int) -> DataFrame:
 
 def _sequence(
     df: DataFrame, key: str, order: Sequence[str], timeout: float | None,
-    default_label: str | None, hot_rows: int,
+    default_label: str | None, hot_rows: int | None,
 ) -> DataFrame:
     text = lambda name: text_or_null(F.col(name)) if name in df.columns else F.lit(None).cast("string")
     status = int_or_null(F.col("status_code")) if "status_code" in df.columns else F.lit(None).cast("int")
@@ -165,16 +180,17 @@ def _sequence(
         "status_code": status,
         "_vote": vote,
     })
-    sliced = _with_slices(df, key, hot_rows)
-
-    part = [key, "_slice"]
+    hot = _hot_keys(df, key, hot_rows) if hot_rows else None
+    part = [key]
+    if hot is not None:
+        df, part = _with_slices(df, key, hot), [key, "_slice"]
     ordered = Window.partitionBy(*part).orderBy(*order)
     running = ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     before = ordered.rowsBetween(Window.unboundedPreceding, -1)
     gap = F.col("timestamp") - F.lag("timestamp").over(ordered)
     is_break = (gap > F.lit(float(timeout))) if timeout is not None else F.lit(False)
     local = (
-        sliced.withColumns({
+        df.withColumns({
             "_row": F.row_number().over(ordered),
             "_here": F.struct("path", "page_category"),
             "_last_time": F.lag("timestamp").over(ordered),
@@ -192,14 +208,13 @@ def _sequence(
     segment = Window.partitionBy(*part, "_breaks")
     local = local.withColumns({
         "_n": F.count("*").over(segment),
-        "_vote_min": F.min("_vote").over(segment),
-        "_vote_max": F.max("_vote").over(segment),
+        "_vote_min": F.min("_vote").over(segment) if "label" in df.columns else F.col("_vote"),
+        "_vote_max": F.max("_vote").over(segment) if "label" in df.columns else F.col("_vote"),
     })
-    joined = local.join(
-        _slice_carry(local.where(F.col("_slice").isNotNull()), key, timeout),
-        # NULL slices are ordinary keys and find no carry
-        on=part, how="left",
-    )
+    if hot is None:
+        joined = local.withColumns({name: F.lit(None).cast(kind) for name, kind in _CARRY.items()})
+    else:  # NULL slices are ordinary keys and find no carry
+        joined = local.join(_slice_carry(local.where(F.col("_slice").isNotNull()), key, timeout), part, "left")
 
     offset = F.coalesce("c_rows_before", F.lit(0))
     position = offset + F.col("_row")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -43,3 +44,15 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage of ``df`` by writing it to the reliable checkpoint folder."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def materialized(df: DataFrame) -> DataFrame:
+    """Write ``df`` once as Parquet next to the checkpoints and read it back.
+
+    For tables that several later steps use: they scan only the columns they need, and a lost
+    executor rereads files instead of recomputing the job.
+    """
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
