@@ -257,16 +257,16 @@ _draws = {
         count(*) AS n_bootstrap
       FROM (UNPIVOT (SELECT prefix_len, replicate, f1, roc_auc, pr_auc FROM rep) ON f1, roc_auc, pr_auc INTO NAME metric VALUE value)
       WHERE value IS NOT NULL GROUP BY ALL""",
-    "point": f"""
-      SELECT prefix_len, metric, value AS point_estimate FROM (UNPIVOT (
-        SELECT prefix_len, f1, roc_auc, pr_auc FROM ({metrics_sql('pred', 'prefix_len')})
-        JOIN ({curve_sql('pred', 'prefix_len')}) USING (prefix_len)) ON f1, roc_auc, pr_auc INTO NAME metric VALUE value)""",
+    "point_wide": f"""
+      SELECT * FROM ({metrics_sql('pred', 'prefix_len')}) JOIN ({curve_sql('pred', 'prefix_len')}) USING (prefix_len)""",
+    "point": " UNION ALL ".join(
+        f"SELECT prefix_len, '{m}' AS metric, {m} AS point_estimate FROM point_wide" for m in ev.BOOTSTRAP_METRICS),
 }
 
 
 @register("bootstrap_ci", query(
     f"SELECT prefix_len, metric, {r6('point_estimate')} AS point_estimate, {r6('ci_low')} AS ci_low, {r6('ci_high')} AS ci_high, "
-    f"n_bootstrap, {THRESHOLD}::DOUBLE AS threshold_used FROM point JOIN bounds USING (prefix_len, metric)", _draws))
+    f"coalesce(n_bootstrap, 0) AS n_bootstrap, {THRESHOLD}::DOUBLE AS threshold_used FROM point LEFT JOIN bounds USING (prefix_len, metric)", _draws))
 def bootstrap_ci(spark, sf):
     stored = materialized(predictions(spark, sf))
     return rounded(ev.bootstrap_intervals(stored, n_bootstrap=REPLICATES))
@@ -518,7 +518,7 @@ _class = " UNION ALL ".join(
                  ("share_suspect_user_agent", "avg(has_suspect_user_agent)"),
                  ("mean_navigation_entropy_score_v2", "avg(navigation_entropy_score_v2)")])
 _top = " UNION ALL ".join(
-    f"SELECT * FROM (SELECT 'top_{c}' AS section, label, coalesce({c}, 'missing') AS metric, count(*)::DOUBLE AS value FROM enriched GROUP BY ALL "
+    f"SELECT * FROM (SELECT * FROM (SELECT 'top_{c}' AS section, label, coalesce({c}, 'missing') AS metric, count(*)::DOUBLE AS value FROM enriched GROUP BY ALL) "
     "QUALIFY row_number() OVER (PARTITION BY label ORDER BY value DESC, metric) <= 5)" for c in ("ua_family", "traffic_family", "first_path"))
 
 

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..constants import BOT, UNKNOWN
 from ..functions.values import ratio
+from ..session import materialized
 
 SCORE_CUTS = 128
 CANDIDATE_THRESHOLDS = np.linspace(0.05, 0.95, 19).tolist()
@@ -66,6 +67,7 @@ def score_counts(rows: DataFrame, keys: Sequence[str], score: str = "bot_probabi
 
 def running_counts(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Add ``pos_below`` and ``neg_below`` (strictly lower scores), and the group totals."""
+    counts = materialized(counts)  # read three times below
     shares = [i / SCORE_CUTS for i in range(1, SCORE_CUTS)]
     cuts = counts.groupBy(*keys).agg(
         F.percentile_approx("score", F.array(*map(F.lit, shares)), F.lit(10 * SCORE_CUTS)).alias("cuts"),
@@ -259,9 +261,15 @@ def trajectory_sessions(predictions: DataFrame) -> DataFrame:
 
 
 def leaderboard(predictions: DataFrame, keys: Sequence[str] = ("protocol", "model_name", "ablation_name", "notes")) -> DataFrame:
-    """Metrics at the last prefix of each run with its detection of bots, best first."""
+    """Metrics at the last prefix of each run with its detection of bots, best first.
+
+    A column ``report_prefix`` replaces the prefix in the metrics, not in the detection delay.
+    """
     keys = list(keys)
-    metrics = metrics_by_group(predictions, [*keys, "prefix_len"])
+    reported = predictions
+    if "report_prefix" in predictions.columns:
+        reported = predictions.withColumn("prefix_len", F.col("report_prefix"))
+    metrics = metrics_by_group(reported, [*keys, "prefix_len"])
     names = ["prefix_len", "accuracy", "precision", "recall", "f1", "roc_auc", "pr_auc"]
     final = metrics.groupBy(*keys).agg(F.max_by(F.struct(*names), "prefix_len").alias("last")).select(*keys, "last.*")
     delay = detection_delay(predictions, keys).where(F.col("label") == BOT).select(
