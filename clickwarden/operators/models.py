@@ -80,7 +80,7 @@ def fit_gradient_boosting(rows: DataFrame, columns: Sequence[str], rounds: int =
     return FittedModel(Pipeline(stages=[_assembler(columns), boosting]).fit(training))
 
 
-def fit_calibrated_svm(rows: DataFrame, columns: Sequence[str], **_) -> FittedModel:
+def fit_calibrated_svm(rows: DataFrame, columns: Sequence[str], iterations: int = 100, **_) -> FittedModel:
     """Linear SVMs on two of three folds, each with a sigmoid fitted on the third."""
     training, total = weighted_training_rows(rows)
     fold = F.floor(hash_share(F.col("session_id"), "fold") * CALIBRATION_FOLDS)
@@ -90,13 +90,13 @@ def fit_calibrated_svm(rows: DataFrame, columns: Sequence[str], **_) -> FittedMo
     stages, chances = list(prepare.stages), []
     for index in range(CALIBRATION_FOLDS):
         machine = LinearSVC(
-            labelCol="target", weightCol="weight", maxIter=1000, regParam=1.0 / total, standardization=False,
+            labelCol="target", weightCol="weight", maxIter=iterations, regParam=1.0 / total, standardization=False,
             rawPredictionCol=f"margin_{index}", predictionCol=f"side_{index}",
         ).fit(scaled.where(F.col("fold") != index))
         held = machine.transform(scaled.where(F.col("fold") == index))
         sigmoid = LogisticRegression(
             labelCol="target", featuresCol=f"margin_{index}", rawPredictionCol=f"logit_{index}",
-            probabilityCol=f"probability_{index}", predictionCol=f"call_{index}", maxIter=1000,
+            probabilityCol=f"probability_{index}", predictionCol=f"call_{index}", maxIter=iterations,
         ).fit(held)
         stages += [machine, sigmoid]
         chances.append(f"probability_{index}")
