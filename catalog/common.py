@@ -20,14 +20,19 @@ def rounded(df: DataFrame, *columns: str) -> DataFrame:
     return df.withColumns({c: F.round(c, 6) + F.lit(0.0) for c in names})
 
 
+def stored_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The requests as a written table, as after ingest."""
+    return materialized(requests_view(spark, sf_dir))
+
+
 def page_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Session events, lazily."""
-    return sessionize(requests_view(spark, sf_dir), timeout=TIMEOUT, tie_breaker="event_id")
+    return sessionize(stored_requests(spark, sf_dir), timeout=TIMEOUT, tie_breaker="event_id")
 
 
 def all_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sessionize(
-        requests_view(spark, sf_dir), timeout=TIMEOUT, tie_breaker="event_id", drop_assets=False, min_length=1
+        stored_requests(spark, sf_dir), timeout=TIMEOUT, tie_breaker="event_id", drop_assets=False, min_length=1
     )
 
 

@@ -13,7 +13,7 @@ from clickwarden.operators.ranking import with_global_row_number
 from clickwarden.operators.scoring import decide, decide_by_prefix, rule_scores
 from clickwarden.session import materialized
 
-from .common import label_table, labelled, page_events, rounded, site_nodes, stored_events
+from .common import label_table, labelled, page_events, rounded, site_nodes, stored_events, stored_requests
 from .requests_view import PREFIXES, TIMEOUT, requests_view
 from .sql import CTES, SUSPECT, query, r6, summary_sql
 
@@ -615,7 +615,7 @@ CTES["ranking"] = f"""
 def live_rows(spark, sf):
     from clickwarden.operators.sessionize import sessionize
 
-    events = materialized(sessionize(requests_view(spark, sf), timeout=TIMEOUT, tie_breaker="event_id", min_length=1))
+    events = materialized(sessionize(stored_requests(spark, sf), timeout=TIMEOUT, tie_breaker="event_id", min_length=1))
     kept = events.where(F.col("n_events") >= 2)
     features = materialized(feats.full_session_features(events, site_nodes(kept)))
     metadata = summaries.session_metadata(events)

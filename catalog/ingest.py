@@ -65,7 +65,7 @@ _parsed = """
 
 @register("combined_log_parse", query(_parsed))
 def combined_log_parse(spark, sf):
-    return parse_combined_log(log_lines(spark, sf), keep=["event_id"]).drop("label")
+    return parse_combined_log(materialized(log_lines(spark, sf)), keep=["event_id"]).drop("label")
 
 
 @register("combined_log_file", query(
@@ -210,7 +210,7 @@ _voted = """SELECT session_id, CASE WHEN count(DISTINCT l) = 1 THEN max(l) ELSE
 
 @register("session_label_vote", query(_voted))
 def session_label_vote(spark, sf):
-    return label_votes(sessionize(_labelled_requests(spark, sf), timeout=TIMEOUT, tie_breaker="event_id"))
+    return label_votes(sessionize(materialized(_labelled_requests(spark, sf)), timeout=TIMEOUT, tie_breaker="event_id"))
 
 
 @register("request_reload_check", query("""
@@ -276,7 +276,7 @@ def _iso(column):
       string_agg(path, ' > ' ORDER BY seq) AS path_signature, string_agg(path, ' | ' ORDER BY seq) AS paths FROM hev GROUP BY session_id)
   JOIN human_number USING (session_id)"""))
 def human_manifest(spark, sf):
-    result = import_human_requests(human_requests(spark, sf), timeout=TIMEOUT, tie_breaker="event_id")
+    result = import_human_requests(materialized(human_requests(spark, sf)), timeout=TIMEOUT, tie_breaker="event_id")
     return rounded(result["manifest"].select(
         "session_id", "label", "participant_id", "traffic_family", "num_events", "duration_seconds", "first_path",
         "start_time_utc", "end_time_utc", "path_signature", "paths", "paths_part"))

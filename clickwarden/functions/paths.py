@@ -17,15 +17,13 @@ _SCHEME = r"^[A-Za-z][A-Za-z0-9+.\-]*:"
 _ORIGIN = r"^(https?://[^/?#]*)"
 
 
-def _extension_regex(extensions: list[str]) -> str:
-    return r"\.(" + "|".join(extensions) + r")\z"
-
-
 def normalize_path(value: Column) -> Column:
     """Site path of a request target: query and fragment cut, leading slash; NULL when blank."""
     raw = stripped(value)
     path = F.regexp_extract(F.regexp_replace(raw, _ABSOLUTE_PARAMS, "$1"), _SITE_PATH, 1)
-    return F.when(raw != "", F.concat(F.lit("/"), path))
+    # most targets already are site paths; they skip the patterns
+    is_plain = raw.startswith("/") & ~raw.contains("?") & ~raw.contains("#")
+    return F.when(is_plain, raw).when(raw != "", F.concat(F.lit("/"), path))
 
 
 def normalize_referrer(value: Column) -> Column:
@@ -50,10 +48,14 @@ def path_depth(path: Column) -> Column:
     return F.size(F.filter(F.split(path, "/"), lambda part: part != "")).cast("int")
 
 
+def _extension(path: Column) -> Column:
+    """Lower-case text after the last dot; the whole path, which starts with a slash, without one."""
+    return F.lower(F.substring_index(path, ".", -1))
+
+
 def is_page_path(path: Column) -> Column:
     """True for pages, false for static assets."""
-    lowered = F.lower(path)
-    return (lowered != "/favicon.ico") & ~lowered.rlike(_extension_regex(ASSET_EXTENSIONS))
+    return ~_extension(path).isin(ASSET_EXTENSIONS)
 
 
 def is_html_like(url: Column) -> Column:
@@ -62,7 +64,7 @@ def is_html_like(url: Column) -> Column:
         F.regexp_extract(url, r"^[^?#]*", 0)
     )
     path = F.regexp_replace(path, _LAST_SEGMENT_PARAMS, "")
-    return ~F.lower(path).rlike(_extension_regex(NON_HTML_EXTENSIONS))
+    return ~_extension(F.concat(F.lit("/"), path)).isin(NON_HTML_EXTENSIONS)
 
 
 def _ignored_href(ref: Column) -> Column:

@@ -73,9 +73,9 @@ def sessionize(
     ``session_index``, ``seq`` (1-based), ``n_events``, ``delta_t``, the filled ``referrer``, and
     the previous path, category and agent in its session.
     """
-    df = requests.withColumn("path", normalize_path(F.col("path"))).where(F.col("path").isNotNull())
-    if drop_assets:
-        df = df.where(is_page_path(F.col("path")))
+    df = requests.withColumn("path", normalize_path(F.col("path")))
+    # one condition: a NULL path is no page either
+    df = df.where(is_page_path(F.col("path")) if drop_assets else F.col("path").isNotNull())
     if "client_key" not in df.columns:
         df = df.withColumn("client_key", client_key(df))
     df = df.withColumn("timestamp", F.col("timestamp").try_cast("double"))
