@@ -55,8 +55,8 @@ def full_session_features(events: DataFrame, nodes: DataFrame, hops: DataFrame |
 
 
 def features_of_prefix_events(prefix_events: DataFrame, nodes: DataFrame, hops: DataFrame | None = None) -> DataFrame:
-    """Features of events already tagged with ``prefix_len``."""
-    return _features(_with_graph(prefix_events, nodes, hops), salted=False)
+    """Features of events already tagged with ``prefix_len``, which may be many per session."""
+    return _features(_with_graph(prefix_events, nodes, hops), salted=False, place=_KEYS)
 
 
 def _with_graph(events: DataFrame, nodes: DataFrame, hops: DataFrame | None) -> DataFrame:
@@ -78,8 +78,8 @@ def _with_graph(events: DataFrame, nodes: DataFrame, hops: DataFrame | None) ->
     )
 
 
-def _features(events: DataFrame, salted: bool) -> DataFrame:
-    joined = _event_measures(events).join(_symbol_measures(events, salted), _KEYS)
+def _features(events: DataFrame, salted: bool, place: list[str] = _KEYS[:1]) -> DataFrame:
+    joined = _event_measures(events).join(_symbol_measures(events, salted, place), _KEYS)
     return _assemble(joined).select(*_KEYS, "label", *FEATURE_COLUMNS)
 
 
@@ -116,7 +116,7 @@ def _plogp(count: Column, total: Column) -> Column:
     return F.when(count > 0, p * F.log2(p)).otherwise(F.lit(0.0))
 
 
-def _symbol_measures(events: DataFrame, salted: bool) -> DataFrame:
+def _symbol_measures(events: DataFrame, salted: bool, place: list[str]) -> DataFrame:
     """Entropy and concentration sums over paths, categories and their transitions.
 
     A symbol is (family, a, b): a visited path or category when b is NULL, else a step a -> b.
@@ -138,12 +138,11 @@ def _symbol_measures(events: DataFrame, salted: bool) -> DataFrame:
             F.when(moved, symbol("category", F.col("prev_category"), category, no_degree)),
         ))).alias("symbol"),
     ).select(*_KEYS, "n_events", "early", "symbol.*")
-    place = ["session_id"]
+    keys = list(_KEYS)
     if salted:
         spread = F.pmod(F.xxhash64("family", "a"), F.lit(SALTS)).cast("int")
         salt = F.when(F.col("n_events") > LONG_SESSION_EVENTS, spread).otherwise(F.lit(0))
-        symbols, place = symbols.withColumn("salt", salt), ["session_id", "salt"]
-    keys = [*_KEYS, *place[1:]]
+        symbols, place, keys = symbols.withColumn("salt", salt), [*place, "salt"], [*_KEYS, "salt"]
 
     counted = symbols.repartition(*place).groupBy(*keys, "family", "a", "b").agg(
         F.count("*").alias("c"), F.count_if("early").alias("c_early"), F.max("degree").alias("degree")
