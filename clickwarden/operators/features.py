@@ -56,7 +56,7 @@ def full_session_features(events: DataFrame, nodes: DataFrame, hops: DataFrame |
 
 def features_of_prefix_events(prefix_events: DataFrame, nodes: DataFrame, hops: DataFrame | None = None) -> DataFrame:
     """Features of events already tagged with ``prefix_len``, which may be many per session."""
-    return _features(_with_graph(prefix_events, nodes, hops), salted=False, place=_KEYS)
+    return _features(_with_graph(prefix_events, nodes, hops), salted=True, place=_KEYS)
 
 
 def _with_graph(events: DataFrame, nodes: DataFrame, hops: DataFrame | None) -> DataFrame:
@@ -120,7 +120,8 @@ def _symbol_measures(events: DataFrame, salted: bool, place: list[str]) -> DataF
     """Entropy and concentration sums over paths, categories and their transitions.
 
     A symbol is (family, a, b): a visited path or category when b is NULL, else a step a -> b.
-    One placement by session serves all three aggregations. Long sessions are spread by symbol.
+    One placement by session serves the aggregations. Sessions without a length bound are first
+    combined to their distinct symbols, and long ones are spread by symbol.
     """
     half = F.greatest(F.lit(2), F.floor(F.col("prefix_len") / 2))
     moved = F.col("seq") > 1
@@ -144,9 +145,11 @@ def _symbol_measures(events: DataFrame, salted: bool, place: list[str]) -> DataF
         salt = F.when(F.col("n_events") > LONG_SESSION_EVENTS, spread).otherwise(F.lit(0))
         symbols, place, keys = symbols.withColumn("salt", salt), [*place, "salt"], [*_KEYS, "salt"]
 
-    counted = symbols.repartition(*place).groupBy(*keys, "family", "a", "b").agg(
-        F.count("*").alias("c"), F.count_if("early").alias("c_early"), F.max("degree").alias("degree")
-    )
+    measures = [F.count("*").alias("c"), F.count_if("early").alias("c_early"), F.max("degree").alias("degree")]
+    if salted:  # combine before moving: a long session shrinks to its distinct symbols
+        counted = symbols.groupBy(*keys, "family", "a", "b").agg(*measures).repartition(*place)
+    else:
+        counted = symbols.repartition(*place).groupBy(*keys, "family", "a", "b").agg(*measures)
     visit, step = F.col("b").isNull(), F.col("b").isNotNull()
     visits = F.col("prefix_len")
     early_visits = half
