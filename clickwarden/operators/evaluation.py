@@ -27,12 +27,11 @@ def known_labels(rows: DataFrame) -> DataFrame:
     return rows.where(F.col("label") != UNKNOWN)
 
 
-def _confusion(weight: Column) -> dict[str, Column]:
+def _confusion() -> dict[str, Column]:
     truth, flagged = F.col("label") == BOT, F.col("predicted_bot") == 1
-    part = lambda condition: F.sum(F.when(condition, weight).otherwise(F.lit(0)))
     return {
-        "tp": part(truth & flagged), "fp": part(~truth & flagged),
-        "fn": part(truth & ~flagged), "tn": part(~truth & ~flagged),
+        "tp": F.count_if(truth & flagged), "fp": F.count_if(~truth & flagged),
+        "fn": F.count_if(truth & ~flagged), "tn": F.count_if(~truth & ~flagged),
     }
 
 
@@ -46,22 +45,20 @@ def _binary_metrics() -> dict[str, Column]:
     }
 
 
-def binary_metrics(predictions: DataFrame, keys: Sequence[str] = ("prefix_len",), weight: Column | None = None) -> DataFrame:
+def binary_metrics(predictions: DataFrame, keys: Sequence[str] = ("prefix_len",)) -> DataFrame:
     """Accuracy, precision, recall and F1 per group; 0 where undefined."""
     counts = predictions.groupBy(*keys).agg(
-        *[c.alias(name) for name, c in _confusion(F.lit(1) if weight is None else weight).items()]
+        *[c.alias(name) for name, c in _confusion().items()]
     )
     return counts.select(*keys, *[c.alias(name) for name, c in _binary_metrics().items()])
 
 
-def score_counts(rows: DataFrame, keys: Sequence[str], score: str = "bot_probability", weight: Column | None = None) -> DataFrame:
+def score_counts(rows: DataFrame, keys: Sequence[str], score: str = "bot_probability") -> DataFrame:
     """Positives and negatives per group and distinct score."""
-    weight = F.lit(1) if weight is None else weight
     truth = F.col("label") == BOT
-    count = lambda condition: F.sum(F.when(condition, weight).otherwise(F.lit(0)))
     # adding zero turns -0.0 into 0.0, so both fall into one group
     return rows.groupBy(*keys, (F.col(score) + F.lit(0.0)).alias("score")).agg(
-        count(truth).alias("pos"), count(~truth).alias("neg")
+        F.count_if(truth).alias("pos"), F.count_if(~truth).alias("neg")
     )
 
 
@@ -216,12 +213,21 @@ def bootstrap_intervals(
     )
     long = lambda df, ids: df.unpivot(ids, list(metrics), "metric", "value")
     grouped = [*keys, "replicate"]
-    # one pass: weights per group, replicate, score and decision serve counts and curves
-    compact = drawn.groupBy(*grouped, "label", "bot_probability", "predicted_bot").agg(F.sum("weight").alias("weight"))
-    weight = F.col("weight")
-    replicate = binary_metrics(compact, grouped, weight)
+    # drawn once: weights per group, replicate, score and decision serve counts and curves
+    truth, score = F.col("label") == BOT, (F.col("bot_probability") + F.lit(0.0)).alias("score")
+    compact = materialized(drawn.groupBy(*grouped, "predicted_bot", score).agg(
+        F.sum(F.when(truth, F.col("weight")).otherwise(0)).alias("pos"),
+        F.sum(F.when(~truth, F.col("weight")).otherwise(0)).alias("neg"),
+    ))
+    flagged = F.col("predicted_bot") == 1
+    part = lambda condition, side, name: F.sum(F.when(condition, F.col(side)).otherwise(0)).alias(name)
+    confusion = compact.groupBy(*grouped).agg(
+        part(flagged, "pos", "tp"), part(flagged, "neg", "fp"), part(~flagged, "pos", "fn"), part(~flagged, "neg", "tn")
+    )
+    replicate = confusion.select(*grouped, *[c.alias(name) for name, c in _binary_metrics().items()])
     if {"roc_auc", "pr_auc"} & set(metrics):
-        replicate = replicate.join(curve_metrics(score_counts(compact, grouped, weight=weight), grouped), grouped)
+        by_score = compact.groupBy(*grouped, "score").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+        replicate = replicate.join(curve_metrics(by_score, grouped), grouped)
     bounds = long(replicate, grouped).where(F.col("value").isNotNull()).groupBy(*keys, "metric").agg(
         F.percentile("value", F.lit(alpha / 2)).alias("ci_low"),
         F.percentile("value", F.lit(1 - alpha / 2)).alias("ci_high"),
