@@ -17,6 +17,7 @@ from ..functions.values import ratio
 from ..session import materialized
 
 SCORE_CUTS = 128
+CUT_STEP = 12
 CANDIDATE_THRESHOLDS = np.linspace(0.05, 0.95, 19).tolist()
 BOOTSTRAP_METRICS = ["f1", "roc_auc", "pr_auc"]
 # cumulative Poisson(1) probabilities: a draw below the k-th is at most k
@@ -70,8 +71,13 @@ def running_counts(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
         F.percentile_approx("score", F.array(*map(F.lit, shares)), F.lit(10 * SCORE_CUTS)).alias("cuts"),
         F.sum("pos").alias("pos_total"), F.sum("neg").alias("neg_total"),
     )
-    cut = F.size(F.filter("cuts", lambda c: c < F.col("score")))
-    placed = counts.join(cuts, list(keys)).withColumn("cut", cut).drop("cuts")
+    # every twelfth cut first, then the twelve behind it
+    coarse = F.array(*[F.get("cuts", F.lit(i)) for i in range(CUT_STEP - 1, SCORE_CUTS - 1, CUT_STEP)])
+    cuts = cuts.withColumn("coarse", coarse)
+    below_score = lambda c: c < F.col("score")
+    steps = F.size(F.filter("coarse", below_score)) * CUT_STEP
+    cut = F.col("steps") + F.size(F.filter(F.slice("cuts", F.col("steps") + 1, F.lit(CUT_STEP)), below_score))
+    placed = counts.join(cuts, list(keys)).withColumn("steps", steps).withColumn("cut", cut).drop("cuts", "coarse", "steps")
     lower = Window.partitionBy(*keys).orderBy("cut").rowsBetween(Window.unboundedPreceding, -1)
     offsets = placed.groupBy(*keys, "cut").agg(F.sum("pos").alias("p"), F.sum("neg").alias("n")).select(
         *keys, "cut",
