@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import functions as F
 
 from clickwarden.functions.paths import is_page_path
@@ -40,6 +42,8 @@ def in_time_order(df, folder):
 
 
 def run_scorer(spark, sf):
+    # the Python workers of the stateful operator import the package from here
+    spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[1]))
     events = stored_events(spark, sf)
     columns = ["session_id", "timestamp", "path", "raw_referrer", "user_agent", "status_code"]
     folder = in_time_order(events.select(*columns).withColumnRenamed("raw_referrer", "referrer"), scratch(spark, "stream_in"))

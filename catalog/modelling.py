@@ -1,4 +1,4 @@
-"""Models and experiments; without SQL counterparts."""
+"""Models, experiments and stored tables; the fitted models have no SQL counterpart."""
 
 from __future__ import annotations
 
@@ -14,15 +14,19 @@ from clickwarden.sources.tables import load_or_build, prefix_table_name, read_ta
 from .common import label_table, labelled, rounded, site_nodes, stored_events
 from .ingest import scratch
 from .requests_view import PREFIXES, TIMEOUT, requests_view
+from .sessions import feature_select
+from .sql import query
 
 QUERIES, SQL = {}, {}
 # sizes for the registered runs; the library defaults are 300 trees and 300 rounds
 TREES, ROUNDS = 20, 10
 
 
-def register(name):
+def register(name, sql=None):
     def wrap(function):
         QUERIES[name] = function
+        if sql:
+            SQL[name] = sql
         return function
     return wrap
 
@@ -99,14 +103,15 @@ def model_roundtrip(spark, sf):
     return rounded(ModelBundle.load(spark, path).predict(prefix))
 
 
-@register("prepared_dataset")
+@register("prepared_dataset", query(
+    "SELECT proposed_label, count(*) AS num_sessions FROM labelled_summary GROUP BY proposed_label"))
 def prepared_dataset(spark, sf):
     return prepare_dataset(
         spark, requests_view(spark, sf), scratch(spark, "prepared"), labels=label_table(spark, sf), timeout=TIMEOUT,
         tie_breaker="event_id")
 
 
-@register("feature_tables")
+@register("feature_tables", query(feature_select("pf")))
 def feature_tables(spark, sf):
     events = materialized(labelled(spark, sf)[0])
     folder, name = scratch(spark, "features"), prefix_table_name(PREFIXES)
