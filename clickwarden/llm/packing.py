@@ -146,9 +146,11 @@ class _WordIds(dict):
         self._tokenizer = Tokenizer.from_str(tokenizer_json)
         self._tokenizer.encode_special_tokens = True
 
-    def encode(self, words: list[str]) -> None:
+    def trim(self) -> None:
         if len(self) > 400_000:
             self.clear()
+
+    def encode(self, words: list[str]) -> None:
         # a word is a match of the pre-tokenizer's own pattern, so it is one pre-token of its own
         for word, out in zip(words, self._tokenizer.encode_batch(words, add_special_tokens=False)):
             self[word] = np.asarray(out.ids, dtype="<u4").tobytes()
@@ -164,6 +166,7 @@ def _pieces(tokenizer_json, pattern: str, capacity: int, end_id: int):
             for at in range(0, batch.num_rows, 256):
                 chunk = batch.slice(at, 256)
                 words = [split(text or "") for text in chunk.column("text").to_pylist()]
+                ids.trim()
                 ids.encode(list({word for row in words for word in row if word not in ids}))
                 for doc_id, row in zip(chunk.column("doc_id").to_pylist(), words):
                     packed = b"".join([ids[word] for word in row]) + end
