@@ -1,7 +1,7 @@
 """All queries of this subpackage and their SQL."""
 
-from clickwarden.llm import exact_dedup, packing
+from clickwarden.llm import exact_dedup, packing, quality, toxicity
 
-_MODULES = [exact_dedup, packing]
+_MODULES = [quality, exact_dedup, packing, toxicity]
 QUERIES = {name: run for module in _MODULES for name, run in module.QUERIES.items()}
 SQL = {name: sql for module in _MODULES for name, sql in module.SQL.items()}
