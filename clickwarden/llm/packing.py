@@ -9,8 +9,10 @@ is a rank inside their input partition plus the counts of the partitions before
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
+from array import array
 from collections import defaultdict
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -133,41 +135,53 @@ def word_splitter(pattern: str) -> Callable[[str], list[str]]:
 _CONTROL = re.compile("[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]")
 
 
+def byte_ranks(tokenizer_json: str) -> dict[bytes, int]:
+    """Ids by token bytes of a byte-level BPE file; its merges must be in the order of their ids.
+
+    Then merging the pair of least id is merging by the file's order. In such files printable
+    bytes stand for themselves and the others, in order, for the characters from 256 on.
+    """
+    model = json.loads(tokenizer_json)["model"]
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in set(shown)]
+    byte_of = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
+    vocabulary = model["vocab"]
+    merged = [vocabulary["".join(m.split(" ") if isinstance(m, str) else m)] for m in model["merges"]]
+    if merged != sorted(merged):
+        raise ValueError("the merges of this tokenizer are not in the order of their ids")
+    return {bytes(byte_of[c] for c in token): i for token, i in vocabulary.items() if all(c in byte_of for c in token)}
+
+
 class _WordIds(dict):
     """Packed ids of words met so far; forgotten when there are too many."""
 
-    def __init__(self, tokenizer_json: str):
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+    def __init__(self, ranks: dict[bytes, int], pattern: str):
+        import tiktoken
 
         super().__init__()
-        self._tokenizer = Tokenizer.from_str(tokenizer_json)
-        self._tokenizer.encode_special_tokens = True
+        self._encode = tiktoken.Encoding("words", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
     def trim(self) -> None:
-        if len(self) > 400_000:
+        if len(self) > 600_000:
             self.clear()
 
-    def encode(self, words: list[str]) -> None:
-        # a word is a match of the pre-tokenizer's own pattern, so it is one pre-token of its own
-        for word, out in zip(words, self._tokenizer.encode_batch(words, add_special_tokens=False)):
-            self[word] = np.asarray(out.ids, dtype="<u4").tobytes()
+    def __missing__(self, word: str) -> bytes:
+        # a word is a match of the pattern, so it is one pre-token of its own
+        packed = self[word] = array("I", self._encode(word)).tobytes()
+        return packed
 
 
-def _pieces(tokenizer_json, pattern: str, capacity: int, end_id: int):
+def _pieces(vocabulary, pattern: str, capacity: int, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
-        split, ids, ranks = word_splitter(pattern), _WordIds(tokenizer_json.value), defaultdict(int)
+        split, ids, ranks = word_splitter(pattern), _WordIds(vocabulary.value, pattern), defaultdict(int)
         end = np.array([end_id], dtype="<u4").tobytes()
         for batch in batches:
             rows = []
             for at in range(0, batch.num_rows, 256):
                 chunk = batch.slice(at, 256)
-                words = [split(text or "") for text in chunk.column("text").to_pylist()]
                 ids.trim()
-                ids.encode(list({word for row in words for word in row if word not in ids}))
+                words = [split(text or "") for text in chunk.column("text").to_pylist()]
                 for doc_id, row in zip(chunk.column("doc_id").to_pylist(), words):
                     packed = b"".join([ids[word] for word in row]) + end
                     total = len(packed) // 4
@@ -217,9 +231,9 @@ def pack_documents(docs: DataFrame, tokenizer_file: str, pattern: str, capacity:
     spark = docs.sparkSession
     scratch = Scratch(spark, "packing")
     with open(tokenizer_file, encoding="utf-8") as source:
-        tokenizer_json = spark.sparkContext.broadcast(source.read())
+        vocabulary = spark.sparkContext.broadcast(byte_ranks(source.read()))
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    pieces = scratch.keep(rows.mapInArrow(_pieces(tokenizer_json, pattern, capacity, end_id), _PIECES))
+    pieces = scratch.keep(rows.mapInArrow(_pieces(vocabulary, pattern, capacity, end_id), _PIECES))
 
     # partitions x lengths rows; ranks of a partition follow those of the partitions before
     counts = pieces.groupBy("length", "part").agg(F.count("*").alias("n"))
