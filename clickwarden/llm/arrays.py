@@ -109,7 +109,7 @@ class Words:
 
     def sequence_hash(self, lo: int, hi: int) -> int:
         """Hash of the words lo..hi-1 as one sequence."""
-        total = 0
+        total, lo, hi = 0, int(lo), int(hi)
         for h in self.hash[lo:hi].tolist():
             total = (total * 0xD6E8FEB86659FD93 + h + (hi - lo)) & 0xFFFFFFFFFFFFFFFF
         return int(mix(np.array([total ^ (hi - lo)], dtype=np.uint64))[0])

@@ -1,7 +1,7 @@
 """All queries of this subpackage and their SQL."""
 
-from clickwarden.llm import exact_dedup, packing, quality, toxicity
+from clickwarden.llm import bpe, chat, exact_dedup, ngram_join, packing, quality, toxicity
 
-_MODULES = [quality, exact_dedup, packing, toxicity]
+_MODULES = [quality, ngram_join, bpe, exact_dedup, packing, toxicity, chat]
 QUERIES = {name: run for module in _MODULES for name, run in module.QUERIES.items()}
 SQL = {name: sql for module in _MODULES for name, sql in module.SQL.items()}
