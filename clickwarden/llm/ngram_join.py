@@ -101,8 +101,13 @@ def _sketch(n: int, percent: int):
 def _elements(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kept = [s.tobytes() for _, s in shingle_sets(batch.column("text"), n)]
-            yield batch.drop_columns(["text"]).append_column("elements", pa.array(kept, pa.binary()))
+            marks, kept = batch.column("mark").to_pylist(), []
+            for row, s in shingle_sets(batch.column("text"), n):
+                # of several rows with one doc_id, the one with this set
+                same = len(s) and int(mix(s.copy()).sum(dtype=np.uint64).view(np.int64)) == marks[row]
+                kept.append(s.tobytes() if same else None)
+            out = batch.select(["block", "cluster", "id"]).append_column("elements", pa.array(kept, pa.binary()))
+            yield out.filter(out.column("elements").is_valid())
 
     return run
 
@@ -114,7 +119,7 @@ def ngram_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFram
     has its whole sequence as one shingle; a null, empty or blank text has none and links to
     nothing. ``class_id`` is the smallest doc_id with the same set, ``component_id`` the smallest
     reachable over links. Shingles are compared by 64-bit hashes, sets by 128 bits and size. A row without doc_id
-    has null as both where no other row of its component has one. Repeated rows stay rows.
+    has null as both where no other row of its set has one; such a set links to no other. Repeated rows stay rows.
     """
     scratch = Scratch(docs.sparkSession, "ngram")
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
@@ -124,10 +129,10 @@ def ngram_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFram
                            .withColumn("id", F.xxhash64("n_shingles", "mark", "other")))
     links = key_links(filled.select(F.explode("keys").alias("key"), F.xxhash64("n_shingles", "mark", "other").alias("id")), scratch)
     clusters = connected_components(links, scratch).select("id", F.col("root").alias("cluster"))
-    members = classes.where("class_id IS NOT NULL").join(clusters, "id").select("cluster", F.col("n_shingles").alias("weight"), "id", "class_id")
-    blocks = scratch.keep(blocks_of_clusters(members).select("block", "cluster", "id", F.col("class_id").alias("doc_id")))
+    members = classes.where("class_id IS NOT NULL").join(clusters, "id").select("cluster", F.col("n_shingles").alias("weight"), "id", "mark", "class_id")
+    blocks = scratch.keep(blocks_of_clusters(members).select("block", "cluster", "id", "mark", F.col("class_id").alias("doc_id")))
     # the text of one document of each class that may have a partner
-    sets = texts.join(blocks, "doc_id").select("block", "cluster", "id", "text").mapInArrow(_elements(n), "block long, cluster long, id long, elements binary")
+    sets = texts.join(blocks, "doc_id").select("block", "cluster", "id", "mark", "text").mapInArrow(_elements(n), "block long, cluster long, id long, elements binary")
     joined = connected_components(scratch.keep(tree_links(sets, percent, scratch)), scratch)
     roots = classes.join(joined, "id", "left").withColumn("root", F.coalesce("root", "id"))
     smallest = roots.groupBy("root").agg(F.min("class_id").alias("component_id"))
