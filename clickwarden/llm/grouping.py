@@ -13,78 +13,126 @@ from pyspark.sql import functions as F
 from clickwarden.llm.scratch import Scratch
 
 
-def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Link each id of a sorted run of one key to the run's first id; report the partition's ends."""
-    part, key, first, last, head = TaskContext.get().partitionId(), None, None, None, None
+#: Ids of which a task remembers the component; when there are more, it reports what it knows and forgets.
+_REMEMBERED = 1_000_000
+
+
+class _Forest(dict):
+    """Components of ids met in a task: each id's parent, roots are their own."""
+
+    def find(self, x: int) -> int:
+        root = x
+        while self.setdefault(root, root) != root:
+            root = self[root]
+        while self[x] != root:
+            self[x], x = root, self[x]
+        return root
+
+    def union(self, a: int, b: int) -> None:
+        a, b = self.find(a), self.find(b)
+        if a != b:
+            self[max(a, b)] = min(a, b)
+
+    def links(self) -> tuple[list[int], list[int]]:
+        ids = [x for x in list(self) if self.find(x) != x]
+        return ids, [self[x] for x in ids]
+
+
+_LINK_FIELDS = ("a", "b", "part", "head_key", "head_id", "tail_key", "tail_id")
+
+
+def _link_rows(a: list, b: list) -> pa.RecordBatch:
+    return pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64()), *[pa.nulls(len(a), pa.int64())] * 5], names=list(_LINK_FIELDS))
+
+
+def _key_components(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Join the ids of every run of one key in a sorted partition; report the components and the partition's ends."""
+    part, key, last, head, forest = TaskContext.get().partitionId(), None, None, None, _Forest()
     for batch in batches:
         if not batch.num_rows:
             continue
         keys, ids = batch.column("key").to_numpy(), batch.column("id").to_numpy()
-        opens = np.concatenate([[keys[0] != key or key is None], keys[1:] != keys[:-1]])
-        starts = np.flatnonzero(opens)
-        group = np.cumsum(opens) - 1
-        firsts = np.concatenate([[first if first is not None else 0], ids[starts]])[group + 1]
-        repeated = np.concatenate([[not opens[0] and ids[0] == last], (ids[1:] == ids[:-1]) & ~opens[1:]])
-        linked = ~opens & ~repeated & (ids != firsts)
-        n = int(linked.sum())
-        nothing = pa.nulls(n, pa.int64())
-        yield pa.record_batch([pa.array(ids[linked]), pa.array(firsts[linked]), nothing, nothing, nothing, nothing, nothing],
-                              names=["a", "b", "part", "head_key", "head_id", "tail_key", "tail_id"])
+        before = np.concatenate([[ids[0] if last is None else last], ids[:-1]])
+        linked = np.concatenate([[keys[0] == key and key is not None], keys[1:] == keys[:-1]]) & (ids != before)
+        for pair in zip(ids[linked].tolist(), before[linked].tolist()):
+            forest.union(*pair)
+        if len(forest) > _REMEMBERED:
+            yield _link_rows(*forest.links())
+            forest.clear()
         head = head or (int(keys[0]), int(ids[0]))
-        key, first, last = keys[-1], firsts[-1], ids[-1]
+        key, last = keys[-1], ids[-1]
+    yield _link_rows(*forest.links())
     if head:
-        row = {"a": None, "b": None, "part": part, "head_key": head[0], "head_id": head[1], "tail_key": int(key), "tail_id": int(last)}
+        row = dict(zip(_LINK_FIELDS, (None, None, part, *head, int(key), int(last))))
         yield pa.RecordBatch.from_pylist([row], schema=pa.schema([(n, pa.int64()) for n in row]))
 
 
 def key_links(rows: DataFrame, scratch: Scratch) -> DataFrame:
-    """Links (a, b) that join all ids of each key: at most one per row, kept as a table.
+    """Links (a, b) that join all ids of each key, fewer than rows.
 
     Rows (key, id) are range-partitioned by both, so the rows of a hot key spread over many tasks;
     parts of one key are linked over the partition borders.
     """
     n = max(2, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     ordered = rows.repartitionByRange(n, "key", "id").sortWithinPartitions("key", "id")
-    schema = "a long, b long, part long, head_key long, head_id long, tail_key long, tail_id long"
-    found = scratch.keep(ordered.mapInArrow(_stars, schema))
+    found = scratch.keep(ordered.mapInArrow(_key_components, ", ".join(f"{name} long" for name in _LINK_FIELDS)))
     ends = found.where("part IS NOT NULL")
     order = Window.orderBy("part")  # one row per partition
     over = (ends.withColumns({"before_key": F.lag("tail_key").over(order), "before_id": F.lag("tail_id").over(order)})
             .where("before_key = head_key AND before_id <> head_id").select(F.col("head_id").alias("a"), F.col("before_id").alias("b")))
-    links = scratch.keep(found.where("part IS NULL").select("a", "b").unionByName(over)
-                         .select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    scratch.free(found)
-    return links
+    return found.where("part IS NULL").select("a", "b").unionByName(over)
+
+
+def _local_components(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    forest = _Forest()
+    for batch in batches:
+        for pair in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist()):
+            forest.union(*pair)
+        if len(forest) > _REMEMBERED:
+            yield _link_rows(*forest.links()).select(["a", "b"])
+            forest.clear()
+    yield _link_rows(*forest.links()).select(["a", "b"])
 
 
 def connected_components(links: DataFrame, scratch: Scratch) -> DataFrame:
-    """(id, root) for every id of the links (a, b); the root is the smallest id of its component.
+    """(id, root) for every id of the links (a, b) with a <> b; the root is the smallest id of its component.
 
-    Large-star and small-star steps in turn, until nothing changes: a union-find over the whole
-    cluster whose rounds are joins. Each round's links are a written table.
+    Tasks join what they hold, up to ``_REMEMBERED`` links each, and report their forests. While
+    more than one task is needed, large-star and small-star steps follow: a union-find over
+    the whole cluster whose rounds are joins, until every component is a star around its root. Each round's
+    links are a written table.
     """
-    def state(table):
-        row = table.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("x")).first()
-        return row.n, row.x
-
-    current = scratch.keep(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    before = state(current)
-    while before[0]:
+    def joined(table: DataFrame, rows: int | None = None) -> DataFrame:
+        fewer = table if rows is None else table.coalesce(max(1, -(-rows // _REMEMBERED)))
+        return scratch.keep(fewer.mapInArrow(_local_components, "a long, b long"))
+
+    current = joined(links.where("a <> b").select("a", "b"))
+    while True:
+        rows = current.count()
+        before, current = current, joined(current, rows)
+        scratch.free(before)
+        if rows <= _REMEMBERED or _stars(current):
+            break
         both = current.unionByName(current.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
-        large = (both.where("b > a").join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct())
+        large = both.where("b > a").join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         roots = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(roots, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        after = scratch.keep(small.unionByName(roots.select("a", F.col("m").alias("b"))).distinct())
-        scratch.free(current)
-        current, now = after, state(after)
-        if now == before:
-            break
-        before = now
+        before, current = current, scratch.keep(small.unionByName(roots.select("a", F.col("m").alias("b"))).distinct())
+        scratch.free(before)
     roots = current.select(F.col("b").alias("id")).distinct()
     return current.select(F.col("a").alias("id"), F.col("b").alias("root")).unionByName(roots.withColumn("root", F.col("id")))
 
 
+def _stars(links: DataFrame) -> bool:
+    """Whether every id has one parent at most and no parent has one."""
+    ends = links.select(F.col("a").alias("id"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(
+        links.select(F.col("b").alias("id"), F.lit(0).alias("up"), F.lit(1).alias("down"))).distinct()
+    parents = links.distinct().groupBy("a").agg(F.count("*").alias("n")).where("n > 1")
+    bad = ends.groupBy("id").agg(F.sum("up").alias("up"), F.sum("down").alias("down")).where("up > 0 AND down > 0")
+    return bad.limit(1).count() + parents.limit(1).count() == 0
+
+
 def _number(most_rows: int, most_weight: int, height: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = TaskContext.get().partitionId() << 32

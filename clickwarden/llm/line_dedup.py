@@ -135,8 +135,8 @@ def line_groups(docs: DataFrame, percent: int = 80) -> DataFrame:
     blocks = blocks_of_clusters(members)
     # at most one entry for each line of a document
     places = blocks.groupBy("doc_id").agg(F.collect_list(F.struct("line", "block", "cluster", "id", "mark")).alias("places"))
-    sets = texts.join(places, "doc_id").select("text", "places").mapInArrow(_elements, "block long, cluster long, id long, elements binary")
-    joined = connected_components(scratch.keep(tree_links(sets, percent, scratch)), scratch)
+    sets = texts.join(places.hint("merge"), "doc_id").select("text", "places").mapInArrow(_elements, "block long, cluster long, id long, elements binary")
+    joined = connected_components(tree_links(sets, percent, scratch), scratch)
     roots = classes.join(joined, "id", "left").withColumn("root", F.coalesce("root", "id"))
     groups = roots.groupBy("root").agg(F.min("first").alias("keep"), F.sum("n").alias("group_size"))
     of_class = roots.join(groups, "root").select(*same, "keep", "group_size")

@@ -132,8 +132,8 @@ def ngram_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFram
     members = classes.where("class_id IS NOT NULL").join(clusters, "id").select("cluster", F.col("n_shingles").alias("weight"), "id", "mark", "class_id")
     blocks = scratch.keep(blocks_of_clusters(members).select("block", "cluster", "id", "mark", F.col("class_id").alias("doc_id")))
     # the text of one document of each class that may have a partner
-    sets = texts.join(blocks, "doc_id").select("block", "cluster", "id", "mark", "text").mapInArrow(_elements(n), "block long, cluster long, id long, elements binary")
-    joined = connected_components(scratch.keep(tree_links(sets, percent, scratch)), scratch)
+    sets = texts.join(blocks.hint("merge"), "doc_id").select("block", "cluster", "id", "mark", "text").mapInArrow(_elements(n), "block long, cluster long, id long, elements binary")
+    joined = connected_components(tree_links(sets, percent, scratch), scratch)
     roots = classes.join(joined, "id", "left").withColumn("root", F.coalesce("root", "id"))
     smallest = roots.groupBy("root").agg(F.min("class_id").alias("component_id"))
     of_class = roots.join(smallest, "root").select("n_shingles", "mark", "other", "class_id", "component_id")

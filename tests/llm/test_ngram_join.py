@@ -99,3 +99,15 @@ def test_empty_and_rows_without_id(spark):
     got = sorted((str(r.doc_id), str(r.component_id)) for r in ngram_components(df, 3, 90).collect())
     assert got == [("5", "5"), ("None", "5"), ("None", "5"), ("None", "None"), ("None", "None")]
     assert ngram_components(df.limit(0)).count() == 0
+
+
+def test_components_over_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(grouping, "_REMEMBERED", 40)
+    rng = random.Random(6)
+    links = [(i, i + 1) for i in range(0, 300)] + [(rng.randint(400, 900), rng.randint(400, 900)) for _ in range(300)]
+    found = UnionFind(901)
+    for a, b in links:
+        found.union(a, b)
+    df = spark.createDataFrame(links, "a long, b long").repartition(6)
+    got = {r.id: r.root for r in connected_components(df, Scratch(spark, "test")).collect()}
+    assert got == {i: found.find(i) for i in {x for a, b in links if a != b for x in (a, b)}}
