@@ -162,7 +162,7 @@ class _WordIds(dict):
         self._encode = tiktoken.Encoding("words", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
     def trim(self) -> None:
-        if len(self) > 600_000:
+        if len(self) > 200_000:
             self.clear()
 
     def __missing__(self, word: str) -> bytes:
