@@ -12,6 +12,7 @@ from test_packing import TEXTS
 def test_equals_the_library_on_whole_texts(spark, monkeypatch):
     monkeypatch.setattr(bpe, "BLOCK_TOKENS", 300)
     monkeypatch.setattr(bpe, "_ROW_TOKENS", 100)
+    monkeypatch.setattr(bpe, "_REMEMBERED", 20)
     rows = [(i, t, "x", 1) for i, t in enumerate(TEXTS * 3)] + [(None, "no id", "x", 1), (0, "", "x", 1)]
     df = spark.createDataFrame(rows, "doc_id long, text string, word string, block int").repartition(3)
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
