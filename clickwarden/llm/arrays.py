@@ -11,7 +11,7 @@ _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 _GRAM = (np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB),
          np.uint64(0x8EBC6AF09C88C6E3), np.uint64(0x589965CC75374CC3))
 #: Bytes of text handled at once; a longer text is handled alone and whole.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -21,17 +21,14 @@ WHITE[[0x20, *range(0x09, 0x0E)]] = True
 NOT_WORD = np.ones(256, dtype=bool)
 NOT_WORD[48:58] = NOT_WORD[65:91] = NOT_WORD[97:123] = NOT_WORD[128:] = False
 
-_powers: dict[str, np.ndarray] = {}
-
-
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if not _powers or len(_powers["up"]) < n:
-        size = max(n, SLICE_BYTES + (1 << 16))
-        for name, step in (("up", _BASE), ("down", _INVERSE)):
-            table = np.full(size, step, dtype=np.uint64)
-            table[0] = 1
-            _powers[name] = np.cumprod(table, dtype=np.uint64)
-    return _powers["up"], _powers["down"]
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first ``n`` powers of the hash base and of its inverse."""
+    tables = []
+    for step in (_BASE, _INVERSE):
+        table = np.full(max(n, 1), step, dtype=np.uint64)
+        table[0] = 1
+        tables.append(np.cumprod(table, dtype=np.uint64))
+    return tables[0], tables[1]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -87,15 +84,18 @@ class Words:
         self.start = np.flatnonzero(opens)
         self.end = np.flatnonzero(closes) + 1
         self.row = np.searchsorted(borders, self.start, side="right") - 1
-        up, down = _power_tables(n + 1)
-        sums = np.zeros(n + 1, dtype=np.uint64)
-        np.cumsum((self.data.astype(np.uint64) + np.uint64(1)) * up[:n], out=sums[1:])
-        self._sums, self._down = sums, down
+        # each byte by its place in its word, so that equal words have equal sums
+        at = np.arange(n)
+        place = at - np.maximum.accumulate(np.where(opens, at, 0)) if n else at
+        longest = int((self.end - self.start).max(initial=0))
+        np.minimum(place, max(longest - 1, 0), out=place)
+        self._sums = np.zeros(n + 1, dtype=np.uint64)
+        np.cumsum((self.data.astype(np.uint64) + np.uint64(1)) * powers(longest)[0][place], out=self._sums[1:])
         self.hash = self.prefix_hash(self.end)
 
     def prefix_hash(self, end: np.ndarray) -> np.ndarray:
         """Hash of each word's bytes up to ``end``."""
-        return mix((self._sums[end] - self._sums[self.start]) * self._down[self.start])
+        return mix(self._sums[end] - self._sums[self.start])
 
     def grams(self, k: int) -> tuple[np.ndarray, np.ndarray]:
         """(index of the first word, hash) of every run of ``k`` words of one row."""

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clickwarden.llm.arrays import _power_tables, mix, slices
+from clickwarden.llm.arrays import mix, powers, slices
 from clickwarden.llm.grouping import blocks_of_clusters, connected_components, key_links
 from clickwarden.llm.scratch import Scratch
 from clickwarden.llm.signature_tree import tree_links
@@ -40,10 +40,11 @@ class Lines:
         size = np.array([len(x) for x in lines], dtype=np.int64)
         begin = np.concatenate([[0], np.cumsum(size)])
         codes = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + np.uint64(1)
-        up, down = _power_tables(len(codes) + 1)
+        place = np.arange(len(codes)) - np.repeat(begin[:-1], size)
+        up, down = powers(int(size.max(initial=0)))
         sums = np.zeros(len(codes) + 1, dtype=np.uint64)
-        np.cumsum(mix(codes) * up[: len(codes)], out=sums[1:])
-        whole = (sums[begin[1:]] - sums[begin[:-1]]) * down[begin[:-1]]
+        np.cumsum(mix(codes) * up[place], out=sums[1:])
+        whole = sums[begin[1:]] - sums[begin[:-1]]
         self.mark = mix(whole + size.astype(np.uint64))
         self.other = mix(whole ^ (size.astype(np.uint64) * _STEP))
         shingles = np.where(size > 0, np.maximum(size - SHINGLE + 1, 1), 0)
@@ -51,7 +52,7 @@ class Lines:
         self.line = np.repeat(np.arange(len(lines)), shingles)
         first = np.arange(len(self.line)) - np.repeat(np.cumsum(shingles) - shingles, shingles) + np.repeat(begin[:-1], shingles)
         last = np.minimum(first + SHINGLE, np.repeat(begin[1:], shingles))
-        self.hash = mix((sums[last] - sums[first]) * down[first])
+        self.hash = mix((sums[last] - sums[first]) * down[place[first]])
 
 
 def band_keys(lines: Lines, count: int) -> np.ndarray:
