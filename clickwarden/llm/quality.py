@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from clickwarden.llm.arrays import WHITE, Words, slices, text_bytes
 from clickwarden.llm.labelled import labelled_sample, remainder, sampled_documents
@@ -236,6 +237,21 @@ def score_quality(docs: DataFrame, parameters: dict[str, np.ndarray]) -> DataFra
     return rows.mapInArrow(_score(state), "doc_id long, score double, passages long, strongest_passage long, attention double")
 
 
+def with_quality(docs: DataFrame, parameters: dict[str, np.ndarray], column: str) -> DataFrame:
+    """The documents, all columns, with their quality score as ``column``; the text doesn't move."""
+    state = docs.sparkSession.sparkContext.broadcast(parameters)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            scores = [np.zeros(0)]
+            for lo, hi in slices(batch.column("text")):
+                of_row, x = passage_features(*text_bytes(batch.column("text")[lo:hi]))
+                scores.append(forward(state.value, x.astype(np.float64), np.searchsorted(of_row, np.arange(hi - lo + 1)))["y"])
+            yield batch.append_column(column, pa.array(np.concatenate(scores)))
+
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(column, DoubleType())]))
+
+
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents with their quality score; learned from labels outside the held-out third."""
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))

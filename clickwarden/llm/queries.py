@@ -1,7 +1,7 @@
 """All queries of this subpackage and their SQL."""
 
-from clickwarden.llm import ann, bpe, chat, exact_dedup, line_dedup, ngram_join, packing, quality, toxicity
+from clickwarden.llm import ann, bpe, chat, exact_dedup, license_scan, line_dedup, ngram_join, packing, quality, toxicity
 
-_MODULES = [quality, ngram_join, line_dedup, ann, bpe, exact_dedup, packing, toxicity, chat]
+_MODULES = [quality, ngram_join, line_dedup, ann, license_scan, bpe, exact_dedup, packing, toxicity, chat]
 QUERIES = {name: run for module in _MODULES for name, run in module.QUERIES.items()}
 SQL = {name: sql for module in _MODULES for name, sql in module.SQL.items()}

@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from clickwarden.llm.arrays import NOT_WORD, Words, slices, text_bytes
 from clickwarden.llm.labelled import fit_logistic, labelled_sample, remainder, sampled_documents
@@ -258,6 +259,26 @@ def score_toxicity(docs: DataFrame, lexicon: Lexicon, prior: float = 8.0, signif
                            "doc_id long, score double, passages array<struct<start:long,end:long,score:double,e_value:double>>")
 
 
+def with_toxicity(docs: DataFrame, lexicon: Lexicon, column: str, prior: float = 8.0) -> DataFrame:
+    """The documents, all columns, with their toxicity score as ``column``; the text doesn't move."""
+    model = docs.sparkSession.sparkContext.broadcast(vars(lexicon))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = SimpleNamespace(**model.value)
+        for batch in batches:
+            scores = [np.zeros(0)]
+            for lo, hi in slices(batch.column("text")):
+                if known.scores is None:
+                    scores.append(np.zeros(hi - lo))
+                    continue
+                words = Words(*text_bytes(batch.column("text")[lo:hi]), NOT_WORD)
+                scores.append(_statistic(*_scan(words, _token_scores(words, known, prior), hi - lo), known))
+            z = np.clip(known.slope * np.concatenate(scores) + known.intercept, -35, 35)
+            yield batch.append_column(column, pa.array(1 / (1 + np.exp(-z))))
+
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(column, DoubleType())]))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents with their toxicity score; learned from labels outside the held-out fifth."""
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
