@@ -238,7 +238,7 @@ def detection_delay(spark, sf):
     return rounded(ev.detection_delay(predictions(spark, sf)))
 
 
-_poisson = "CASE " + " ".join(f"WHEN u < {b!r}::DOUBLE THEN {k}" for k, b in enumerate(ev.POISSON_CUMULATIVE)) + " ELSE 9 END"
+_poisson = "CASE " + " ".join(f"WHEN u < {b!r}::DOUBLE THEN {k}" for k, b in enumerate(ev.POISSON_CUMULATIVE)) + f" ELSE {len(ev.POISSON_CUMULATIVE)} END"
 _draws = {
     "drawn": f"""
       SELECT *, {_poisson} AS w FROM (

@@ -271,7 +271,7 @@ def _iso(column):
 
 @register("human_manifest", query(f"""
   SELECT session_id, 'human' AS label, participant_id, 'human_navigation' AS traffic_family, num_events, {r6('t1 - t0')} AS duration_seconds,
-    first_path, {_iso('t0')} AS start_time_utc, {_iso('t1')} AS end_time_utc, path_signature, paths, 0::BIGINT AS paths_part
+    first_path, {_iso('t0')} AS start_time_utc, {_iso('t1')} AS end_time_utc, path_signature, paths
   FROM (SELECT session_id, count(*) AS num_events, min(timestamp) AS t0, max(timestamp) AS t1, max(path) FILTER (seq = 1) AS first_path,
       string_agg(path, ' > ' ORDER BY seq) AS path_signature, string_agg(path, ' | ' ORDER BY seq) AS paths FROM hev GROUP BY session_id)
   JOIN human_number USING (session_id)"""))
@@ -279,7 +279,7 @@ def human_manifest(spark, sf):
     result = import_human_requests(materialized(human_requests(spark, sf)), timeout=TIMEOUT, tie_breaker="event_id")
     return rounded(result["manifest"].select(
         "session_id", "label", "participant_id", "traffic_family", "num_events", "duration_seconds", "first_path",
-        "start_time_utc", "end_time_utc", "path_signature", "paths", "paths_part"))
+        "start_time_utc", "end_time_utc", "path_signature", "paths"))
 
 
 _key_cases = "CASE WHEN event_id % 3 = 0 THEN '' ELSE 'client_id:' || user_id END"

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 TIMEOUT = 43_200.0
+# added to some responses: more bytes than 32 bits hold
+LARGE_BODY = 3_000_000_000
 PREFIXES = [3, 5, 10]
 
 CHROME = "Mozilla/5.0 (X11; Linux x86_64) AppleWebKit/537.36 Chrome/120.0 Safari/537.36"
@@ -38,7 +40,8 @@ def requests_view(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("event_type") == "error", 500).otherwise(200).alias("status_code"),
         F.when(F.col("event_id") % 4 == 0, F.lit("/")).alias("referrer"),
         F.lit("GET").alias("method"),
-        F.floor(F.col("value") * 100).cast("int").alias("body_bytes_sent"),
+        (F.floor(F.col("value") * 100).cast("bigint") + F.when(F.col("event_id") % 97 == 0, LARGE_BODY).otherwise(0))
+        .alias("body_bytes_sent"),
         agent.alias("user_agent"),
         F.when(user.isin(1, 2), F.concat(F.lit("p"), F.col("user_id").cast("string"))).alias("participant_id"),
     )
@@ -60,7 +63,7 @@ requests AS (
     CASE WHEN event_type = 'error' THEN 500 ELSE 200 END AS status_code,
     CASE WHEN event_id % 4 = 0 THEN '/' END AS referrer,
     'GET' AS method,
-    CAST(floor(value * 100) AS INT) AS body_bytes_sent,
+    CAST(floor(value * 100) AS BIGINT) + CASE WHEN event_id % 97 = 0 THEN {LARGE_BODY} ELSE 0 END AS body_bytes_sent,
     {_AGENT_SQL} AS user_agent,
     CASE WHEN user_id % 6 IN (1, 2) THEN 'p' || user_id END AS participant_id
   FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events)

@@ -7,6 +7,7 @@ so no task sees all scores of a group and the result is exact.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import numpy as np
@@ -21,7 +22,8 @@ CUT_STEP = 12
 CANDIDATE_THRESHOLDS = np.linspace(0.05, 0.95, 19).tolist()
 BOOTSTRAP_METRICS = ["f1", "roc_auc", "pr_auc"]
 # cumulative Poisson(1) probabilities: a draw below the k-th is at most k
-POISSON_CUMULATIVE = np.cumsum([np.exp(-1.0) / float(f) for f in (1, 1, 2, 6, 24, 120, 720, 5040, 40320)]).tolist()
+# as far as the remaining tail is below the step of the 32-bit uniform numbers
+POISSON_CUMULATIVE = np.cumsum([np.exp(-1.0) / math.factorial(k) for k in range(13)]).tolist()
 
 
 def known_labels(rows: DataFrame) -> DataFrame:

@@ -80,17 +80,18 @@ def fit_gradient_boosting(rows: DataFrame, columns: Sequence[str], rounds: int =
     return FittedModel(Pipeline(stages=[_assembler(columns), boosting]).fit(training))
 
 
-def fit_calibrated_svm(rows: DataFrame, columns: Sequence[str], iterations: int = 100, **_) -> FittedModel:
+def fit_calibrated_svm(rows: DataFrame, columns: Sequence[str], iterations: int = 1000, **_) -> FittedModel:
     """Linear SVMs on two of three folds, each with a sigmoid fitted on the third."""
     training, total = weighted_training_rows(rows)
     fold = F.floor(hash_share(F.col("session_id"), "fold") * CALIBRATION_FOLDS)
     training = training.withColumn("fold", fold)
     prepare = Pipeline(stages=[_assembler(columns, "raw_features"), _scaler()]).fit(training)
     scaled = prepare.transform(training)
+    per_fold = {row["fold"]: row["n"] for row in training.groupBy("fold").agg(F.count("*").alias("n")).collect()}
     stages, chances = list(prepare.stages), []
     for index in range(CALIBRATION_FOLDS):
         machine = LinearSVC(
-            labelCol="target", weightCol="weight", maxIter=iterations, regParam=1.0 / total, standardization=False,
+            labelCol="target", weightCol="weight", maxIter=iterations, regParam=1.0 / max(1, total - per_fold.get(index, 0)), standardization=False,
             rawPredictionCol=f"margin_{index}", predictionCol=f"side_{index}",
         ).fit(scaled.where(F.col("fold") != index))
         held = machine.transform(scaled.where(F.col("fold") == index))

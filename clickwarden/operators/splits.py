@@ -177,6 +177,16 @@ def participant_holdouts(metadata: DataFrame) -> DataFrame:
     return counts.where(enough).drop("_n")
 
 
+def in_folds(metadata: DataFrame, key: str, folds: int, seed: str = DEFAULT_SEED) -> DataFrame:
+    """The metadata with each known value of ``key`` replaced by its fold; people and families stay whole.
+
+    ``human`` as a family is no bot family and stays.
+    """
+    value = blank_to_null(F.col(key))
+    fold = F.format_string("fold_%02d", F.floor(hash_share(value, seed) * folds).cast("int"))
+    return metadata.withColumn(key, F.when(value.isNull() | (value == HUMAN), F.col(key)).otherwise(fold))
+
+
 _PARTS = {
     # label -> shares of the sessions that are not held out
     "bot_family": {HUMAN: SPLIT_SHARES, BOT: [("train", 0.75), ("val", 0.25)]},

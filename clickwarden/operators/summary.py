@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..constants import LABEL_METADATA
@@ -10,9 +14,6 @@ from ..functions.paths import is_page_path, path_depth
 from ..functions.times import utc_text
 from ..functions.values import blank_to_null, double_or_zero, ratio
 
-# longest path list gathered into one value; longer sessions are handled in parts of this size
-PART_EVENTS = 100_000
-
 ENRICHMENT_COLUMNS = [
     "start_timestamp", "end_timestamp", "first_path", "referrer_present_ratio",
     "num_page_requests", "num_asset_requests", "asset_request_ratio", "has_asset_requests",
@@ -89,34 +90,46 @@ def enrich_with_all_requests(summary: DataFrame, all_requests: DataFrame) -> Dat
     )
 
 
-def path_signatures(events: DataFrame, part_events: int = PART_EVENTS) -> DataFrame:
-    """Short hashes of the whole path sequence and of its first 3 and 5 paths.
+def _sequence_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Hash the paths of each session of sorted rows as they pass; nothing is gathered."""
+    session, whole, short, seen, rows = None, None, {}, 0, []
+
+    def digests():
+        own = [whole.copy() if n > seen else short[n] for n in (3, 5)]
+        return (session, *[h.hexdigest()[:12] for h in (whole, *own)])
+
+    def batch_of(rows):
+        return pa.record_batch([pa.array(c, pa.string()) for c in zip(*rows)], names=list(_SIGNATURES))
+
+    for batch in batches:
+        for own, path in zip(batch.column("session_id").to_pylist(), batch.column("path").to_pylist()):
+            if whole is None or own != session:
+                if whole is not None:
+                    rows.append(digests())
+                session, whole, short, seen = own, hashlib.sha1(), {}, 0
+            whole.update(f" > {path}".encode() if seen else path.encode())
+            seen += 1
+            if seen in (3, 5):
+                short[seen] = whole.copy()
+        if rows:
+            yield batch_of(rows)
+            rows = []
+    if whole is not None:
+        yield batch_of([digests()])
+
+
+_SIGNATURES = ("session_id", "path_signature", "prefix3_signature", "prefix5_signature")
 
-    Sequences longer than ``part_events`` are hashed part by part, then the part hashes are hashed.
+
+def path_signatures(events: DataFrame) -> DataFrame:
+    """First 12 hex digits of the SHA-1 of the whole path sequence and of its first 3 and 5 paths.
+
+    One definition at every length: the rows of a session pass sorted through one task, which keeps
+    three hash states.
     """
-    part = F.floor((F.col("seq") - 1) / part_events)
-    visits = F.array_sort(F.collect_list(F.struct("seq", "path")))
-    digest = lambda paths: F.sha1(F.array_join(paths, " > "))
-    parts = (
-        events.groupBy("session_id", part.alias("part"))
-        .agg(F.transform(visits, lambda v: v["path"]).alias("paths"))
-        .select(
-            "session_id", "part",
-            digest(F.col("paths")).alias("digest"),
-            F.when(F.col("part") == 0, digest(F.slice("paths", 1, 3))).alias("first3"),
-            F.when(F.col("part") == 0, digest(F.slice("paths", 1, 5))).alias("first5"),
-        )
-    )
-    digests = F.transform(
-        F.array_sort(F.collect_list(F.struct("part", "digest"))), lambda p: p["digest"]
-    )
-    whole = F.when(F.count("*") == 1, F.max("digest")).otherwise(digest(digests))
-    short = lambda value, name: F.substring(value, 1, 12).alias(name)
-    return parts.groupBy("session_id").agg(
-        short(whole, "path_signature"),
-        short(F.max("first3"), "prefix3_signature"),
-        short(F.max("first5"), "prefix5_signature"),
-    )
+    ordered = (events.select("session_id", "seq", F.coalesce("path", F.lit("")).alias("path"))
+               .repartition("session_id").sortWithinPartitions("session_id", "seq"))
+    return ordered.select("session_id", "path").mapInArrow(_sequence_hashes, ", ".join(f"{name} string" for name in _SIGNATURES))
 
 
 def session_metadata(events: DataFrame) -> DataFrame:
@@ -184,28 +197,19 @@ def last_prefix_rows(features: DataFrame) -> DataFrame:
     return features.groupBy("session_id").agg(F.max_by(row, "prefix_len").alias("row")).select("row.*")
 
 
-def session_paths(events: DataFrame, part_events: int = PART_EVENTS) -> DataFrame:
-    """Joined paths of each session; sessions longer than ``part_events`` take several rows."""
-    part = F.floor((F.col("seq") - 1) / part_events).cast("bigint")
-    visits = F.transform(
-        F.array_sort(F.collect_list(F.struct("seq", "path"))), lambda v: v["path"]
-    )
-    return (
-        events.groupBy("session_id", part.alias("paths_part")).agg(visits.alias("visits"))
-        .select(
-            "session_id", "paths_part",
-            F.array_join("visits", " > ").alias("path_signature"),
-            F.array_join("visits", " | ").alias("paths"),
-        )
-    )
+def session_paths(events: DataFrame) -> DataFrame:
+    """Joined paths of each session: one row, as long as the session's own paths."""
+    visits = F.transform(F.array_sort(F.collect_list(F.struct("seq", "path"))), lambda v: v["path"])
+    return events.groupBy("session_id").agg(visits.alias("visits")).select(
+        "session_id", F.array_join("visits", " > ").alias("path_signature"), F.array_join("visits", " | ").alias("paths"))
 
 
-def session_manifest(events: DataFrame, part_events: int = PART_EVENTS) -> DataFrame:
-    """Human-readable list of imported sessions: summary, UTC times and paths."""
-    return session_summary(events).join(session_paths(events, part_events), "session_id").select(
+def session_manifest(events: DataFrame) -> DataFrame:
+    """Human-readable list of imported sessions, one row each: summary, UTC times and paths."""
+    return session_summary(events).join(session_paths(events), "session_id").select(
         "session_id", F.lit("human").alias("label"), *LABEL_METADATA, "client_key", "ip", "num_events",
         "duration_seconds", "unique_paths", "first_path",
         utc_text(F.col("start_timestamp")).alias("start_time_utc"),
         utc_text(F.col("end_timestamp")).alias("end_time_utc"),
-        "paths_part", "path_signature", "paths", "user_agent",
+        "path_signature", "paths", "user_agent",
     )

@@ -129,12 +129,12 @@ def run_experiments(
     prefixes: Iterable[int] = PREFIXES, protocols: Iterable[str] = PROTOCOLS, models: Iterable[str] | None = None,
     ablations: Iterable[str] = tuple(ABLATIONS), hard_prefixes: Iterable[int] = HARD_PREFIXES,
     entropy_variants: Sequence[str] = ENTROPY_VARIANTS, group_key: str = "path_signature", n_bootstrap: int = 300,
-    max_holdouts: int | None = None, model_folder: str | None = None, **options,
+    holdout_folds: int = 10, model_folder: str | None = None, **options,
 ) -> dict[str, DataFrame]:
     """Result tables of the whole grid.
 
-    A hold-out protocol runs once per family or participant. ``max_holdouts`` runs only the
-    largest ones, for a first look.
+    A hold-out protocol deals all families or participants to ``holdout_folds`` folds by hash and
+    holds out one fold at a time, so each is held out exactly once however many there are.
     """
     lengths, protocols = sorted(set(prefixes)), list(protocols)
     prefix = materialized(known_labels(prefix_features))
@@ -170,11 +170,10 @@ def run_experiments(
         ("leave_one_human_user_out", "participant_id", cuts.participant_holdouts, "held_out_participant"),
     ):
         if protocol in protocols:
-            base = materialized(cuts.holdout_base(meta, key))
-            order = eligible(meta).orderBy(F.desc("held_out_sessions"), "held_out")
-            names = order.limit(max_holdouts) if max_holdouts else order
-            # one experiment per name is started from here, so the names come one by one
-            for row in names.select("held_out").toLocalIterator():
+            dealt = cuts.in_folds(meta, key, holdout_folds)
+            base = materialized(cuts.holdout_base(dealt, key))
+            # at most as many rows as folds
+            for row in eligible(dealt).select("held_out").orderBy("held_out").collect():
                 data = use(cuts.holdout_split(base, row["held_out"]), protocol, row["held_out"])
                 runs += split_suite(data, protocol, lengths, models, fewer, f"{note}={row['held_out']}", **options)
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
@@ -19,7 +20,7 @@ REQUEST_SCHEMA = T.StructType([
     T.StructField("method", T.StringType()),
     T.StructField("path", T.StringType()),
     T.StructField("status_code", T.IntegerType()),
-    T.StructField("body_bytes_sent", T.IntegerType()),
+    T.StructField("body_bytes_sent", T.LongType()),
     T.StructField("referrer", T.StringType()),
     T.StructField("user_agent", T.StringType()),
     T.StructField("label", T.StringType()),
@@ -27,13 +28,26 @@ REQUEST_SCHEMA = T.StructType([
 
 
 def read_requests(spark: SparkSession, paths: Paths, log_format: str = "auto", **options) -> DataFrame:
-    """Normalised requests from log files. ``log_format``: auto, combined, csv or jsonl."""
+    """Normalised requests from log files. ``log_format``: auto, combined, csv or jsonl.
+
+    With ``auto`` every path has its own format; what they have in common is put together. A
+    malformed CSV or JSON record fails the job.
+    """
     if log_format == "auto":
-        log_format = infer_log_format(spark, paths)
+        by_format: dict[str, list[str]] = {}
+        for path in [paths] if isinstance(paths, str) else paths:
+            by_format.setdefault(infer_log_format(spark, path), []).append(path)
+        if len(by_format) > 1:
+            parts = [read_requests(spark, own, name, **options) for name, own in by_format.items()]
+            return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+        log_format = next(iter(by_format), "csv")
     if log_format == "combined":
         return parse_combined_log(read_lines(spark, paths), **options)
     if log_format == "csv":
-        return normalize_requests(spark.read.csv(paths, header=True, escape='"'), **options)
+        # one reader per file: each header names its own columns
+        files = [paths] if isinstance(paths, str) else paths
+        parts = [normalize_requests(spark.read.csv(path, header=True, escape='"', mode="FAILFAST", multiLine=True), **options) for path in files]
+        return reduce(lambda a, b: a.unionByName(b), parts)
     if log_format == "jsonl":
         schema = options.pop("schema", None)
         reader = spark.read.schema(schema) if schema else spark.read
@@ -91,15 +105,16 @@ def parse_combined_log(lines: DataFrame, on_error: str = "raise", keep: Sequence
     fields = lines.where(text != "").select(*keep, "value", F.split(rewritten, "\n").alias("f"))
     part = lambda i: F.get("f", F.lit(i))
     time = combined_log_epoch(part(1))
-    good = (F.size("f") == 8) & time.isNotNull()
     dash_to_null = lambda value: F.when(value != "-", value)
+    size = dash_to_null(part(5)).try_cast("bigint")
+    good = (F.size("f") == 8) & time.isNotNull() & ((part(5) == "-") | size.isNotNull())
     columns = {
         "ip": part(0),
         "timestamp": time,
         "method": part(2),
         "path": normalize_path(part(3)),
         "status_code": part(4).try_cast("int"),
-        "body_bytes_sent": dash_to_null(part(5)).try_cast("int"),
+        "body_bytes_sent": size,
         "referrer": normalize_referrer(part(6)),
         "user_agent": dash_to_null(part(7)),
     }

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQueryListener
 
 
 def closed_sessions(requests: DataFrame, timeout_seconds: int = 1800, lateness: str = "10 minutes") -> DataFrame:
@@ -25,8 +25,26 @@ def closed_sessions(requests: DataFrame, timeout_seconds: int = 1800, lateness:
     )
 
 
-def dropped_late_rows(query: StreamingQuery) -> int:
-    """Rows the query dropped because they came after the watermark."""
-    return sum(
-        operator.numRowsDroppedByWatermark for progress in query.recentProgress for operator in progress.stateOperators
-    )
+class LateRows(StreamingQueryListener):
+    """Counts the rows that queries drop because they came after the watermark, batch by batch.
+
+    Register with ``spark.streams.addListener`` before the query starts; ``dropped`` has the total
+    of each query id, complete however long the query runs.
+    """
+
+    def __init__(self):
+        self.dropped: dict[str, int] = {}
+
+    def onQueryStarted(self, event):
+        self.dropped.setdefault(str(event.id), 0)
+
+    def onQueryProgress(self, event):
+        progress = event.progress
+        late = sum(operator.numRowsDroppedByWatermark for operator in progress.stateOperators)
+        self.dropped[str(progress.id)] = self.dropped.get(str(progress.id), 0) + late
+
+    def onQueryIdle(self, event):
+        pass
+
+    def onQueryTerminated(self, event):
+        pass

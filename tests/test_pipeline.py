@@ -1,5 +1,7 @@
 """Log lines to labelled sessions, import, labels, templates and links on small inputs."""
 
+import hashlib
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -163,15 +165,26 @@ def test_human_import(spark):
     assert result["labels"].count() == 2
 
 
-def test_long_sequences_are_hashed_in_parts(spark):
-    rows = [("s", i, f"/{i}") for i in range(1, 8)] + [("t", 1, "/1"), ("t", 2, "/2")]
-    events = spark.createDataFrame(rows, "session_id string, seq long, path string")
-    whole = {r["session_id"]: r for r in path_signatures(events).collect()}
-    parts = {r["session_id"]: r for r in path_signatures(events, part_events=3).collect()}
-    assert whole["t"] == parts["t"]
-    assert whole["s"]["path_signature"] != parts["s"]["path_signature"]
-    assert whole["s"]["prefix3_signature"] == parts["s"]["prefix3_signature"]
-    assert session_paths(events, 3).where("session_id = 's'").count() == 3
+def test_signatures_have_one_definition_at_every_length(spark):
+    sessions = {"s": 7, "t": 2, "u": 3, "v": 120_000, "w": 5}
+    rows = [(name, i, f"/{i}") for name, n in sessions.items() for i in range(1, n + 1)]
+    events = spark.createDataFrame(rows, "session_id string, seq long, path string").repartition(5)
+    got = {r["session_id"]: r for r in path_signatures(events).collect()}
+    digest = lambda n: hashlib.sha1(" > ".join(f"/{i}" for i in range(1, n + 1)).encode()).hexdigest()[:12]
+    for name, n in sessions.items():
+        assert [got[name][k] for k in ("path_signature", "prefix3_signature", "prefix5_signature")] == [digest(n), digest(min(n, 3)), digest(min(n, 5))]
+    assert session_paths(events).where("session_id = 'v'").head()["paths"].count(" | ") == 119_999
+
+
+def test_large_and_unreadable_sizes(spark):
+    good = line("10.0.0.1", "01/Jan/2024:10:00:00", "/", CHROME)
+    large = good.replace('HTTP/1.1" 200 ', 'HTTP/1.1" 200 ').split(" ")
+    at = next(i for i, word in enumerate(large) if word == "200") + 1
+    large[at] = "3000000000"
+    odd = [*large[:at], "12x", *large[at + 1:]]
+    parsed = parse_combined_log(lines_df(spark, [" ".join(large), " ".join(odd)]), on_error="keep").collect()
+    assert [r["body_bytes_sent"] for r in parsed if r["corrupt_line"] is None] == [3_000_000_000]
+    assert sum(r["corrupt_line"] is not None for r in parsed) == 1
 
 
 def test_label_upsert(spark):
@@ -200,3 +213,25 @@ def test_page_links(spark):
         "https://other/z": ("link", None, None),
     }
     assert {r["ref"] for r in broken_links(pages).collect()} == {"pic.png", "/style.css"}
+
+
+def test_late_rows_are_counted_batch_by_batch(spark, tmp_path):
+    from clickwarden.streaming.sessions import LateRows, closed_sessions
+
+    counter = LateRows()
+    spark.streams.addListener(counter)
+    try:
+        # files are read one by one, in the order of their times
+        hours = [["2024-01-01 10:00:00"], ["2024-01-01 20:00:00"], ["2024-01-01 20:01:00"], ["2024-01-01 10:00:05", "2024-01-01 10:00:06", "2024-01-01 20:02:00"]]
+        for at, times in enumerate(hours):
+            frame = spark.createDataFrame([("c", t) for t in times], "client_key string, t string").selectExpr("client_key", "to_timestamp(t) AS event_time")
+            frame.coalesce(1).write.parquet(f"{tmp_path}/part{at}")
+            next((tmp_path / f"part{at}").glob("part-*.parquet")).rename(tmp_path / f"{at}.parquet")
+        stream = spark.readStream.schema("client_key string, event_time timestamp").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/*.parquet")
+        started = closed_sessions(stream, 1800, "10 minutes").writeStream.format("noop").outputMode("append").option(
+            "checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start()
+        started.awaitTermination()
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(10_000)
+        assert counter.dropped[str(started.id)] == 2
+    finally:
+        spark.streams.removeListener(counter)
