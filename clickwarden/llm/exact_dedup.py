@@ -1,9 +1,11 @@
 """Exact duplicates by content sort: range partitions of the sorted texts, neighbours compared whole.
 
-Sampled splitters range-partition the rows by (text, id), the sort inside a partition spills to
-disk, and one pass over the sorted rows compares each text with the one before it. A group of
-copies may run over many partitions, since the id is part of the sort key: each partition reports
-its first and last text, and neighbouring partitions are joined where those are equal.
+Sampled splitters range-partition the rows by their bytes and id, the sort inside a partition spills
+to disk, and one pass over the sorted rows compares each whole text with the one before it. For the
+splitters, which pass through the driver, a text's bytes are its beginning and the SHA-256 of all,
+so they stay small. A group of copies may run over many partitions, since the id is part of
+the sort key: each partition reports its first and last text, and neighbouring partitions are joined
+where those are equal.
 """
 
 from __future__ import annotations
@@ -21,6 +23,8 @@ from clickwarden.llm.scratch import Scratch
 
 _SORTED = "id long, sha string, part long, run long, again boolean, edge int, edge_text string"
 FIRST, LAST = 1, 2
+#: Characters of a text's beginning in the sort key.
+HEAD = 32
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -75,9 +79,9 @@ def exact_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: st
     text = F.coalesce(F.col(f"`{text_column}`").cast("string"), F.lit(""))
     rows = docs.select(F.col(f"`{id_column}`").cast("long").alias("id"), (normalise(text) if normalise else text).alias("text"))
     n = partitions or max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    ordered = rows.repartitionByRange(n, "text", "id").sortWithinPartitions("text", "id")
-    marked = scratch.keep(
-        ordered.withColumn("sha", F.sha2(F.encode("text", "UTF-8"), 256)).mapInArrow(_runs, _SORTED))
+    rows = rows.withColumns({"head": F.substring("text", 1, HEAD), "sha": F.sha2(F.encode("text", "UTF-8"), 256)})
+    ordered = rows.repartitionByRange(n, "head", "sha", "id").sortWithinPartitions("head", "sha", "text", "id")
+    marked = scratch.keep(ordered.select("id", "text", "sha").mapInArrow(_runs, _SORTED))
 
     # one narrow row per partition: does its first run continue the last run of the one before?
     edges = marked.where("edge > 0").groupBy("part").agg(
