@@ -121,7 +121,9 @@ def connected_components(links: DataFrame, scratch: Scratch) -> DataFrame:
         before, current = current, scratch.keep(small.unionByName(roots.select("a", F.col("m").alias("b"))).distinct())
         scratch.free(before)
     roots = current.select(F.col("b").alias("id")).distinct()
-    return current.select(F.col("a").alias("id"), F.col("b").alias("root")).unionByName(roots.withColumn("root", F.col("id")))
+    out = current.select(F.col("a").alias("id"), F.col("b").alias("root")).unionByName(roots.withColumn("root", F.col("id")))
+    out.scratch_path = current.scratch_path
+    return out
 
 
 def _stars(links: DataFrame) -> bool:

@@ -21,8 +21,8 @@ from clickwarden.llm.scratch import Scratch
 from clickwarden.llm.signature_tree import tree_links
 
 SHINGLE = 8
-#: At a similarity of 0.8 a pair shares no band with a probability of 0.9 %, at 0.9 of 1 in 30,000.
-BANDS, BAND_BINS = 12, 5
+#: A pair shares no band with a probability of 1.9 % at a similarity of 0.8, 0.3 % at 0.85, 0.01 % at 0.9.
+BANDS, BAND_BINS = 10, 5
 _BINS = BANDS * BAND_BINS
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -94,6 +94,13 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 names=["doc_id", "line", "size", "mark", "other", "keys"])
 
 
+def shingle_sets(packed: list[bytes]) -> list[np.ndarray]:
+    """Sorted distinct shingle hashes of compared lines."""
+    signed = Lines([line.decode() for line in packed])
+    cuts = np.concatenate([[0], np.cumsum(signed.size)])
+    return [np.unique(signed.hash[a:b]) for a, b in zip(cuts, cuts[1:])]
+
+
 def _elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([("block", pa.int64()), ("cluster", pa.int64()), ("id", pa.int64()), ("elements", pa.binary())])
     for batch in batches:
@@ -107,11 +114,10 @@ def _elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         lines.append(own[p["line"]])
             if not lines:
                 continue
-            signed = Lines(lines)
-            cuts = np.concatenate([[0], np.cumsum(signed.size)])
+            marks = Lines(lines).mark.view(np.int64).tolist()
             # of several rows with one doc_id, the one that has this line
-            rows = [{"block": p["block"], "cluster": p["cluster"], "id": p["id"], "elements": np.unique(signed.hash[cuts[i]: cuts[i + 1]]).tobytes()}
-                    for i, p in enumerate(wanted) if int(signed.mark[i].view(np.int64)) == p["mark"]]
+            rows = [{"block": p["block"], "cluster": p["cluster"], "id": p["id"], "elements": line.encode()}
+                    for p, line, mark in zip(wanted, lines, marks) if mark == p["mark"]]
             yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
 
@@ -137,7 +143,8 @@ def line_groups(docs: DataFrame, percent: int = 80) -> DataFrame:
     # at most one entry for each line of a document
     places = blocks.groupBy("doc_id").agg(F.collect_list(F.struct("line", "block", "cluster", "id", "mark")).alias("places"))
     sets = texts.join(places.hint("merge"), "doc_id").select("text", "places").mapInArrow(_elements, "block long, cluster long, id long, elements binary")
-    joined = connected_components(tree_links(sets, percent, scratch), scratch)
+    joined = connected_components(tree_links(sets, percent, scratch, shingle_sets), scratch)
+    scratch.free_others(signed, classes, joined)
     roots = classes.join(joined, "id", "left").withColumn("root", F.coalesce("root", "id"))
     groups = roots.groupBy("root").agg(F.min("first").alias("keep"), F.sum("n").alias("group_size"))
     of_class = roots.join(groups, "root").select(*same, "keep", "group_size")

@@ -134,6 +134,7 @@ def ngram_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFram
     # the text of one document of each class that may have a partner
     sets = texts.join(blocks.hint("merge"), "doc_id").select("block", "cluster", "id", "mark", "text").mapInArrow(_elements(n), "block long, cluster long, id long, elements binary")
     joined = connected_components(tree_links(sets, percent, scratch), scratch)
+    scratch.free_others(sketches, classes, joined)
     roots = classes.join(joined, "id", "left").withColumn("root", F.coalesce("root", "id"))
     smallest = roots.groupBy("root").agg(F.min("class_id").alias("component_id"))
     of_class = roots.join(smallest, "root").select("n_shingles", "mark", "other", "class_id", "component_id")

@@ -19,6 +19,7 @@ class Scratch:
         self._spark = spark
         self._base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
         self._count = 0
+        self._paths: set[str] = set()
 
     def keep(self, df: DataFrame) -> DataFrame:
         self._count += 1
@@ -26,10 +27,19 @@ class Scratch:
         df.write.option("compression", "zstd").parquet(path)
         kept = self._spark.read.schema(df.schema).parquet(path)
         kept.scratch_path = path
+        self._paths.add(path)
         return kept
 
     def free(self, *tables: DataFrame) -> None:
-        jvm = self._spark._jvm
         for table in tables:
-            path = jvm.org.apache.hadoop.fs.Path(table.scratch_path)
-            path.getFileSystem(self._spark._jsc.hadoopConfiguration()).delete(path, True)
+            self._delete(table.scratch_path)
+
+    def free_others(self, *needed: DataFrame) -> None:
+        """Delete all tables but those that the result still reads."""
+        for path in self._paths - {table.scratch_path for table in needed}:
+            self._delete(path)
+
+    def _delete(self, name: str) -> None:
+        path = self._spark._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(self._spark._jsc.hadoopConfiguration()).delete(path, True)
+        self._paths.discard(name)

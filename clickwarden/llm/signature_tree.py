@@ -10,7 +10,7 @@ compared element by element. Pairs that earlier matches of the task join already
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -78,19 +78,22 @@ def overlap_size(a: np.ndarray, b: np.ndarray) -> int:
     return int((b[at] == a).sum()) if len(b) else 0
 
 
-def _unpack(row: dict):
-    size = np.frombuffer(row["sizes"], "<i8")
-    elements = np.frombuffer(row["sets"], "<u8")
-    cuts = np.concatenate([[0], np.cumsum(size)])
-    sets = [elements[a:b] for a, b in zip(cuts, cuts[1:])]
-    return np.frombuffer(row["ids"], "<i8"), size, sets, np.stack([bitmap(s) for s in sets])
+def numbers(packed: list[bytes]) -> list[np.ndarray]:
+    """Sets that travel as their packed elements."""
+    return [np.frombuffer(p, "<u8") for p in packed]
 
 
-def matches(a: dict, b: dict, percent: int) -> list[tuple[int, int]]:
+def _unpack(row: dict, expand: Callable[[list[bytes]], list[np.ndarray]]):
+    cuts = np.concatenate([[0], np.cumsum(np.frombuffer(row["sizes"], "<i8"))]).tolist()
+    sets = expand([row["sets"][a:b] for a, b in zip(cuts, cuts[1:])])
+    return np.frombuffer(row["ids"], "<i8"), np.array([len(s) for s in sets], dtype=np.int64), sets, np.stack([bitmap(s) for s in sets])
+
+
+def matches(a: dict, b: dict, percent: int, expand: Callable[[list[bytes]], list[np.ndarray]] = numbers) -> list[tuple[int, int]]:
     """Links between the sets of two block rows (or of one with itself) that join their components."""
     same = a["block"] == b["block"]
-    ids_a, size_a, sets_a, bits_a = _unpack(a)
-    ids_b, size_b, sets_b, bits_b = (ids_a, size_a, sets_a, bits_a) if same else _unpack(b)
+    ids_a, size_a, sets_a, bits_a = _unpack(a, expand)
+    ids_b, size_b, sets_b, bits_b = (ids_a, size_a, sets_a, bits_a) if same else _unpack(b, expand)
     joined, shift = UnionFind(len(ids_a) + (0 if same else len(ids_b))), 0 if same else len(ids_a)
     found = []
     for i, j in zip(*(x.tolist() for x in candidate_pairs(size_a, bits_a, size_b, bits_b, percent))):
@@ -103,30 +106,34 @@ def matches(a: dict, b: dict, percent: int) -> list[tuple[int, int]]:
     return found
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _blocks(expand: Callable[[list[bytes]], list[np.ndarray]]):
     """One row per block of rows sorted by block: its node and all its sets."""
     schema = pa.schema([("block", pa.int64()), ("cluster", pa.int64()), ("least", pa.int32()), ("most", pa.int32()),
                         *[(n, pa.binary()) for n in ("any", "all", "sets", "sizes", "ids")]])
 
     def node(rows):
-        sets = [np.frombuffer(r["elements"], "<u8") for r in rows]
+        packed = [r["elements"] for r in rows]
+        sets = expand(packed)
         size = np.array([len(s) for s in sets], "<i8")
         bits = np.stack([bitmap(s) for s in sets])
         return pa.RecordBatch.from_pylist([{
             "block": rows[0]["block"], "cluster": rows[0]["cluster"], "least": int(size.min()), "most": int(size.max()),
             "any": np.bitwise_or.reduce(bits).tobytes(), "all": np.bitwise_and.reduce(bits).tobytes(),
-            "sets": np.concatenate(sets).tobytes(), "sizes": size.tobytes(), "ids": np.array([r["id"] for r in rows], "<i8").tobytes()}], schema=schema)
+            "sets": b"".join(packed), "sizes": np.array([len(p) for p in packed], "<i8").tobytes(), "ids": np.array([r["id"] for r in rows], "<i8").tobytes()}], schema=schema)
 
-    rows = []
-    for batch in batches:
-        for lo in range(0, batch.num_rows, 256):
-            for row in batch.slice(lo, 256).to_pylist():
-                if rows and row["block"] != rows[0]["block"]:
-                    yield node(rows)
-                    rows = []
-                rows.append(row)
-    if rows:
-        yield node(rows)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = []
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 256):
+                for row in batch.slice(lo, 256).to_pylist():
+                    if rows and row["block"] != rows[0]["block"]:
+                        yield node(rows)
+                        rows = []
+                    rows.append(row)
+        if rows:
+            yield node(rows)
+
+    return run
 
 
 def _above(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,27 +198,27 @@ def _pairs(nodes: DataFrame, key: str, percent: int, within: DataFrame | None =
     return both.select(*wanted).mapInArrow(_prune(key, percent), f"{key}_a long, {key}_b long")
 
 
-def _compare(percent: int):
+def _compare(percent: int, expand):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(batch.num_rows):
                 row = batch.slice(lo, 1).to_pylist()[0]
                 a, b = ({k: row[f"{k}_{s}"] for k in ("block", "sets", "sizes", "ids")} for s in "ab")
-                links = matches(a, b, percent)
+                links = matches(a, b, percent, expand)
                 if links:
                     yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*links)], names=["a", "b"])
 
     return run
 
 
-def tree_links(sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+def tree_links(sets: DataFrame, percent: int, scratch: Scratch, expand: Callable[[list[bytes]], list[np.ndarray]] = numbers) -> DataFrame:
     """Links (a, b) that join all ids whose sets have 100 * overlap >= percent * union within a cluster.
 
-    ``sets`` has block, cluster, id and elements (sorted distinct 64-bit numbers, packed). No pair
-    that reaches the threshold is left unlinked, directly or over other links.
+    ``sets`` has block, cluster, id and elements, from which ``expand`` makes sorted distinct 64-bit
+    numbers (packed numbers by default; a text may be shorter to move). No pair that reaches the threshold is left unlinked, directly or over other links.
     """
     ordered = sets.repartition("block").sortWithinPartitions("block", "id")
-    nodes = scratch.keep(ordered.select("block", "cluster", "id", "elements").mapInArrow(_blocks, _NODE))
+    nodes = scratch.keep(ordered.select("block", "cluster", "id", "elements").mapInArrow(_blocks(expand), _NODE))
     nodes = nodes.withColumn("parent", F.floor(F.col("block") / F.lit(HEIGHT)))
     narrow = nodes.select("block", "cluster", "least", "most", "any", "all", "parent")
     upper = (narrow.withColumnRenamed("parent", "upper").drop("block").repartition("upper").sortWithinPartitions("upper")
@@ -219,4 +226,4 @@ def tree_links(sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     pairs = _pairs(narrow, "block", percent, within=_pairs(upper, "upper", percent))
     full = [nodes.select(*_side(nodes, s, "block", "sets", "sizes", "ids")) for s in "ab"]
     both = pairs.join(full[0], "block_a").join(full[1], "block_b")
-    return both.mapInArrow(_compare(percent), "a long, b long")
+    return both.mapInArrow(_compare(percent, expand), "a long, b long")
