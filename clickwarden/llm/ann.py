@@ -20,10 +20,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from clickwarden.llm.arrays import mix
 from clickwarden.llm.scratch import Scratch
 
 _EDGE = "src long, dst long, score float"
 _BITS = 24
+#: Bits of the marks of a list; an eighth or so of the unlisted ids look listed, in this round.
+_MARKS = 512
 
 
 @dataclass(frozen=True)
@@ -33,10 +36,11 @@ class Settings:
     trees: int = 32
     block: int = 256  # rows compared with each other at the start
     seeds: int = 6  # taken of each of these blocks by each row
-    rounds: int = 2
+    rounds: int = 3
     offers: int = 4  # of each pair of lists, to each node and round
     hops: int = 2
-    expand: int = 28  # candidates opened in a hop
+    expand: int = 40  # candidates opened in a hop
+    search_reverse: int = 40  # as reverse, for the search
     beam: int = 64  # candidates kept, and scored exactly
 
 
@@ -142,11 +146,33 @@ def _local_join(offers: int):
     return run
 
 
+def _slot(ids: np.ndarray) -> np.ndarray:
+    """Bit of each id in the marks of a list."""
+    return (mix(ids.astype(np.uint64)) >> np.uint64(40)).astype(np.int64) % _MARKS
+
+
+def _summary(full: int):
+    """Of each node's list the score to beat, and marks that tell most ids that are not in it."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            bits = np.zeros((batch.num_rows, _MARKS), dtype=bool)
+            sizes = batch.column("size").to_numpy()
+            bits[np.repeat(np.arange(batch.num_rows), sizes), _slot(batch.column("listed").flatten().to_numpy())] = True
+            last = np.where(sizes >= full, batch.column("least").to_numpy(), -np.inf).astype(np.float32)
+            yield pa.record_batch([batch.column("src"), pa.array(last), pa.array([b.tobytes() for b in np.packbits(bits, axis=1)], pa.binary())],
+                                  names=["dst", "last", "marks"])
+
+    return run
+
+
 def _offers(group: dict, offers: int):
     x, own = _decode(group["code"]), group["dst"].to_numpy()
     score = x @ x.T
     np.fill_diagonal(score, -np.inf)
-    score[score <= group["last"].to_numpy()[:, None]] = -np.inf
+    marks = np.unpackbits(np.frombuffer(b"".join(group["marks"].to_pylist()), np.uint8).reshape(len(own), -1), axis=1).astype(bool)
+    score[marks[:, _slot(own)] | (score <= group["last"].to_numpy()[:, None])] = -np.inf
     r, c = _best(score, offers)
     return own[r], own[c], score[r, c]
 
@@ -199,10 +225,10 @@ def neighbour_graph(codes: DataFrame, settings: Settings, scratch: Scratch) -> D
     near = sided.repartitionByRange(n, "tree", "bits", "node").sortWithinPartitions("tree", "bits", "node")
     graph = scratch.keep(_top(near.mapInArrow(_start(settings.block, settings.seeds), _EDGE), settings.neighbours))
     for turn in range(settings.rounds):
-        last = graph.groupBy("src").agg(F.count("*").alias("n"), F.min("score").alias("least")).select(
-            F.col("src").alias("dst"), F.when(F.col("n") >= settings.neighbours, F.col("least")).otherwise(F.lit(float("-inf")).cast("float")).alias("last"))
-        listed = _both_ways(graph, settings.reverse, turn).join(codes.select(F.col("node").alias("dst"), "code").join(last, "dst", "left"), "dst")
-        listed = listed.select("node", "dst", "code", F.coalesce("last", F.lit(float("-inf")).cast("float")).alias("last"))
+        lists = graph.groupBy("src").agg(F.count("*").cast("int").alias("size"), F.min("score").alias("least"), F.collect_list("dst").alias("listed"))
+        known = lists.mapInArrow(_summary(settings.neighbours), "dst long, last float, marks binary")
+        known = codes.select(F.col("node").alias("dst"), "code").join(known, "dst")
+        listed = _both_ways(graph, settings.reverse, turn).join(known, "dst").select("node", "dst", "code", "last", "marks")
         offered = listed.repartition("node").sortWithinPartitions("node", "dst").mapInArrow(_local_join(settings.offers), _EDGE)
         better = scratch.keep(_top(offered.unionByName(graph.select("src", "dst", "score")), settings.neighbours))
         scratch.free(graph)
@@ -267,7 +293,7 @@ def nearest_neighbours(vectors: DataFrame, query_filter: Column, most: int = 20,
 
     # queries with one vector have one search
     starts = asking.select(F.col("node").alias("query")).distinct()
-    ways = scratch.keep(_both_ways(graph, settings.reverse, settings.rounds))
+    ways = scratch.keep(_both_ways(graph, settings.search_reverse, settings.rounds))
     found = None
     for hop in range(settings.hops + 1):
         if found is None:
