@@ -6,12 +6,14 @@ from pyspark.sql import functions as F
 
 from clickwarden.operators import evaluation as ev, features as feats, splits, summary as summaries
 from clickwarden.operators.models import MODELS, ModelBundle
+from clickwarden.operators.scoring import rule_scores
 from clickwarden.plans import experiment
 from clickwarden.plans.prepare import prepare_dataset
 from clickwarden.session import materialized
 from clickwarden.sources.tables import load_or_build, prefix_table_name, read_table, write_results
 
 from .common import label_table, labelled, rounded, site_nodes, stored_events
+from .evaluation import _curves, _metric_select, baseline, curve_sql, dataset, heuristic_predictions, metrics_sql
 from .ingest import scratch
 from .requests_view import PREFIXES, TIMEOUT, requests_view
 from .sessions import feature_select
@@ -120,10 +122,20 @@ def feature_tables(spark, sf):
     return rounded(load_or_build(spark, folder, name, build))
 
 
-@register("experiment_tables")
+_RULE_RUN = {
+    "protocol": "session_split", "model_name": "heuristic_rules", "ablation_name": "heuristic_baseline",
+    "notes": "entropy+timing+ua heuristics"}
+
+
+@register("experiment_tables", query(
+    f"SELECT {', '.join(f"'{value}' AS {name}" for name, value in _RULE_RUN.items())}, prefix_len, {_metric_select}, {_curves} "
+    f"FROM ({metrics_sql('hb_pred', 'prefix_len')}) JOIN ({curve_sql('hb_pred', 'prefix_len')}) USING (prefix_len)",
+    baseline("bsplit", "hb")))
 def experiment_tables(spark, sf):
-    data = split_data(spark, sf)
-    predictions = materialized(experiment.rule_run(data, "session_split"))
+    _, metadata, prefix = dataset(spark, sf)
+    scored = materialized(rule_scores(prefix, metadata).withColumn("bot_probability", F.round("bot_probability", 10)))
+    decided = heuristic_predictions(scored, materialized(splits.bucket_split(metadata)))
+    predictions = materialized(decided.select(*[F.lit(v).alias(k) for k, v in _RULE_RUN.items()], "*"))
     folder = scratch(spark, "results")
     write_results({
         "predictions": predictions, "metrics": ev.metrics_by_group(predictions, [*experiment.RUN, "prefix_len"]),

@@ -56,4 +56,4 @@ def write_results(results: dict[str, DataFrame], folder: str) -> None:
     """One table per kind of result, partitioned by protocol where there is one."""
     for name, df in results.items():
         keys = ["protocol"] if "protocol" in df.columns else []
-        write_table(df.withColumn("protocol", F.col("protocol")) if keys else df, folder, name, partition_by=keys)
+        write_table(df, folder, name, partition_by=keys)
