@@ -14,6 +14,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -85,7 +86,8 @@ def numbers(packed: list[bytes]) -> list[np.ndarray]:
 
 def _unpack(row: dict, expand: Callable[[list[bytes]], list[np.ndarray]]):
     cuts = np.concatenate([[0], np.cumsum(np.frombuffer(row["sizes"], "<i8"))]).tolist()
-    sets = expand([row["sets"][a:b] for a, b in zip(cuts, cuts[1:])])
+    raw = zstandard.ZstdDecompressor().decompress(row["sets"])
+    sets = expand([raw[a:b] for a, b in zip(cuts, cuts[1:])])
     return np.frombuffer(row["ids"], "<i8"), np.array([len(s) for s in sets], dtype=np.int64), sets, np.stack([bitmap(s) for s in sets])
 
 
@@ -119,7 +121,8 @@ def _blocks(expand: Callable[[list[bytes]], list[np.ndarray]]):
         return pa.RecordBatch.from_pylist([{
             "block": rows[0]["block"], "cluster": rows[0]["cluster"], "least": int(size.min()), "most": int(size.max()),
             "any": np.bitwise_or.reduce(bits).tobytes(), "all": np.bitwise_and.reduce(bits).tobytes(),
-            "sets": b"".join(packed), "sizes": np.array([len(p) for p in packed], "<i8").tobytes(), "ids": np.array([r["id"] for r in rows], "<i8").tobytes()}], schema=schema)
+            # near copies share most elements, and a block goes to every pair that stays
+            "sets": zstandard.ZstdCompressor(level=3).compress(b"".join(packed)), "sizes": np.array([len(p) for p in packed], "<i8").tobytes(), "ids": np.array([r["id"] for r in rows], "<i8").tobytes()}], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = []
