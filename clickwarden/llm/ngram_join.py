@@ -20,8 +20,14 @@ from clickwarden.llm.grouping import blocks_of_clusters, connected_components, k
 from clickwarden.llm.scratch import Scratch
 from clickwarden.llm.signature_tree import tree_links
 
-#: Segments on which two linked sets agree at least; a set with fewer empty ones needs no rows for them.
-_AGREE = 3
+def agreements(differ: int) -> int:
+    """Segments on which two linked sets agree at least; a set with fewer empty ones needs no rows for them.
+
+    More where segments are many, so that sets with so many empty ones stay rare.
+    """
+    return 3 + differ // 12
+
+
 _OTHER = np.uint64(0x2127599BF4325C37)
 _CLASS_STEP, _SEGMENT_STEP = np.uint64(0x9FB21C651E98DF25), np.uint64(0xD1B54A32D192ED03)
 
@@ -50,11 +56,11 @@ def segment_keys(elements: np.ndarray, percent: int, classes: np.ndarray) -> np.
         differ = differences(most, percent)
         if not differ:
             continue
-        segments = np.uint64(differ + _AGREE)
+        segments = np.uint64(differ + agreements(differ))
         segment = ((elements >> np.uint64(32)) * segments) >> np.uint64(32)
         starts = np.flatnonzero(np.concatenate([[True], segment[1:] != segment[:-1]]))
         sums, used = np.add.reduceat(spread, starts), segment[starts]
-        if int(segments) - len(used) >= _AGREE:
+        if int(segments) - len(used) >= agreements(differ):
             blank = np.setdiff1d(np.arange(int(segments), dtype=np.uint64), used, assume_unique=True)
             sums, used = np.concatenate([sums, np.zeros(len(blank), np.uint64)]), np.concatenate([used, blank])
         keys.append(mix(sums + np.uint64(c) * _CLASS_STEP + used * _SEGMENT_STEP))
