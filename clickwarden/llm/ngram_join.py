@@ -63,7 +63,7 @@ def segment_keys(elements: np.ndarray, percent: int, classes: np.ndarray) -> np.
         if int(segments) - len(used) >= agreements(differ):
             blank = np.setdiff1d(np.arange(int(segments), dtype=np.uint64), used, assume_unique=True)
             sums, used = np.concatenate([sums, np.zeros(len(blank), np.uint64)]), np.concatenate([used, blank])
-        keys.append(mix(sums + np.uint64(c) * _CLASS_STEP + used * _SEGMENT_STEP))
+        keys.append(mix(sums + np.uint64(c * int(_CLASS_STEP) % (1 << 64)) + used * _SEGMENT_STEP))
     return np.concatenate(keys) if keys else np.zeros(0, np.uint64)
 
 
