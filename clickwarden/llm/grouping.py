@@ -97,10 +97,10 @@ def _local_components(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
 def connected_components(links: DataFrame, scratch: Scratch) -> DataFrame:
     """(id, root) for every id of the links (a, b) with a <> b; the root is the smallest id of its component.
 
-    Tasks join what they hold, up to ``_REMEMBERED`` links each, and report their forests. While
-    more than one task is needed, large-star and small-star steps follow: a union-find over
-    the whole cluster whose rounds are joins, until every component is a star around its root. Each round's
-    links are a written table.
+    Tasks join what they hold, up to ``_REMEMBERED`` links each, and report their forests. Where one
+    forest can't be sure to hold all ids (a link brings up to two), large-star and small-star steps follow: a
+    union-find over the whole cluster whose rounds are joins, until every component is a star around its root.
+    Each round's links are a written table.
     """
     def joined(table: DataFrame, rows: int | None = None) -> DataFrame:
         fewer = table if rows is None else table.coalesce(max(1, -(-rows // _REMEMBERED)))
@@ -111,7 +111,12 @@ def connected_components(links: DataFrame, scratch: Scratch) -> DataFrame:
         rows = current.count()
         before, current = current, joined(current, rows)
         scratch.free(before)
-        if rows <= _REMEMBERED or _stars(current):
+        if 2 * rows <= _REMEMBERED:  # one task, whose forest was never cleared
+            break
+        if _stars(current):
+            # several forests may have reported one link
+            before, current = current, scratch.keep(current.distinct())
+            scratch.free(before)
             break
         both = current.unionByName(current.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))

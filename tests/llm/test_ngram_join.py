@@ -111,3 +111,19 @@ def test_components_over_many_tasks(spark, monkeypatch):
     df = spark.createDataFrame(links, "a long, b long").repartition(6)
     got = {r.id: r.root for r in connected_components(df, Scratch(spark, "test")).collect()}
     assert got == {i: found.find(i) for i in {x for a, b in links if a != b for x in (a, b)}}
+
+
+def test_components_of_more_ids_than_links(spark, monkeypatch):
+    monkeypatch.setattr(grouping, "_REMEMBERED", 40)
+    # fewer links than the bound, more ids; the last links name ids of the first batches again
+    links = [(i, i + 100) for i in range(26)] + [(i + 100, i + 200) for i in range(8)] + [(0, 100), (1, 101)]
+    found = UnionFind(301)
+    for a, b in links:
+        found.union(a, b)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "8")
+    try:
+        got = connected_components(spark.createDataFrame(links, "a long, b long").coalesce(1), Scratch(spark, "test")).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert sorted((r.id, r.root) for r in got) == [(i, found.find(i)) for i in sorted({x for link in links for x in link})]
