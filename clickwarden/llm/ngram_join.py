@@ -2,8 +2,8 @@
 
 Equal sets are one class. A set is cut by hash ranges into more segments than two sets of the
 threshold can differ in, so linked classes agree on a whole segment: classes that share one, and
-theirs, form a cluster. In each cluster a signature tree finds every pair above the threshold; the
-links are closed to components. All counts in the bound are exact, no link is lost.
+theirs, form a cluster. In each cluster a signature tree excludes pairs; the links of the rest are
+counted, listed or just closed to components. All counts in the bound are exact, no link is lost.
 """
 
 from __future__ import annotations
@@ -118,16 +118,8 @@ def _elements(n: int):
     return run
 
 
-def ngram_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, class_id, component_id for every row; two rows link at 100 * overlap >= percent * union.
-
-    Words are separated by ASCII white space, A-Z are lower-cased. A text of fewer than ``n`` words
-    has its whole sequence as one shingle; a null, empty or blank text has none and links to
-    nothing. ``class_id`` is the smallest doc_id with the same set, ``component_id`` the smallest
-    reachable over links. Shingles are compared by 64-bit hashes, sets by 128 bits and size. A row without doc_id
-    has null as both where no other row of its set has one; such a set links to no other. Repeated rows stay rows.
-    """
-    scratch = Scratch(docs.sparkSession, "ngram")
+def _class_sets(docs: DataFrame, n: int, percent: int, scratch: Scratch) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Sketches of all rows, classes of equal sets, and the sets of the classes that may have a partner, in blocks."""
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     sketches = scratch.keep(texts.mapInArrow(_sketch(n, percent), "doc_id long, n_shingles long, mark long, other long, keys array<long>"))
     filled = sketches.where("n_shingles > 0")
@@ -139,21 +131,66 @@ def ngram_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFram
     blocks = scratch.keep(blocks_of_clusters(members).select("block", "cluster", "id", "mark", F.col("class_id").alias("doc_id")))
     # the text of one document of each class that may have a partner
     sets = texts.join(blocks.hint("merge"), "doc_id").select("block", "cluster", "id", "mark", "text").mapInArrow(_elements(n), "block long, cluster long, id long, elements binary")
-    joined = connected_components(tree_links(sets, percent, scratch), scratch)
-    scratch.free_others(sketches, classes, joined)
+    return sketches, classes, sets
+
+
+def ngram_links(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
+    """(class_a, class_b), class_a < class_b: every pair of different sets that links as in ``ngram_components``.
+
+    A group of near copies has as many pairs as it has; to count them, ask ``ngram_components`` for ``n_links``.
+    """
+    scratch = Scratch(docs.sparkSession, "ngram")
+    _, classes, sets = _class_sets(docs, n, percent, scratch)
+    found = scratch.keep(tree_links(sets, percent, scratch, output="every"))
+    scratch.free_others(classes, found)
+    a, b = (classes.select(F.col("id").alias(s), F.col("class_id").alias(f"class_{s}")) for s in "ab")
+    both = found.join(a, "a").join(b, "b")
+    return both.select(F.least("class_a", "class_b").alias("class_a"), F.greatest("class_a", "class_b").alias("class_b"))
+
+
+def ngram_components(docs: DataFrame, n: int = 5, percent: int = 80, count_links: bool = False) -> DataFrame:
+    """doc_id, n_shingles, class_id, component_id for every row; two rows link at 100 * overlap >= percent * union.
+
+    Words are separated by ASCII white space, A-Z are lower-cased. A text of fewer than ``n`` words
+    has its whole sequence as one shingle; a null, empty or blank text has none and links to
+    nothing. ``class_id`` is the smallest doc_id with the same set, ``component_id`` the smallest
+    reachable over links. Shingles are compared by 64-bit hashes, sets by 128 bits and size. A row without doc_id
+    has null as both where no other row of its set has one; such a set links to no other. Repeated rows stay rows.
+
+    ``count_links`` adds ``n_links``, the number of other sets that the row's set links to, for which every pair is compared.
+    Without it, pairs that other links join already are skipped: right for components, but not all links are found.
+    """
+    scratch = Scratch(docs.sparkSession, "ngram")
+    sketches, classes, sets = _class_sets(docs, n, percent, scratch)
+    counted = []
+    if count_links:
+        found = scratch.keep(tree_links(sets, percent, scratch, output="counts"))
+        joined = connected_components(found.where("n IS NULL").select("a", "b"), scratch)
+        counted.append(found)
+    else:
+        joined = connected_components(tree_links(sets, percent, scratch), scratch)
+    scratch.free_others(sketches, classes, joined, *counted)
     roots = classes.join(joined, "id", "left").withColumn("root", F.coalesce("root", "id"))
     smallest = roots.groupBy("root").agg(F.min("class_id").alias("component_id"))
-    of_class = roots.join(smallest, "root").select("n_shingles", "mark", "other", "class_id", "component_id")
+    columns = ["class_id", "component_id"]
+    of_class = roots.join(smallest, "root").select("id", "n_shingles", "mark", "other", *columns)
+    if count_links:
+        counts = found.where("n IS NOT NULL").groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("n_links"))
+        of_class = of_class.join(counts, "id", "left").withColumn("n_links", F.coalesce("n_links", F.lit(0).cast("long")))
+        columns.append("n_links")
+    of_class = of_class.drop("id")
     rows = sketches.select("doc_id", "n_shingles", "mark", "other")
-    full = rows.where("n_shingles > 0").join(of_class, ["n_shingles", "mark", "other"]).select("doc_id", "n_shingles", "class_id", "component_id")
+    full = rows.where("n_shingles > 0").join(of_class, ["n_shingles", "mark", "other"]).select("doc_id", "n_shingles", *columns)
     empty = rows.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("component_id"))
+    if count_links:
+        empty = empty.withColumn("n_links", F.lit(0).cast("long"))
     return full.unionByName(empty)
 
 
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents with their component over 3-word shingles at a similarity of 0.9."""
-    return ngram_components(spark.read.parquet(f"{sf_dir}/documents.parquet"), n=3, percent=90).select(
-        "doc_id", "n_shingles", "component_id", "class_id")
+    """All documents with their component and number of links over 3-word shingles at a similarity of 0.9."""
+    return ngram_components(spark.read.parquet(f"{sf_dir}/documents.parquet"), n=3, percent=90, count_links=True).select(
+        "doc_id", "n_shingles", "component_id", "class_id", "n_links")
 
 
 QUERIES = {"op2_ngram_join": op2_ngram_join}

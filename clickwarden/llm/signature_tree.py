@@ -5,7 +5,8 @@ sets with the range of their sizes. From these follow how many elements of any s
 missing in every set of another, hence the largest overlap and the largest Jaccard similarity a
 pair could reach. Pairs of upper nodes that can't reach the threshold are dropped, the
 rest open into pairs of blocks, then of twigs and leaves inside a task, and what is left is
-compared element by element. Pairs that earlier matches of the task join already are skipped.
+compared element by element. For components alone, pairs that earlier matches of the task join
+already are skipped; all links, or their number for each set, come from comparing every pair.
 """
 
 from __future__ import annotations
@@ -91,14 +92,48 @@ def _unpack(row: dict, expand: Callable[[list[bytes]], list[np.ndarray]]):
     return np.frombuffer(row["ids"], "<i8"), np.array([len(s) for s in sets], dtype=np.int64), sets, np.stack([bitmap(s) for s in sets])
 
 
-def matches(a: dict, b: dict, percent: int, expand: Callable[[list[bytes]], list[np.ndarray]] = numbers) -> list[tuple[int, int]]:
-    """Links between the sets of two block rows (or of one with itself) that join their components."""
+def overlap_sizes(sets_a: list[np.ndarray], sets_b: list[np.ndarray], columns: int = 4096) -> np.ndarray:
+    """Common elements of every set of a with every set of b, from products of 0/1 tables of some columns each."""
+    total = np.zeros((len(sets_a), len(sets_b)), dtype=np.int64)
+    both = np.intersect1d(np.concatenate(sets_a), np.concatenate(sets_b))
+    if not len(both):
+        return total
+
+    def places(sets):
+        row, all_of = np.repeat(np.arange(len(sets)), [len(s) for s in sets]), np.concatenate(sets)
+        at = np.minimum(np.searchsorted(both, all_of), len(both) - 1)
+        found = both[at] == all_of
+        return row[found], at[found]
+
+    sides = [(len(s), *places(s)) for s in (sets_a, sets_b)]
+    for lo in range(0, len(both), columns):
+        tables = []
+        for n, row, at in sides:
+            table, here = np.zeros((n, min(columns, len(both) - lo)), dtype=np.float32), (at >= lo) & (at < lo + columns)
+            table[row[here], at[here] - lo] = 1
+            tables.append(table)
+        total += np.rint(tables[0] @ tables[1].T).astype(np.int64)
+    return total
+
+
+def matches(a: dict, b: dict, percent: int, expand: Callable[[list[bytes]], list[np.ndarray]] = numbers, every: bool = False) -> list[tuple[int, int]]:
+    """Links between the sets of two block rows (or of one with itself): those that join their components, or ``every`` one."""
     same = a["block"] == b["block"]
     ids_a, size_a, sets_a, bits_a = _unpack(a, expand)
     ids_b, size_b, sets_b, bits_b = (ids_a, size_a, sets_a, bits_a) if same else _unpack(b, expand)
+    left, right = candidate_pairs(size_a, bits_a, size_b, bits_b, percent)
+    if every:
+        if same:
+            left, right = left[left < right], right[left < right]
+        if len(left) > 1000:
+            common = overlap_sizes(sets_a, sets_b)[left, right]
+        else:
+            common = np.array([overlap_size(sets_a[i], sets_b[j]) for i, j in zip(left.tolist(), right.tolist())], dtype=np.int64)
+        kept = 100 * common >= percent * (size_a[left] + size_b[right] - common)
+        return list(zip(ids_a[left[kept]].tolist(), ids_b[right[kept]].tolist()))
     joined, shift = UnionFind(len(ids_a) + (0 if same else len(ids_b))), 0 if same else len(ids_a)
     found = []
-    for i, j in zip(*(x.tolist() for x in candidate_pairs(size_a, bits_a, size_b, bits_b, percent))):
+    for i, j in zip(left.tolist(), right.tolist()):
         if (same and j <= i) or joined.find(i) == joined.find(j + shift):
             continue
         common = overlap_size(sets_a[i], sets_b[j])
@@ -129,6 +164,8 @@ def _blocks(expand: Callable[[list[bytes]], list[np.ndarray]]):
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 for row in batch.slice(lo, 256).to_pylist():
+                    if rows and row["block"] == rows[0]["block"] and row["id"] == rows[-1]["id"]:
+                        continue  # a repeated row; each set counts once
                     if rows and row["block"] != rows[0]["block"]:
                         yield node(rows)
                         rows = []
@@ -201,24 +238,40 @@ def _pairs(nodes: DataFrame, key: str, percent: int, within: DataFrame | None =
     return both.select(*wanted).mapInArrow(_prune(key, percent), f"{key}_a long, {key}_b long")
 
 
-def _compare(percent: int, expand):
+def _compare(percent: int, expand, output: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(batch.num_rows):
                 row = batch.slice(lo, 1).to_pylist()[0]
                 a, b = ({k: row[f"{k}_{s}"] for k in ("block", "sets", "sizes", "ids")} for s in "ab")
-                links = matches(a, b, percent, expand)
-                if links:
+                links = matches(a, b, percent, expand, output != "spanning")
+                if links and output == "counts":
+                    yield _counted(np.array(links, dtype=np.int64))
+                elif links:
                     yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*links)], names=["a", "b"])
 
     return run
 
 
-def tree_links(sets: DataFrame, percent: int, scratch: Scratch, expand: Callable[[list[bytes]], list[np.ndarray]] = numbers) -> DataFrame:
+def _counted(links: np.ndarray) -> pa.RecordBatch:
+    """(a, b, n): links that join the same components, without n, and the number of links of each id, without b."""
+    ids, at = np.unique(links, return_inverse=True)
+    at, joined = at.reshape(-1, 2), UnionFind(len(ids))
+    kept = links[[joined.union(i, j) for i, j in at.tolist()]]
+    n = np.bincount(at.ravel(), minlength=len(ids))
+    return pa.record_batch([pa.array(np.concatenate([kept[:, 0], ids])), pa.array([*kept[:, 1].tolist(), *[None] * len(ids)], pa.int64()),
+                            pa.array([*[None] * len(kept), *n.tolist()], pa.int64())], names=["a", "b", "n"])
+
+
+def tree_links(sets: DataFrame, percent: int, scratch: Scratch, expand: Callable[[list[bytes]], list[np.ndarray]] = numbers,
+               output: str = "spanning") -> DataFrame:
     """Links (a, b) that join all ids whose sets have 100 * overlap >= percent * union within a cluster.
 
     ``sets`` has block, cluster, id and elements, from which ``expand`` makes sorted distinct 64-bit
-    numbers (packed numbers by default; a text may be shorter to move). No pair that reaches the threshold is left unlinked, directly or over other links.
+    numbers (packed numbers by default; a text may be shorter to move). No pair that reaches the threshold is left unlinked,
+    directly or over other links. With ``output`` "every" all pairs that reach the threshold come, each once; with
+    "counts" every pair is compared, and beside the joining links (n is null) come rows (a, n) without b, whose sum over a is
+    the number of its links: no more rows than sets in the compared blocks.
     """
     ordered = sets.repartition("block").sortWithinPartitions("block", "id")
     nodes = scratch.keep(ordered.select("block", "cluster", "id", "elements").mapInArrow(_blocks(expand), _NODE))
@@ -229,4 +282,4 @@ def tree_links(sets: DataFrame, percent: int, scratch: Scratch, expand: Callable
     pairs = _pairs(narrow, "block", percent, within=_pairs(upper, "upper", percent))
     full = [nodes.select(*_side(nodes, s, "block", "sets", "sizes", "ids")) for s in "ab"]
     both = pairs.join(full[0], "block_a").join(full[1], "block_b")
-    return both.mapInArrow(_compare(percent, expand), "a long, b long")
+    return both.mapInArrow(_compare(percent, expand, output), "a long, b long" + (", n long" if output == "counts" else ""))

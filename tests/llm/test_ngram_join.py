@@ -5,7 +5,7 @@ import pytest
 
 from clickwarden.llm import grouping, ngram_join
 from clickwarden.llm.grouping import UnionFind, blocks_of_clusters, connected_components, key_links
-from clickwarden.llm.ngram_join import differences, ngram_components, segment_keys, size_classes
+from clickwarden.llm.ngram_join import differences, ngram_components, ngram_links, segment_keys, size_classes
 from clickwarden.llm.scratch import Scratch
 
 
@@ -127,3 +127,28 @@ def test_components_of_more_ids_than_links(spark, monkeypatch):
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
     assert sorted((r.id, r.root) for r in got) == [(i, found.find(i)) for i in sorted({x for link in links for x in link})]
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_all_links_and_their_numbers(spark, monkeypatch, small):
+    if small:
+        original = blocks_of_clusters
+        monkeypatch.setattr(ngram_join, "blocks_of_clusters", lambda members: original(members, most_rows=3, most_weight=500))
+    base = [f"v{i}" for i in range(80)]
+    # near copies that all link to each other, more than a block compares one by one
+    near = [(1000 + i, " ".join([*base[:40], f"own{i}", *base[40:]]), "x", 1) for i in range(60)]
+    rows = corpus(7, 200) + near
+    first, sets = {}, {}
+    for doc_id, text, *_ in rows:
+        w = words_of(text)
+        own = frozenset(tuple(w[i:i + 3]) for i in range(len(w) - 2)) or frozenset([tuple(w)] if w else [])
+        first[own] = min(first.get(own, 1 << 60), doc_id)
+        sets[doc_id] = own
+    different = [s for s in first if s]
+    want = {tuple(sorted((first[a], first[b]))) for i, a in enumerate(different) for b in different[:i] if 100 * len(a & b) >= 80 * len(a | b)}
+    df = spark.createDataFrame(rows, "doc_id long, text string, id string, cluster int").repartition(5)
+    got = [(r.class_a, r.class_b) for r in ngram_links(df, 3, 80).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    numbers = {r.doc_id: r.n_links for r in ngram_components(df, 3, 80, count_links=True).collect()}
+    assert numbers == {d: sum(first[s] in pair for pair in want) if s else 0 for d, s in sets.items()}
+    assert numbers[1000] == 59
