@@ -3,8 +3,9 @@
 Equal vectors are one node. The graph starts from blocks of rows that lie close after sorting by
 the sides of random hyperplanes. Each round of NN-descent ships the vectors of a node's neighbours and
 reverse neighbours to the node, compares them with each other, and merges better neighbours into
-their lists. A query starts at the neighbours of its own node and expands its best unexpanded
-candidates, hop by hop; what is left is scored exactly on the original vectors.
+their lists, until a round renews only a small share of their entries. A query starts at the neighbours of
+its own node and expands its best unexpanded candidates, hop by hop, until all candidates that any query
+keeps are expanded; what is left is scored exactly on the original vectors.
 
 Largest inner products become nearest neighbours by one extra coordinate that gives all vectors the
 same norm. Inside the graph vectors travel as 8-bit codes.
@@ -25,7 +26,7 @@ from clickwarden.llm.scratch import Scratch
 
 _EDGE = "src long, dst long, score float"
 _BITS = 24
-#: Bits of the marks of a list; an eighth or so of the unlisted ids look listed, in this round.
+#: Bits of the marks of a list; some 7.5 % of the unlisted ids look listed, others in each round.
 _MARKS = 512
 
 
@@ -36,10 +37,9 @@ class Settings:
     trees: int = 32
     block: int = 256  # rows compared with each other at the start
     seeds: int = 6  # taken of each of these blocks by each row
-    rounds: int = 3
+    settled: float = 0.005  # share of list entries; a round that renews fewer is the last
     offers: int = 4  # of each pair of lists, to each node and round
-    hops: int = 2
-    expand: int = 40  # candidates opened in a hop
+    expand: int = 40  # candidates opened in a hop; hops follow until none is left to open
     search_reverse: int = 40  # as reverse, for the search
     beam: int = 64  # candidates kept, and scored exactly
 
@@ -137,21 +137,22 @@ def _start(block: int, most: int):
     return run
 
 
-def _local_join(offers: int):
+def _local_join(offers: int, turn: int):
     """Compare the listed neighbours of each node with each other; offer those better than a list's last."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for found in _groups(batches, "node", lambda g: _offers(g, offers)):
+        for found in _groups(batches, "node", lambda g: _offers(g, offers, turn)):
             yield _edges(found)
 
     return run
 
 
-def _slot(ids: np.ndarray) -> np.ndarray:
-    """Bit of each id in the marks of a list."""
-    return (mix(ids.astype(np.uint64)) >> np.uint64(40)).astype(np.int64) % _MARKS
+def _slot(ids: np.ndarray, turn: int) -> np.ndarray:
+    """Bit of each id in the marks of a list, another one in each round."""
+    salt = np.uint64((turn + 1) * 0x9E3779B97F4A7C15 % (1 << 64))
+    return (mix(ids.astype(np.uint64) ^ salt) >> np.uint64(40)).astype(np.int64) % _MARKS
 
 
-def _summary(full: int):
+def _summary(full: int, turn: int):
     """Of each node's list the score to beat, and marks that tell most ids that are not in it."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -159,7 +160,7 @@ def _summary(full: int):
                 continue
             bits = np.zeros((batch.num_rows, _MARKS), dtype=bool)
             sizes = batch.column("size").to_numpy()
-            bits[np.repeat(np.arange(batch.num_rows), sizes), _slot(batch.column("listed").flatten().to_numpy())] = True
+            bits[np.repeat(np.arange(batch.num_rows), sizes), _slot(batch.column("listed").flatten().to_numpy(), turn)] = True
             last = np.where(sizes >= full, batch.column("least").to_numpy(), -np.inf).astype(np.float32)
             yield pa.record_batch([batch.column("src"), pa.array(last), pa.array([b.tobytes() for b in np.packbits(bits, axis=1)], pa.binary())],
                                   names=["dst", "last", "marks"])
@@ -167,12 +168,12 @@ def _summary(full: int):
     return run
 
 
-def _offers(group: dict, offers: int):
+def _offers(group: dict, offers: int, turn: int):
     x, own = _decode(group["code"]), group["dst"].to_numpy()
     score = x @ x.T
     np.fill_diagonal(score, -np.inf)
     marks = np.unpackbits(np.frombuffer(b"".join(group["marks"].to_pylist()), np.uint8).reshape(len(own), -1), axis=1).astype(bool)
-    score[marks[:, _slot(own)] | (score <= group["last"].to_numpy()[:, None])] = -np.inf
+    score[marks[:, _slot(own, turn)] | (score <= group["last"].to_numpy()[:, None])] = -np.inf
     r, c = _best(score, offers)
     return own[r], own[c], score[r, c]
 
@@ -204,9 +205,9 @@ def _groups(batches: Iterator[pa.RecordBatch], key: str, work):
 
 
 def _top(edges: DataFrame, most: int, key: str = "src") -> DataFrame:
-    """The best ``most`` of each key, each named once; ties go to the smaller id."""
+    """The best ``most`` of each key, each named once; ties go to the smaller id. ``fresh`` if no row says it is not."""
     order = Window.partitionBy(key).orderBy(F.desc("score"), "dst")
-    once = edges.groupBy(key, "dst").agg(F.max("score").alias("score"))
+    once = edges.groupBy(key, "dst").agg(F.max("score").alias("score"), *([F.min("fresh").alias("fresh")] if "fresh" in edges.columns else []))
     return once.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most)
 
 
@@ -224,16 +225,20 @@ def neighbour_graph(codes: DataFrame, settings: Settings, scratch: Scratch) -> D
     sided = codes.mapInArrow(_sides(settings.trees), "tree int, bits long, node long, code binary")
     near = sided.repartitionByRange(n, "tree", "bits", "node").sortWithinPartitions("tree", "bits", "node")
     graph = scratch.keep(_top(near.mapInArrow(_start(settings.block, settings.seeds), _EDGE), settings.neighbours))
-    for turn in range(settings.rounds):
+    turn = 0
+    while True:
         lists = graph.groupBy("src").agg(F.count("*").cast("int").alias("size"), F.min("score").alias("least"), F.collect_list("dst").alias("listed"))
-        known = lists.mapInArrow(_summary(settings.neighbours), "dst long, last float, marks binary")
+        known = lists.mapInArrow(_summary(settings.neighbours, turn), "dst long, last float, marks binary")
         known = codes.select(F.col("node").alias("dst"), "code").join(known, "dst")
         listed = _both_ways(graph, settings.reverse, turn).join(known, "dst").select("node", "dst", "code", "last", "marks")
-        offered = listed.repartition("node").sortWithinPartitions("node", "dst").mapInArrow(_local_join(settings.offers), _EDGE)
-        better = scratch.keep(_top(offered.unionByName(graph.select("src", "dst", "score")), settings.neighbours))
+        offered = listed.repartition("node").sortWithinPartitions("node", "dst").mapInArrow(_local_join(settings.offers, turn), _EDGE)
+        offered = offered.withColumn("fresh", F.lit(1)).unionByName(graph.select("src", "dst", "score", F.lit(0).alias("fresh")))
+        better = scratch.keep(_top(offered, settings.neighbours))
         scratch.free(graph)
-        graph = better
-    return graph
+        graph, turn = better, turn + 1
+        entries = better.agg(F.count("*").alias("n"), F.coalesce(F.sum("fresh"), F.lit(0)).alias("fresh")).first()
+        if entries.fresh <= settings.settled * entries.n:
+            return graph
 
 
 def _score_codes(group: dict):
@@ -293,13 +298,13 @@ def nearest_neighbours(vectors: DataFrame, query_filter: Column, most: int = 20,
 
     # queries with one vector have one search
     starts = asking.select(F.col("node").alias("query")).distinct()
-    ways = scratch.keep(_both_ways(graph, settings.search_reverse, settings.rounds))
+    ways = scratch.keep(_both_ways(graph, settings.search_reverse, -1))
     found = None
-    for hop in range(settings.hops + 1):
+    while found is None or not found.where(~F.col("open")).isEmpty():
         if found is None:
             opened = starts.select("query", F.col("query").alias("node"))
         else:
-            opened = found.where(~F.col("open")).where(F.col("place") <= settings.expand).select("query", F.col("dst").alias("node"))
+            opened = found.where(~F.col("open") & (F.col("turn") <= settings.expand)).select("query", F.col("dst").alias("node"))
         reached = opened.join(ways, "node").where(F.col("dst") != F.col("query")).select("query", "dst").distinct()
         if found is not None:
             reached = reached.join(found.select("query", "dst"), ["query", "dst"], "left_anti")
@@ -308,11 +313,13 @@ def nearest_neighbours(vectors: DataFrame, query_filter: Column, most: int = 20,
         scored = listed.repartition("query").sortWithinPartitions("query", "dst").mapInArrow(_scored, "query long, dst long, score float")
         scored = scored.withColumn("open", F.lit(False))
         if found is not None:
-            opened = F.col("open") | (F.col("place") <= settings.expand)
+            opened = F.col("open") | (F.col("turn") <= settings.expand)
             scored = scored.unionByName(found.select("query", "dst", "score", opened.alias("open")))
         rank = Window.partitionBy("query").orderBy(F.desc("score"), "dst")
         before = found
-        found = scratch.keep(scored.withColumn("place", F.row_number().over(rank)).where(F.col("place") <= settings.beam))
+        # the place among all, and among those not opened
+        scored = scored.withColumns({"place": F.row_number().over(rank), "turn": F.sum((~F.col("open")).cast("int")).over(rank)})
+        found = scratch.keep(scored.where(F.col("place") <= settings.beam))
         if before is not None:
             scratch.free(before)
 

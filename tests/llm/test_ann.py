@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from clickwarden.llm.ann import nearest_neighbours
+from clickwarden.llm.ann import _slot, nearest_neighbours
 
 SCHEMA = "vec_id long, embedding array<float>, label int, score double"
 
@@ -65,3 +65,10 @@ def test_few_rows_and_none(spark):
     assert [r.vec_id for r in sorted(got, key=lambda r: r.rank) if r.query_id == 0] == [60, 40, 20]
     assert nearest_neighbours(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
     assert nearest_neighbours(df.limit(1), F.lit(True)).count() == 0
+
+
+def test_marks_of_a_list_change_with_the_round():
+    ids = np.arange(2000)
+    same = [_slot(ids, turn) == _slot(ids[:1], turn) for turn in range(2)]
+    # ids that share the bit of id 0 in one round mostly don't in the next
+    assert (same[0] & same[1]).sum() < 4 < same[0].sum() + 4
