@@ -21,8 +21,8 @@ from clickwarden.llm.scratch import Scratch
 from clickwarden.llm.signature_tree import tree_links
 
 SHINGLE = 8
-#: A pair shares no band with a probability of 1.9 % at a similarity of 0.8, 0.3 % at 0.85, 0.01 % at 0.9.
-BANDS, BAND_BINS = 10, 5
+#: A pair shares no band with a probability of 0.9 % at a similarity of 0.8, 0.09 % at 0.85, 1 in 45,000 at 0.9.
+BANDS, BAND_BINS = 12, 5
 _BINS = BANDS * BAND_BINS
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
