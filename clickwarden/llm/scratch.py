@@ -17,13 +17,13 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, label: str):
         self._spark = spark
-        self._base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+        self.folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
         self._count = 0
         self._paths: set[str] = set()
 
     def keep(self, df: DataFrame) -> DataFrame:
         self._count += 1
-        path = f"{self._base}/{self._count}"
+        path = f"{self.folder}/{self._count}"
         df.write.option("compression", "zstd").parquet(path)
         kept = self._spark.read.schema(df.schema).parquet(path)
         kept.scratch_path = path
@@ -32,14 +32,14 @@ class Scratch:
 
     def free(self, *tables: DataFrame) -> None:
         for table in tables:
-            self._delete(table.scratch_path)
+            self.delete(table.scratch_path)
 
     def free_others(self, *needed: DataFrame) -> None:
         """Delete all tables but those that the result still reads."""
         for path in self._paths - {table.scratch_path for table in needed}:
-            self._delete(path)
+            self.delete(path)
 
-    def _delete(self, name: str) -> None:
+    def delete(self, name: str) -> None:
         path = self._spark._jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(self._spark._jsc.hadoopConfiguration()).delete(path, True)
         self._paths.discard(name)
