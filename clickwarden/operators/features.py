@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -54,9 +54,9 @@ def full_session_features(events: DataFrame, nodes: DataFrame, hops: DataFrame |
     return _features(_with_graph(whole, nodes, hops), salted=True)
 
 
-def features_of_prefix_events(prefix_events: DataFrame, nodes: DataFrame, hops: DataFrame | None = None) -> DataFrame:
-    """Features of events already tagged with ``prefix_len``, which may be many per session."""
-    return _features(_with_graph(prefix_events, nodes, hops), salted=True, place=_KEYS)
+def features_of_sums(sums: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Features of rows that hold the summed measures of a session so far."""
+    return _assemble(sums).select(*keys, *FEATURE_COLUMNS)
 
 
 def _with_graph(events: DataFrame, nodes: DataFrame, hops: DataFrame | None) -> DataFrame:

@@ -1 +1,7 @@
-"""Streaming of the library."""
+"""Streaming of the library. The stateful operators are sent to the executors by value."""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

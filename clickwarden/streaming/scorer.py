@@ -1,197 +1,148 @@
 """Scoring of live sessions request by request.
 
-A keyed state holds the requests of each session. Every new request emits the session so far, one
-row per request, tagged with its length; the batch feature code then turns these rows into
-features and scores. So live and batch scores come from the same expressions.
+A keyed state holds running sums of each session (``running``). Every new request emits one row of them,
+and the expressions of the batch features turn these sums into features and scores.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.agents import is_browser_like, is_suspect_agent
 from ..functions.paths import path_category
 from ..functions.values import text_or_null
-from ..operators.features import features_of_prefix_events
+from ..operators.features import features_of_sums
+from ..operators.models import ModelBundle
 from ..operators.scoring import rule_score
+from .running import REQUEST_COLUMNS, SUMS_SCHEMA, RunningSums
 
-EVENT_FIELDS = ["timestamp", "path", "page_category", "referrer", "user_agent", "status_code"]
-STATE_SCHEMA = "timestamp double, path string, page_category string, referrer string, user_agent string, status_code int"
-TRAIL_SCHEMA = (
-    "session_id string, visit int, prefix_len int, seq bigint, n_events bigint, timestamp double, delta_t double, "
-    "path string, page_category string, referrer string, user_agent string, status_code int, prev_path string, "
-    "prev2_path string, prev_category string, prev_user_agent string"
-)
-_VISIT = "\u0001"
-CHUNK_ROWS = 10_000
-
-Scorer = Callable[[DataFrame, DataFrame], DataFrame]
-
-
-def _missing(value) -> bool:
-    return value is None or value != value
-
-
-class SessionTrails(StatefulProcessor):
-    """Keeps the requests of one session and emits them all at each new request."""
-
-    def __init__(self, expire_seconds: float | None = None):
-        self.expire_seconds = expire_seconds
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.events = handle.getListState("events", STATE_SCHEMA)
-        self.visit = handle.getValueState("visit", "visit int")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        arrived = pd.concat(list(rows)).sort_values(["timestamp", "path"], kind="stable")
-        trail = [list(event) for event in self.events.get()] if self.events.exists() else []
-        visit = self.visit.get()[0] if self.visit.exists() else 0
-        emitted = []
-        for request in arrived.itertuples(index=False):
-            if request.op == "reset":
-                trail, visit = [], visit + 1
-                continue
-            event = [None if _missing(value) else value for value in (getattr(request, f) for f in EVENT_FIELDS)]
-            event[0], event[5] = float(event[0]), None if event[5] is None else int(event[5])
-            if trail and not event[3]:
-                event[3] = trail[-1][1]
-            trail.append(event)
-            for row in self._rows(key[0], visit, trail):
-                emitted.append(row)
-                if len(emitted) == CHUNK_ROWS:
-                    yield self._frame(emitted)
-                    emitted = []
-        self.visit.update((visit,))
-        if trail:
-            self.events.put([tuple(event) for event in trail])
-        elif self.events.exists():
-            self.events.clear()
-        if self.expire_seconds is not None and trail:
-            for timer in list(self.handle.listTimers()):
-                self.handle.deleteTimer(timer)
-            self.handle.registerTimer(int((trail[-1][0] + self.expire_seconds) * 1000))
-        if emitted:
-            yield self._frame(emitted)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.events.clear()
-        self.visit.clear()
-        return iter([])
-
-    @staticmethod
-    def _frame(rows: list[tuple]) -> pd.DataFrame:
-        frame = pd.DataFrame(rows, columns=[field.strip().split(" ")[0] for field in TRAIL_SCHEMA.split(",")])
-        frame["status_code"] = frame["status_code"].astype("Int32")
-        return frame
-
-    @staticmethod
-    def _rows(session: str, visit: int, trail: list) -> Iterator[tuple]:
-        last_agent = None
-        for index, (time, path, category, referrer, agent, status) in enumerate(trail):
-            before = trail[index - 1] if index else None
-            yield (
-                session, visit, len(trail), index + 1, len(trail), time,
-                max(0.0, time - before[0]) if before else 0.0, path, category, referrer, agent, status,
-                before[1] if before else None, trail[index - 2][1] if index > 1 else None,
-                before[2] if before else None, last_agent,
-            )
-            last_agent = agent or last_agent
-
-    def close(self) -> None:
-        pass
-
-
-def session_trails(requests: DataFrame, expire_seconds: float | None = None, lateness: str = "10 minutes") -> DataFrame:
-    """Trail rows of a stream of requests with session_id, path, timestamp and optional columns.
-
-    ``op`` = ``reset`` forgets a session. With ``expire_seconds`` a session is forgotten that long
-    after its last request (event time); without it state is kept until a reset.
+_KEYS = ["session_id", "visit", "prefix_len"]
+_STATE_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+_ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+#: Scores of feature rows that also hold ``first_agent``: their keys, ``bot_probability`` and ``model_version``.
+Scorer = Callable[[DataFrame], DataFrame]
+
+
+def running_sums(
+    requests: DataFrame, nodes: DataFrame, expire_seconds: float | None = None, lateness: str = "10 minutes",
+    sequence: str | None = None, session_column: str = "session_id",
+) -> DataFrame:
+    """Sums of a stream of requests with a session column, path, timestamp and optional columns, one row per request.
+
+    Requests of one micro-batch are taken in the order of the column ``sequence``, else of time and path; a request
+    earlier than the one before it has a gap of 0. ``op`` = ``reset`` forgets the session at its place. With
+    ``expire_seconds`` a session is forgotten that long after its last request (event time) and requests later than
+    ``lateness`` are dropped; without it state is kept until a reset. ``nodes`` may hold ``hubs_out`` and ``hubs_in``
+    (``hub_labels``); without them the graph is taken to hold every step.
     """
     optional = lambda name: text_or_null(F.col(name)) if name in requests.columns else F.lit(None).cast("string")
-    has_status = "status_code" in requests.columns
-    category = F.coalesce(optional("page_category"), path_category(F.col("path")))
+    op = F.coalesce(optional("op"), F.lit("event"))
+    stamp = F.col("timestamp").cast("double")
+    now = F.when(op != "reset", F.unix_micros(F.current_timestamp()) / 1e6)
+    status = F.col("status_code").cast("int") if "status_code" in requests.columns else F.lit(None).cast("int")
+    as_json = lambda name: F.to_json(F.col(name)) if name in nodes.columns else F.lit(None).cast("string")
+    attributes = nodes.select(
+        "path", "depth", "out_degree", "is_leaf",
+        (F.col("category") if "category" in nodes.columns else F.lit(None).cast("string")).alias("_category"),
+        as_json("hubs_out").alias("hubs_out"), as_json("hubs_in").alias("hubs_in"))
     rows = requests.select(
-        "session_id", F.coalesce(optional("op"), F.lit("event")).alias("op"),
-        F.coalesce(F.col("timestamp").cast("double"), F.unix_micros(F.current_timestamp()) / 1e6).alias("timestamp"),
-        "path", category.alias("page_category"), optional("referrer").alias("referrer"),
-        optional("user_agent").alias("user_agent"),
-        (F.col("status_code").cast("int") if has_status else F.lit(None).cast("int")).alias("status_code"),
+        F.col(session_column).alias("session_id"), op.alias("op"), F.coalesce(stamp, now).alias("timestamp"), "path",
+        optional("page_category").alias("_given"), optional("user_agent").alias("user_agent"), status.alias("status_code"),
+        (F.col(sequence).cast("double") if sequence else F.coalesce(stamp, now)).alias("order_1"),
+        (F.lit("") if sequence else F.col("path")).alias("order_2"),
     )
     mode = "None"
     if expire_seconds is not None:
         micros = F.round(F.col("timestamp") * F.lit(1_000_000.0)).cast("bigint")
         rows = rows.withColumn("event_time", F.timestamp_micros(micros)).withWatermark("event_time", lateness)
         mode = "EventTime"
+    rows = rows.join(attributes, "path", "left").withColumns({
+        "depth": F.coalesce("depth", F.lit(-1)), "out_degree": F.coalesce("out_degree", F.lit(0)),
+        "is_leaf": F.coalesce("is_leaf", F.lit(False)),
+        "page_category": F.coalesce("_given", "_category", path_category(F.col("path"))),
+    })
+    rows = rows.select("session_id", *REQUEST_COLUMNS, *(["event_time"] if expire_seconds is not None else []))
     return rows.groupBy("session_id").transformWithStateInPandas(
-        statefulProcessor=SessionTrails(expire_seconds), outputStructType=TRAIL_SCHEMA, outputMode="Append", timeMode=mode
+        statefulProcessor=RunningSums(expire_seconds), outputStructType=SUMS_SCHEMA, outputMode="Append", timeMode=mode
     )
 
 
-def rule_scorer(features: DataFrame, trails: DataFrame) -> DataFrame:
+def rule_scorer(features: DataFrame) -> DataFrame:
     """Rule score with the agent of the session's first request."""
-    first = trails.where(F.col("seq") == 1).select(
-        "session_id", "prefix_len",
-        is_suspect_agent(F.col("user_agent")).cast("double").alias("has_suspect_user_agent"),
-        is_browser_like(F.col("user_agent")).cast("double").alias("ua_browser_like"),
-    )
-    joined = features.join(first, ["session_id", "prefix_len"], "left")
-    return joined.select("session_id", "prefix_len", rule_score(joined.columns).alias("bot_probability"))
+    cued = features.withColumns({
+        "has_suspect_user_agent": is_suspect_agent(F.col("first_agent")).cast("double"),
+        "ua_browser_like": is_browser_like(F.col("first_agent")).cast("double"),
+    })
+    return cued.select(*_KEYS, rule_score(cued.columns).alias("bot_probability"), F.lit("rule").alias("model_version"))
+
 
+class BundleScorer:
+    """Scores of the newest saved bundle below a folder: the sub-folder with the greatest name.
 
-def model_scorer(bundle) -> Scorer:
-    """Scores of a saved model bundle."""
-    return lambda features, trails: bundle.model.score(features, ["session_id", "prefix_len"])
+    It is looked up for every micro-batch, so a bundle saved while the stream runs scores from the next batch on.
+    """
 
+    def __init__(self, folder: str):
+        self.folder, self._version, self._bundle = folder.rstrip("/"), None, None
 
-def score_trails(
-    trails: DataFrame, nodes: DataFrame, scorer: Scorer = rule_scorer, threshold: float = 0.5, hops: DataFrame | None = None
-) -> DataFrame:
+    def newest(self, spark: SparkSession) -> str:
+        path = spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+        found = path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)
+        names = sorted(entry.getPath().getName() for entry in found if entry.isDirectory())
+        if not names:
+            raise ValueError(f"no bundle below {self.folder}")
+        return names[-1]
+
+    def __call__(self, features: DataFrame) -> DataFrame:
+        version = self.newest(features.sparkSession)
+        if version != self._version:
+            self._bundle = ModelBundle.load(features.sparkSession, f"{self.folder}/{version}")
+            self._version = version
+        return self._bundle.model.score(features, _KEYS).withColumn("model_version", F.lit(version))
+
+
+def score_sums(sums: DataFrame, scorer: Scorer = rule_scorer, threshold: float = 0.5) -> DataFrame:
     """One row per request: ready, probability and label; not ready before the second request."""
-    marked = trails.withColumn("session_id", F.concat("session_id", F.lit(_VISIT), F.col("visit").cast("string")))
-    marked = marked.withColumn("label", F.lit("unknown"))
-    ready = marked.where(F.col("prefix_len") >= 2)
-    scores = scorer(features_of_prefix_events(ready, nodes, hops), ready)
-    observed = marked.where(F.col("seq") == F.col("prefix_len")).select("session_id", "prefix_len")
-    probability = F.col("bot_probability")
-    return observed.join(scores, ["session_id", "prefix_len"], "left").select(
-        F.substring_index("session_id", _VISIT, 1).alias("session_id"),
-        F.substring_index("session_id", _VISIT, -1).cast("int").alias("visit"),
-        "prefix_len", (F.col("prefix_len") >= 2).alias("ready"), probability.alias("bot_probability"),
-        F.when(probability >= threshold, "bot").when(probability.isNotNull(), "human").alias("predicted_label"),
+    scores = scorer(features_of_sums(sums.where(F.col("prefix_len") >= 2), [*_KEYS, "first_agent"]))
+    probability: Column = F.col("bot_probability")
+    return sums.select(*_KEYS, "started", "timestamp", "path").join(scores, _KEYS, "left").select(
+        *_KEYS, "started", "timestamp", "path", (F.col("prefix_len") >= 2).alias("ready"), probability.alias("bot_probability"),
+        F.when(probability >= threshold, "bot").when(probability.isNotNull(), "human").alias("predicted_label"), "model_version",
     )
 
 
 def start_scoring(
     requests: DataFrame, nodes: DataFrame, output: str, checkpoint: str, *, scorer: Scorer = rule_scorer, threshold: float = 0.5,
-    hops: DataFrame | None = None, expire_seconds: float | None = None, lateness: str = "10 minutes", **trigger,
+    expire_seconds: float | None = None, lateness: str = "10 minutes", sequence: str | None = None,
+    session_column: str = "session_id", **trigger,
 ) -> StreamingQuery:
     """Start the scoring query; a repeated micro-batch replaces its own output."""
     spark = requests.sparkSession
-    spark.conf.set(
-        "spark.sql.streaming.stateStore.providerClass",
-        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
-    )
 
-    def write_batch(trails: DataFrame, batch_id: int) -> None:
-        trails = trails.persist()
+    def write_batch(sums: DataFrame, batch_id: int) -> None:
+        sums = sums.persist()
         try:
-            scored = score_trails(trails, nodes, scorer, threshold, hops)
-            scored.write.mode("overwrite").parquet(f"{output.rstrip('/')}/batch_id={batch_id}")
+            score_sums(sums, scorer, threshold).write.mode("overwrite").parquet(f"{output.rstrip('/')}/batch_id={batch_id}")
         finally:
-            trails.unpersist()
+            sums.unpersist()
 
-    writer = session_trails(requests, expire_seconds, lateness).writeStream.foreachBatch(write_batch)
-    return writer.option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": "10 seconds"})).start()
+    sums = running_sums(requests, nodes, expire_seconds, lateness, sequence, session_column)
+    writer = sums.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint)
+    # map states need this store; a query keeps the settings it starts with, so the session's comes back
+    before = spark.conf.get(_STATE_PROVIDER, None)
+    spark.conf.set(_STATE_PROVIDER, _ROCKSDB)
+    try:
+        return writer.trigger(**(trigger or {"processingTime": "10 seconds"})).start()
+    finally:
+        spark.conf.set(_STATE_PROVIDER, before) if before else spark.conf.unset(_STATE_PROVIDER)
 
 
 def active_sessions(spark: SparkSession, checkpoint: str) -> DataFrame:
-    """Session ids that hold state, from the checkpoint of a scoring query."""
-    state = (
-        spark.read.format("statestore").option("stateVarName", "events").option("flattenCollectionTypes", "true").load(checkpoint)
-    )
-    return state.select(F.col("key.session_id").alias("session_id")).distinct().orderBy("session_id")
+    """Session ids that hold requests, from the checkpoint of a scoring query."""
+    state = spark.read.format("statestore").option("stateVarName", "summary").load(checkpoint)
+    held = state.where(F.get_json_object("value.content", "$.n").cast("int") > 0)
+    return held.select(F.col("key.session_id").alias("session_id")).distinct().orderBy("session_id")
