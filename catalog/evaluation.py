@@ -8,6 +8,7 @@ from clickwarden.constants import (
     BOT_FAMILY_RULES, CATEGORICAL_CUES, ENTROPY_VARIANTS, LABEL_METADATA, LEAKAGE_KEYS, NUMERIC_CUES,
 )
 from clickwarden.operators import audits, evaluation as ev, features as feats, live, splits, summary as summaries
+from clickwarden.operators.bootstrap import POISSON_CUMULATIVE
 from clickwarden.operators.labels import apply_session_labels
 from clickwarden.operators.ranking import with_global_row_number
 from clickwarden.operators.scoring import decide, decide_by_prefix, rule_scores
@@ -19,7 +20,7 @@ from .sql import CTES, SUSPECT, query, r6, summary_sql
 
 QUERIES, SQL = {}, {}
 THRESHOLD = 0.3
-REPLICATES = 100
+REPLICATES = 500
 NOW = 1_735_700_000.0
 
 
@@ -238,11 +239,11 @@ def detection_delay(spark, sf):
     return rounded(ev.detection_delay(predictions(spark, sf)))
 
 
-_poisson = "CASE " + " ".join(f"WHEN u < {b!r}::DOUBLE THEN {k}" for k, b in enumerate(ev.POISSON_CUMULATIVE)) + f" ELSE {len(ev.POISSON_CUMULATIVE)} END"
+_poisson = "CASE " + " ".join(f"WHEN u < {b!r}::DOUBLE THEN {k}" for k, b in enumerate(POISSON_CUMULATIVE)) + f" ELSE {len(POISSON_CUMULATIVE)} END"
 _draws = {
     "drawn": f"""
       SELECT *, {_poisson} AS w FROM (
-        SELECT p.*, r.replicate, ('0x' || substr(md5(session_id || '|' || r.replicate), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u
+        SELECT p.*, r.replicate, ('0x' || substr(md5(session_id || '|' || (r.replicate - 1) // 4), 1 + (r.replicate - 1) % 4 * 8, 8))::BIGINT / 4294967296.0::DOUBLE AS u
         FROM pred p CROSS JOIN (SELECT unnest(range(1, {REPLICATES + 1})) AS replicate) r)""",
     "kept": "SELECT * FROM drawn WHERE w > 0",
     "rep": f"""
@@ -269,7 +270,7 @@ _draws = {
     f"coalesce(n_bootstrap, 0) AS n_bootstrap, {THRESHOLD}::DOUBLE AS threshold_used FROM point LEFT JOIN bounds USING (prefix_len, metric)", _draws))
 def bootstrap_ci(spark, sf):
     stored = materialized(predictions(spark, sf))
-    return rounded(ev.bootstrap_intervals(stored, n_bootstrap=REPLICATES))
+    return rounded(ev.bootstrap_intervals(stored))
 
 
 def baseline(split_table: str, tag: str) -> dict[str, str]:

@@ -7,7 +7,6 @@ so no task sees all scores of a group and the result is exact.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 import numpy as np
@@ -16,14 +15,12 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..constants import BOT, UNKNOWN
 from ..functions.values import ratio
 from ..session import materialized
+from .bootstrap import METRICS, replicate_intervals
 
 SCORE_CUTS = 128
 CUT_STEP = 12
 CANDIDATE_THRESHOLDS = np.linspace(0.05, 0.95, 19).tolist()
 BOOTSTRAP_METRICS = ["f1", "roc_auc", "pr_auc"]
-# cumulative Poisson(1) probabilities: a draw below the k-th is at most k
-# as far as the remaining tail is below the step of the 32-bit uniform numbers
-POISSON_CUMULATIVE = np.cumsum([np.exp(-1.0) / math.factorial(k) for k in range(13)]).tolist()
 
 
 def known_labels(rows: DataFrame) -> DataFrame:
@@ -186,20 +183,6 @@ def detection_delay(predictions: DataFrame, keys: Sequence[str] = ()) -> DataFra
     )
 
 
-def _hash_share(*parts: Column) -> Column:
-    """Reproducible uniform number in [0, 1) from text."""
-    digest = F.substring(F.md5(F.concat_ws("|", *parts)), 1, 8)
-    return F.conv(digest, 16, 10).cast("double") / F.lit(4294967296.0)
-
-
-def poisson_weight(share: Column) -> Column:
-    """Poisson(1) count at a uniform number."""
-    weight = F.lit(len(POISSON_CUMULATIVE))
-    for count in reversed(range(len(POISSON_CUMULATIVE))):
-        weight = F.when(share < POISSON_CUMULATIVE[count], F.lit(count)).otherwise(weight)
-    return weight
-
-
 def bootstrap_intervals(
     predictions: DataFrame, keys: Sequence[str] = ("prefix_len",), n_bootstrap: int = 500, alpha: float = 0.05,
     metrics: Sequence[str] = BOOTSTRAP_METRICS,
@@ -207,41 +190,14 @@ def bootstrap_intervals(
     """Point estimate and percentile interval per group and metric.
 
     Each replicate weights a session by a Poisson(1) draw hashed from its id, which resamples
-    without moving rows. Undefined replicates are left out.
+    without moving rows (``bootstrap``). Undefined replicates are left out.
     """
     keys = list(keys)
-    unknown = set(metrics) - {"accuracy", "precision", "recall", "f1", "roc_auc", "pr_auc"}
+    unknown = set(metrics) - set(METRICS)
     if unknown:
         raise ValueError(f"unsupported metrics: {sorted(unknown)}")
-    drawn = (
-        predictions.select(*keys, "session_id", "label", "bot_probability", "predicted_bot")
-        .withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(int(n_bootstrap)))))
-        .withColumn("weight", poisson_weight(_hash_share(F.col("session_id"), F.col("replicate").cast("string"))))
-        .where(F.col("weight") > 0)
-    )
-    long = lambda df, ids: df.unpivot(ids, list(metrics), "metric", "value")
-    grouped = [*keys, "replicate"]
-    # drawn once: weights per group, replicate, score and decision serve counts and curves
-    truth, score = F.col("label") == BOT, (F.col("bot_probability") + F.lit(0.0)).alias("score")
-    compact = materialized(drawn.groupBy(*grouped, "predicted_bot", score).agg(
-        F.sum(F.when(truth, F.col("weight")).otherwise(0)).alias("pos"),
-        F.sum(F.when(~truth, F.col("weight")).otherwise(0)).alias("neg"),
-    ))
-    flagged = F.col("predicted_bot") == 1
-    part = lambda condition, side, name: F.sum(F.when(condition, F.col(side)).otherwise(0)).alias(name)
-    confusion = compact.groupBy(*grouped).agg(
-        part(flagged, "pos", "tp"), part(flagged, "neg", "fp"), part(~flagged, "pos", "fn"), part(~flagged, "neg", "tn")
-    )
-    replicate = confusion.select(*grouped, *[c.alias(name) for name, c in _binary_metrics().items()])
-    if {"roc_auc", "pr_auc"} & set(metrics):
-        by_score = compact.groupBy(*grouped, "score").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-        replicate = replicate.join(curve_metrics(by_score, grouped), grouped)
-    bounds = long(replicate, grouped).where(F.col("value").isNotNull()).groupBy(*keys, "metric").agg(
-        F.percentile("value", F.lit(alpha / 2)).alias("ci_low"),
-        F.percentile("value", F.lit(1 - alpha / 2)).alias("ci_high"),
-        F.count("*").alias("n_bootstrap"),
-    )
-    point = long(metrics_by_group(predictions, keys), keys).withColumnRenamed("value", "point_estimate")
+    bounds = replicate_intervals(predictions, keys, int(n_bootstrap), alpha, list(metrics))
+    point = metrics_by_group(predictions, keys).unpivot(keys, list(metrics), "metric", "point_estimate")
     used = predictions.groupBy(*keys).agg(F.max("threshold_used").alias("threshold_used"))
     return (
         point.join(bounds, [*keys, "metric"], "left")

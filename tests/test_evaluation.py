@@ -61,6 +61,45 @@ def test_bootstrap_interval(spark):
         assert row["n_bootstrap"] > 0
 
 
+def test_bootstrap_equals_replicates_one_by_one(spark, monkeypatch):
+    """Few rows a chunk and many partitions against plain weighted metrics of each replicate."""
+    import numpy as np
+
+    from clickwarden.operators import bootstrap
+
+    monkeypatch.setattr(bootstrap, "PARTITION_ROWS", 20)
+    monkeypatch.setattr(bootstrap, "CHUNK_ROWS", 7)
+    rng = random.Random(4)
+    rows = [(f"s{i % 90}", p, rng.choice(["bot", "human"]) if p < 9 else "bot", rng.choice([0.0, -0.0, 0.5, rng.random()]))
+            for p in (3, 5, 9) for i in range(130)]
+    frame = decide(spark.createDataFrame(rows, "session_id string, prefix_len int, label string, bot_probability double"), F.lit(0.4))
+    got = {(r["prefix_len"], r["metric"]): r for r in ev.bootstrap_intervals(frame, n_bootstrap=30, metrics=list(bootstrap.METRICS)).collect()}
+    values = {}
+    for p in (3, 5, 9):
+        mine = [r for r in rows if r[1] == p]
+        weights = bootstrap.replicate_weights([r[0] for r in mine], 30)
+        bot, score = np.array([r[2] == "bot" for r in mine]), np.array([r[3] for r in mine])
+        for w in weights.T:
+            pos, neg, hit, false = (float(w[m].sum()) for m in (bot, ~bot, bot & (score >= 0.4), ~bot & (score >= 0.4)))
+            values.setdefault((p, "accuracy"), []).append((hit + neg - false) / (pos + neg))
+            values.setdefault((p, "precision"), []).append(hit / (hit + false) if hit + false else 0.0)
+            values.setdefault((p, "recall"), []).append(hit / pos if pos else 0.0)
+            values.setdefault((p, "f1"), []).append(2 * hit / (hit + false + pos) if hit + false + pos else 0.0)
+            if pos and neg:
+                wins = sum(w[i] * w[~bot & (score < score[i])].sum() + 0.5 * w[i] * w[~bot & (score == score[i])].sum() for i in np.flatnonzero(bot))
+                steps = sum(w[i] * w[bot & (score >= score[i])].sum() / max(1, w[score >= score[i]].sum()) for i in np.flatnonzero(bot))
+                values.setdefault((p, "roc_auc"), []).append(wins / (pos * neg))
+                values.setdefault((p, "pr_auc"), []).append(steps / pos)
+    assert len(got) == 18
+    for key, row in got.items():
+        kept = values.get(key, [])
+        assert row["n_bootstrap"] == len(kept)
+        if kept:
+            assert [row["ci_low"], row["ci_high"]] == pytest.approx(np.quantile(kept, [0.025, 0.975]).tolist(), abs=1e-9)
+        else:
+            assert row["ci_low"] is None and key[1] in ("roc_auc", "pr_auc")
+
+
 def test_only_bots_are_detected(spark):
     delay = {r["label"]: r for r in ev.detection_delay(decide(scored(spark, [0, 1, 1], [0.9, 0.9, 0.1]), F.lit(0.5))).collect()}
     assert delay["human"]["detection_rate"] == 0 and delay["human"]["mean_first_detected_prefix"] is None
