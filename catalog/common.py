@@ -70,11 +70,11 @@ def full_feature_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return feats.full_session_features(events, site_nodes(events))
 
 
-def early_and_late(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Events of the first 60 % of sessions by start time, and of the rest."""
+def early_and_all(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Events of the first 60 % of sessions by start time, and of all."""
     events = stored_events(spark, sf_dir)
     starts = events.where(F.col("seq") == 1).select("session_id", F.col("timestamp").alias("start_timestamp"))
     ranked = with_global_row_number(starts, [F.col("start_timestamp"), F.col("session_id")], "rank")
     total = ranked.agg(F.count("*")).scalar()
     early = ranked.where(F.col("rank") <= F.greatest(F.lit(1), F.floor(total * 0.6))).select("session_id")
-    return events.join(early, "session_id", "left_semi"), events.join(early, "session_id", "left_anti")
+    return events.join(early, "session_id", "left_semi"), events

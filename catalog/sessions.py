@@ -8,7 +8,7 @@ from clickwarden.constants import FEATURE_COLUMNS
 from clickwarden.operators import features as feats, graph as graphs, labels as labelling, summary as summaries
 
 from .common import (
-    all_events, early_and_late, full_feature_rows, label_table, labelled, page_events,
+    all_events, early_and_all, full_feature_rows, label_table, labelled, page_events,
     prefix_feature_rows, rounded, site_nodes,
 )
 from .requests_view import PREFIXES
@@ -108,10 +108,10 @@ def bfs_depth(spark, sf):
     return graphs.bfs_depths(graphs.graph_edges(page_events(spark, sf)))
 
 
-@register("hop_distance", query("SELECT source, target, hops FROM late_hops"))
+@register("hop_distance", query("SELECT source, target, hops FROM step_hops"))
 def hop_distance(spark, sf):
-    early, late = early_and_late(spark, sf)
-    return graphs.hop_distances(graphs.transitions(late), graphs.graph_edges(early))
+    early, events = early_and_all(spark, sf)
+    return graphs.hop_distances(graphs.transitions(events), graphs.graph_edges(early))
 
 
 def feature_select(source: str, columns=FEATURE_COLUMNS, label: bool = True) -> str:
@@ -150,14 +150,14 @@ feature_query("prefix_features", FEATURE_COLUMNS)
 feature_query("full_session_features", FEATURE_COLUMNS, full_feature_rows, "ff")
 
 
-@register("graph_features", query(feature_select("lf", [
+@register("graph_features", query(feature_select("gf", [
     "mean_depth", "leaf_visit_ratio", "out_degree_mean", "mean_hop_distance", "far_jump_ratio",
     "navigation_entropy_score"], label=False)))
 def graph_features(spark, sf):
-    early, late = early_and_late(spark, sf)
+    early, events = early_and_all(spark, sf)
     edges = graphs.graph_edges(early)
-    hops = graphs.hop_distances(graphs.transitions(late), edges)
-    rows = feats.prefix_features(late, graphs.graph_nodes(edges), PREFIXES, hops)
+    hops = graphs.hop_distances(graphs.transitions(events), edges)
+    rows = feats.prefix_features(events, graphs.graph_nodes(edges), PREFIXES, hops)
     return rounded(rows.select(
         "session_id", "prefix_len", "mean_depth", "leaf_visit_ratio", "out_degree_mean", "mean_hop_distance",
         "far_jump_ratio", "navigation_entropy_score"))

@@ -124,14 +124,14 @@ CTES: dict[str, str] = {
       LEFT JOIN (SELECT target AS path, count(*) AS n FROM edges GROUP BY 1) i USING (path)
       LEFT JOIN (SELECT source AS path, count(*) AS n FROM edges GROUP BY 1) o USING (path)
       LEFT JOIN (SELECT path, min(d) AS depth FROM bfs GROUP BY 1) d USING (path)""",
-    # graph of the earlier 60 % of sessions, against which the rest is measured
+    # graph of the earlier 60 % of sessions, against which all are measured
     "session_rank": """
       SELECT session_id, row_number() OVER (ORDER BY start_timestamp, session_id) AS rank,
         count(*) OVER () AS total FROM summary""",
     "early_ev": """
       SELECT * FROM ev WHERE session_id IN
         (SELECT session_id FROM session_rank WHERE rank <= greatest(1, floor(total * 0.6::DOUBLE)))""",
-    "late_ev": "SELECT *, 'unknown' AS label FROM ev WHERE session_id NOT IN (SELECT session_id FROM early_ev)",
+    "graded_ev": "SELECT *, 'unknown' AS label FROM ev",
     "early_edges": """
       SELECT DISTINCT source, target FROM (
         SELECT prev_path AS source, path AS target FROM early_ev WHERE seq > 1
@@ -146,14 +146,14 @@ CTES: dict[str, str] = {
       FROM (SELECT source AS path FROM early_edges UNION SELECT target FROM early_edges UNION SELECT '/') p
       LEFT JOIN (SELECT source AS path, count(*) AS n FROM early_edges GROUP BY 1) o USING (path)
       LEFT JOIN (SELECT path, min(d) AS depth FROM early_bfs GROUP BY 1) d USING (path)""",
-    "late_pairs": "SELECT DISTINCT prev_path AS source, path AS target FROM late_ev WHERE seq > 1",
+    "step_pairs": "SELECT DISTINCT prev_path AS source, path AS target FROM ev WHERE seq > 1",
     "walk": """
-      SELECT DISTINCT source AS origin, source AS node, 0 AS d FROM late_pairs
+      SELECT DISTINCT source AS origin, source AS node, 0 AS d FROM step_pairs
       UNION
-      SELECT w.origin, e.target, w.d + 1 FROM walk w JOIN early_edges e ON e.source = w.node WHERE w.d < 6""",
-    "late_hops": """
+      SELECT w.origin, e.target, w.d + 1 FROM walk w JOIN early_edges e ON e.source = w.node WHERE w.d < 12""",
+    "step_hops": """
       SELECT p.source, p.target, CAST(coalesce(min(w.d), 999) AS INT) AS hops
-      FROM late_pairs p LEFT JOIN walk w ON w.origin = p.source AND w.node = p.target
+      FROM step_pairs p LEFT JOIN walk w ON w.origin = p.source AND w.node = p.target
       GROUP BY p.source, p.target""",
 }
 RECURSIVE = {"bfs", "early_bfs", "walk"}
@@ -269,7 +269,7 @@ def feature_ctes(name: str, source: str, prefix_rule: str, nodes: str, hops: str
 _PREFIX_RULE = f"list_filter({PREFIXES}, lambda p: p >= seq AND p <= n_events)"
 CTES.update(feature_ctes("pf", "lev", _PREFIX_RULE, "nodes", None))
 CTES.update(feature_ctes("ff", "lev", "[n_events]", "nodes", None))
-CTES.update(feature_ctes("lf", "late_ev", _PREFIX_RULE, "early_nodes", "late_hops"))
+CTES.update(feature_ctes("gf", "graded_ev", _PREFIX_RULE, "early_nodes", "step_hops"))
 CTES.update(feature_ctes("of", "lev", "range(greatest(seq, 2), n_events + 1)", "nodes", None))
 
 

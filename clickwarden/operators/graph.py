@@ -103,51 +103,70 @@ def transitions(events: DataFrame) -> DataFrame:
     )
 
 
-def hop_distances(pairs: DataFrame, edges: DataFrame) -> DataFrame:
+def hub_labels(edges: DataFrame) -> DataFrame:
+    """Labels (side, node, hub, hops) that hold all hop counts of the graph.
+
+    Side 0 holds hubs that a node reaches, side 1 hubs that reach it. The hop count from s to t is the least sum over a
+    shared hub of side 0 of s and side 1 of t. All pages search at once, a round per hop, but only over pages that
+    rank below them by degree, and not where labels already found give as short a way: so
+    popular pages become hubs and a page keeps few of them. Every page is its own hub.
+    """
+    links = edges.where(F.col("source") != F.col("target")).select("source", "target").distinct()
+    ends = F.explode(F.array(F.col("source"), F.col("target"))).alias("node")
+    rank = F.struct(F.count("*").alias("links"), F.col("node")).alias("rank")
+    ranks = checkpointed(links.select(ends).groupBy("node").agg(rank))
+    # from a node against the links on side 0, along them on side 1
+    arcs = links.select(F.explode(F.array(
+        F.struct(F.lit(0).alias("side"), F.col("target").alias("node"), F.col("source").alias("next")),
+        F.struct(F.lit(1).alias("side"), F.col("source").alias("node"), F.col("target").alias("next")),
+    )).alias("arc")).select("arc.*")
+    arcs = checkpointed(arcs.join(ranks.select(F.col("node").alias("next"), F.col("rank").alias("next_rank")), "next"))
+    sides = F.explode(F.array(F.lit(0), F.lit(1))).alias("side")
+    frontier = checkpointed(ranks.select(sides, "node", F.col("node").alias("hub"), F.col("rank").alias("hub_rank"), F.lit(0).alias("hops")))
+    labels = frontier.select("side", "node", "hub", "hops")
+    while True:
+        reached = (
+            frontier.join(arcs, ["side", "node"]).where(F.col("hub_rank") > F.col("next_rank"))
+            .select("side", F.col("next").alias("node"), "hub", "hub_rank", (F.col("hops") + 1).alias("hops")).distinct()
+        )
+        # the ways over a hub that both ends have already
+        own = labels.select("side", "node", F.col("hub").alias("over"), F.col("hops").alias("to_over"))
+        other = labels.select((1 - F.col("side")).alias("side"), F.col("node").alias("hub"), F.col("hub").alias("over"), F.col("hops").alias("from_over"))
+        known = reached.join(own, ["side", "node"]).join(other, ["side", "hub", "over"]).where(
+            F.col("to_over") + F.col("from_over") <= F.col("hops")).select("side", "node", "hub")
+        frontier = checkpointed(reached.join(known, ["side", "node", "hub"], "left_anti"))
+        if frontier.isEmpty():
+            return labels
+        labels = labels.unionByName(frontier.select("side", "node", "hub", "hops"))
+
+
+def with_hub_labels(nodes: DataFrame, labels: DataFrame) -> DataFrame:
+    """Nodes with their hubs as maps ``hubs_out`` and ``hubs_in``, for the live scorer."""
+    side = lambda number, name: labels.where(F.col("side") == number).groupBy(F.col("node").alias("path")).agg(
+        F.map_from_entries(F.collect_list(F.struct("hub", "hops"))).alias(name))
+    none = F.create_map().cast("map<string,int>")
+    joined = nodes.join(side(0, "hubs_out"), "path", "left").join(side(1, "hubs_in"), "path", "left")
+    return joined.withColumns({name: F.coalesce(name, none) for name in ("hubs_out", "hubs_in")})
+
+
+def hop_distances(pairs: DataFrame, edges: DataFrame, labels: DataFrame | None = None) -> DataFrame:
     """Shortest hop count for each distinct (source, target) pair; 999 without a path.
 
-    Equal ends are 0 and direct links 1 by a join. Only the remaining pairs search, all sources at
-    once, a round of joins per hop; a source stops as soon as its last target is found.
+    Equal ends are 0 and direct links 1 by a join. The remaining pairs join the hub labels of their two ends
+    (``hub_labels``, built here when none are given).
     """
     links = checkpointed(edges.select("source", "target").distinct())
-    direct = (
-        pairs.join(links.withColumn("linked", F.lit(1)), ["source", "target"], "left")
+    direct = checkpointed(
+        pairs.select("source", "target").distinct().join(links.withColumn("linked", F.lit(1)), ["source", "target"], "left")
         .withColumn("hops", F.when(F.col("source") == F.col("target"), 0).when(F.col("linked") == 1, 1))
         .drop("linked")
     )
-    direct = checkpointed(direct)
     known = direct.where(F.col("hops").isNotNull())
-    # a target nobody links to, or a source without links, has no path
     waiting = direct.where(F.col("hops").isNull()).select("source", "target")
-    reachable = checkpointed(
-        waiting.join(links.select("source"), "source", "left_semi")
-        .join(links.select("target"), "target", "left_semi")
-        .select("source", "target")
-    )
-    unreachable = waiting.join(reachable, ["source", "target"], "left_anti")
-    results = [known, unreachable.withColumn("hops", F.lit(NO_PATH_HOPS))]
-
-    steps = links.select(F.col("source").alias("node"), F.col("target").alias("next"))
-    frontier = reachable.select("source", F.col("source").alias("node")).distinct()
-    visited, open_pairs, hops = frontier, reachable, 0
-    while not open_pairs.isEmpty():
-        hops += 1
-        frontier = checkpointed(
-            frontier.join(open_pairs.select("source"), "source", "left_semi")
-            .join(steps, "node")
-            .select("source", F.col("next").alias("node"))
-            .distinct()
-            .join(visited, ["source", "node"], "left_anti")
-        )
-        if frontier.isEmpty():
-            results.append(open_pairs.withColumn("hops", F.lit(NO_PATH_HOPS)))
-            break
-        visited = visited.unionByName(frontier)
-        hit = frontier.withColumnRenamed("node", "target")
-        found = open_pairs.join(hit, ["source", "target"], "left_semi")
-        results.append(found.withColumn("hops", F.lit(hops)))
-        open_pairs = checkpointed(open_pairs.join(hit, ["source", "target"], "left_anti"))
-    combined = results[0]
-    for part in results[1:]:
-        combined = combined.unionByName(part)
-    return combined.select("source", "target", F.col("hops").cast("int").alias("hops"))
+    labels = hub_labels(links) if labels is None else labels
+    out = labels.where(F.col("side") == 0).select(F.col("node").alias("source"), "hub", F.col("hops").alias("to_hub"))
+    into = labels.where(F.col("side") == 1).select(F.col("node").alias("target"), "hub", F.col("hops").alias("from_hub"))
+    ways = waiting.join(out, "source").join(into, ["target", "hub"]).groupBy("source", "target").agg(
+        F.min(F.col("to_hub") + F.col("from_hub")).alias("hops"))
+    found = waiting.join(ways, ["source", "target"], "left").withColumn("hops", F.coalesce("hops", F.lit(NO_PATH_HOPS)))
+    return known.unionByName(found).select("source", "target", F.col("hops").cast("int").alias("hops"))

@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from clickwarden.constants import FEATURE_COLUMNS
 from clickwarden.operators import features as feats
-from clickwarden.operators.graph import bfs_depths, graph_edges, graph_nodes, hop_distances, read_edges, transitions
+from clickwarden.operators.graph import (
+    bfs_depths, graph_edges, graph_nodes, hop_distances, hub_labels, read_edges, transitions, with_hub_labels,
+)
 from clickwarden.operators.ranking import with_global_row_number
 from clickwarden.operators.sessionize import sessionize
 
@@ -114,6 +116,29 @@ def test_depths_and_hops_against_search(spark):
     assert got == expected
 
 
+def test_hub_labels_hold_all_distances_and_stay_small(spark):
+    # a ring around which most ways are long, a hub page that some link to, and a page apart
+    ring = [(f"/r{i}", f"/r{(i + 1) % 24}") for i in range(24)]
+    edges = ring + [(f"/r{i}", "/hub") for i in range(0, 24, 3)] + [("/hub", f"/r{i}") for i in range(0, 24, 4)] + [("/x", "/y"), ("/y", "/y")]
+    frame = spark.createDataFrame(edges, "source string, target string")
+    rows = hub_labels(frame).collect()
+    names = sorted({n for e in edges for n in e})
+    out = {(r["node"], r["hub"]): r["hops"] for r in rows if r["side"] == 0}
+    into = {(r["node"], r["hub"]): r["hops"] for r in rows if r["side"] == 1}
+    for a in names:
+        for b in names:
+            ways = [out[a, h] + into[b, h] for h in names if (a, h) in out and (b, h) in into]
+            assert min(ways, default=999) == (0 if a == b else distances(edges, a).get(b, 999)), (a, b)
+    assert all(r["hops"] == (0 if r["node"] == r["hub"] else distances(edges, *((r["node"],) if r["side"] == 0 else (r["hub"],)))[
+        r["hub"] if r["side"] == 0 else r["node"]]) for r in rows)
+    # far fewer than the pairs of pages that reach each other
+    assert len(rows) < 0.5 * sum(len(distances(edges, a)) for a in names)
+    nodes = with_hub_labels(graph_nodes(frame), hub_labels(frame))
+    hub = nodes.where("path = '/hub'").head()
+    assert hub["hubs_out"]["/hub"] == 0 and hub["hubs_in"]["/hub"] == 0
+    assert nodes.where("path = '/'").head()["hubs_out"] == {}
+
+
 def test_steps_of_the_sessions_are_one_hop(spark, events):
     hops = hop_distances(transitions(events), graph_edges(events)).collect()
     assert {r["hops"] for r in hops} <= {0, 1}
