@@ -238,16 +238,21 @@ def score_quality(docs: DataFrame, parameters: dict[str, np.ndarray]) -> DataFra
 
 
 def with_quality(docs: DataFrame, parameters: dict[str, np.ndarray], column: str) -> DataFrame:
-    """The documents, all columns, with their quality score as ``column``; the text doesn't move."""
+    """The documents, all columns, with their quality score as ``column`` (a new name); the text doesn't move.
+
+    A null, empty or blank text is one passage without features. Repeated rows are scored alike; a long text is scored
+    whole, in a slice of its own. An empty table stays empty.
+    """
     state = docs.sparkSession.sparkContext.broadcast(parameters)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            scores = [np.zeros(0)]
+            # a slice goes out before the next is looked at
             for lo, hi in slices(batch.column("text")):
-                of_row, x = passage_features(*text_bytes(batch.column("text")[lo:hi]))
-                scores.append(forward(state.value, x.astype(np.float64), np.searchsorted(of_row, np.arange(hi - lo + 1)))["y"])
-            yield batch.append_column(column, pa.array(np.concatenate(scores)))
+                part = batch.slice(lo, hi - lo)
+                of_row, x = passage_features(*text_bytes(part.column("text")))
+                score = forward(state.value, x.astype(np.float64), np.searchsorted(of_row, np.arange(hi - lo + 1)))["y"]
+                yield part.append_column(column, pa.array(score))
 
     return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(column, DoubleType())]))
 

@@ -1,11 +1,12 @@
 """Toxicity by maximum-scoring segments of token log-odds.
 
-Token log-odds of toxic against clean documents come from labelled rows with Dirichlet priors: the
+Token log-odds of toxic against clean documents come from labelled rows with chained Dirichlet priors: the
 prior of a word is the estimate of its six-byte beginning, whose prior is that of its four-byte
 beginning, whose prior is the base rate. So an unseen form of a known stem still counts. Counts live in hashed tables
 of fixed size. A linear scan finds all maximal scoring segments of a text; the extreme-value
 distribution of segment scores in clean text (lambda and K) turns them into one calibrated
-statistic, and a logistic fit on other labelled rows into a probability.
+statistic, and a logistic fit into a probability. Every labelled row counts and calibrates: for the calibration
+its own tokens are taken out of the counts.
 """
 
 from __future__ import annotations
@@ -34,9 +35,8 @@ _SALT = (0x51ED270B, 0x2545F491, 0)
 class Lexicon:
     """Toxic and all occurrences of labelled tokens by level and hash, and the calibration."""
 
-    scores: np.ndarray | None = None  # per word bucket where the word was seen, else nan
-    stems: tuple[np.ndarray, ...] = ()
-    floor: float = 0.0
+    counts: np.ndarray | None = None  # [toxic | all][level, bucket]
+    base: float = 0.5
     drift: float = 0.7
     decay: float = 1.0  # lambda
     log_k: float = 0.0
@@ -50,41 +50,46 @@ def _buckets(words: Words) -> list[np.ndarray]:
 
 
 def _count_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    toxic, total = (np.zeros((3, _SIZE), dtype=np.int64) for _ in range(2))
+    toxic, total = (np.zeros((3, _SIZE), dtype=np.int32) for _ in range(2))
     for batch in batches:
         label = batch.column("label").to_numpy()
         for lo, hi in slices(batch.column("text")):
             words = Words(*text_bytes(batch.column("text")[lo:hi]), NOT_WORD)
             own = label[lo:hi][words.row] == 1
             for level, bucket in enumerate(_buckets(words)):
-                total[level] += np.bincount(bucket, minlength=_SIZE)
-                toxic[level] += np.bincount(bucket[own], minlength=_SIZE)
-    level, bucket = np.nonzero(total)
-    yield pa.record_batch([pa.array(level.astype(np.int32)), pa.array(bucket.astype(np.int32)),
-                           pa.array(toxic[level, bucket]), pa.array(total[level, bucket])],
-                          names=["level", "bucket", "toxic", "total"])
-
-
-def _lexicon(counts, prior: float) -> Lexicon:
-    words = counts[counts.level == len(STEMS)]
-    base = (words.toxic.sum() + 0.5) / (words.total.sum() + 1)
-    stems, parent = [], None
-    toxic, total = np.zeros((2, 3, _SIZE))
-    toxic[counts.level, counts.bucket], total[counts.level, counts.bucket] = counts.toxic, counts.total
-    # a stem's parent is a bucket of another level, unknown here; stems use the base rate and meet in _token_scores
-    odds = lambda p: np.log(p) - np.log1p(-p)
-    for level in range(len(STEMS)):
-        stems.append(odds((toxic[level] + prior * base) / (total[level] + prior)).astype(np.float32))
-    return Lexicon(scores=np.stack([toxic[-1], total[-1]]).astype(np.float32), stems=tuple(stems), floor=float(odds(base)))
-
-
-def _token_scores(words: Words, lexicon: Lexicon, prior: float) -> np.ndarray:
-    """Log-odds of each token over the base rate, less the drift that makes clean text score below zero."""
-    four, six, whole = _buckets(words)
-    stem = 1 / (1 + np.exp(-np.maximum(lexicon.stems[0][four], lexicon.stems[1][six]).astype(np.float64)))
-    toxic, total = lexicon.scores[0][whole], lexicon.scores[1][whole]
-    p = (toxic + prior * stem) / (total + prior)
-    return np.clip(np.log(p) - np.log1p(-p) - lexicon.floor, -4, 8) - lexicon.drift
+                for table, seen in ((total, bucket), (toxic, bucket[own])):
+                    at, n = np.unique(seen, return_counts=True)
+                    table[level, at] += n.astype(np.int32)
+    for level in range(len(total)):
+        bucket = np.flatnonzero(total[level])
+        yield pa.record_batch([pa.array(np.full(len(bucket), level, np.int32)), pa.array(bucket.astype(np.int32)),
+                               pa.array(toxic[level, bucket]), pa.array(total[level, bucket])],
+                              names=["level", "bucket", "toxic", "total"])
+
+
+def _lexicon(counts: pa.Table) -> Lexicon:
+    level, bucket, toxic, total = (counts.column(c).to_numpy() for c in ("level", "bucket", "toxic", "total"))
+    table = np.zeros((2, 3, _SIZE), dtype=np.float32)
+    table[0, level, bucket], table[1, level, bucket] = toxic, total
+    words = level == len(STEMS)
+    return Lexicon(counts=table, base=float((toxic[words].sum() + 0.5) / (total[words].sum() + 1)))
+
+
+def _token_scores(words: Words, lexicon: Lexicon, prior: float, own_label: np.ndarray | None = None) -> np.ndarray:
+    """Log-odds of each token over the base rate, less the drift that makes clean text score below zero.
+
+    ``own_label`` has the label of each row when the rows themselves were counted: their tokens are then left out.
+    """
+    p = np.full(len(words.row), lexicon.base)
+    for level, bucket in enumerate(_buckets(words)):
+        toxic, total = (lexicon.counts[i, level][bucket].astype(np.float64) for i in (0, 1))
+        if own_label is not None:
+            _, at, n = np.unique(words.row * _SIZE + bucket, return_inverse=True, return_counts=True)
+            total -= n[at]
+            toxic -= n[at] * (own_label[words.row] == 1)
+        p = (toxic + prior * p) / (total + prior)
+    odds = lambda q: np.log(q) - np.log1p(-q)
+    return np.clip(odds(p) - odds(lexicon.base), -4, 8) - lexicon.drift
 
 
 def maximal_segments(position: list[int], score: list[float], before: list[float]) -> list[tuple[int, int, float]]:
@@ -141,7 +146,7 @@ def _calibration(lexicon: Lexicon, prior: float):
             label = batch.column("label").to_numpy()
             for lo, hi in slices(batch.column("text")):
                 words = Words(*text_bytes(batch.column("text")[lo:hi]), NOT_WORD)
-                score = _token_scores(words, model, prior)
+                score = _token_scores(words, model, prior, label[lo:hi])
                 kinds = [(0, np.round(score * 20), label[lo:hi][words.row])]
                 if model.decay > 0:
                     found, sizes = _scan(words, score, hi - lo)
@@ -174,8 +179,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, modulus: int = 5, held_out:
                  prior: float = 8.0) -> Lexicon:
     """Learn the lexicon and its calibration from at most ``per_label`` training rows of each label.
 
-    Three quarters of them (by hash of the id) give the counts, the rest the calibration. Without
-    rows of both labels the score is the smoothed share of label 1.
+    Every such row gives counts and calibrates, there without its own tokens. Without rows of both labels the score is
+    the smoothed share of label 1.
     """
     spark = docs.sparkSession
     sample, sizes = labelled_sample(labels, "toxic", modulus, held_out, per_label)
@@ -185,17 +190,18 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, modulus: int = 5, held_out:
             p = (sizes[1] + 0.5) / (sum(sizes.values()) + 1)
             return Lexicon(intercept=float(np.log(p / (1 - p))), slope=0.0)
         rows = sampled_documents(docs, sample)
-        counting = F.xxhash64(F.lit("calibration"), "doc_id") % 4 != 0
-        counts = (rows.where(counting).select("text", "label")
-                  .mapInArrow(_count_tokens, "level int, bucket int, toxic long, total long")
-                  .groupBy("level", "bucket").agg(F.sum("toxic").alias("toxic"), F.sum("total").alias("total"))
-                  .where("toxic > 0 OR total > 2").toPandas())
-        lexicon = replace(_lexicon(counts, prior), decay=0.0)
-        calibrating = rows.where(~counting).select("text", "label")
+        counts = (rows.select("text", "label")
+                  .mapInArrow(_count_tokens, "level int, bucket int, toxic int, total int")
+                  .groupBy("level", "bucket").agg(F.sum("toxic").cast("int").alias("toxic"), F.sum("total").cast("int").alias("total")))
+        # at most three tables of fixed size
+        lexicon = replace(_lexicon(counts.toArrow()), decay=0.0)
+        calibrating = rows.select("text", "label")
 
         def histogram(kind):
-            got = calibrating.mapInArrow(_calibration(spark.sparkContext.broadcast(vars(lexicon)), prior), "kind int, label int, bin int, n long")
+            sent = spark.sparkContext.broadcast(vars(lexicon))
+            got = calibrating.mapInArrow(_calibration(sent, prior), "kind int, label int, bin int, n long")
             got = got.groupBy("kind", "label", "bin").agg(F.sum("n").alias("n")).toPandas()
+            sent.destroy()
             return got[got.kind == kind]
 
         clean = histogram(0).query("label == 0")
@@ -223,7 +229,7 @@ def _score(lexicon, prior: float, significance: float):
         for batch in batches:
             scores, passages = [], []
             for lo, hi in slices(batch.column("text")):
-                if model.scores is None:
+                if model.counts is None:
                     scores.append(np.zeros(hi - lo))
                     passages += [[]] * (hi - lo)
                     continue
@@ -260,21 +266,25 @@ def score_toxicity(docs: DataFrame, lexicon: Lexicon, prior: float = 8.0, signif
 
 
 def with_toxicity(docs: DataFrame, lexicon: Lexicon, column: str, prior: float = 8.0) -> DataFrame:
-    """The documents, all columns, with their toxicity score as ``column``; the text doesn't move."""
+    """The documents, all columns, with their toxicity score as ``column`` (a new name); the text doesn't move.
+
+    A null or empty text has the score of a text without evidence. Repeated rows are scored alike; a long text is scored
+    whole, in a slice of its own. An empty table stays empty.
+    """
     model = docs.sparkSession.sparkContext.broadcast(vars(lexicon))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = SimpleNamespace(**model.value)
         for batch in batches:
-            scores = [np.zeros(0)]
+            # a slice goes out before the next is looked at
             for lo, hi in slices(batch.column("text")):
-                if known.scores is None:
-                    scores.append(np.zeros(hi - lo))
-                    continue
-                words = Words(*text_bytes(batch.column("text")[lo:hi]), NOT_WORD)
-                scores.append(_statistic(*_scan(words, _token_scores(words, known, prior), hi - lo), known))
-            z = np.clip(known.slope * np.concatenate(scores) + known.intercept, -35, 35)
-            yield batch.append_column(column, pa.array(1 / (1 + np.exp(-z))))
+                part, score = batch.slice(lo, hi - lo), np.zeros(hi - lo)
+                if known.counts is not None:
+                    words = Words(*text_bytes(part.column("text")), NOT_WORD)
+                    score = _statistic(*_scan(words, _token_scores(words, known, prior), hi - lo), known)
+                    del words
+                z = np.clip(known.slope * score + known.intercept, -35, 35)
+                yield part.append_column(column, pa.array(1 / (1 + np.exp(-z))))
 
     return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(column, DoubleType())]))
 
