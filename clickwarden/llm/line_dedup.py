@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from clickwarden.llm.arrays import mix, powers, slices
 from clickwarden.llm.grouping import blocks_of_clusters, connected_components, key_links
-from clickwarden.llm.scratch import Scratch
+from clickwarden.llm.scratch import Scratch, unused_names
 from clickwarden.llm.signature_tree import tree_links
 
 SHINGLE = 8
@@ -26,6 +26,8 @@ BANDS, BAND_BINS = 12, 5
 _BINS = BANDS * BAND_BINS
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
+#: Lines whose keys a task remembers to have given; a forgotten one only gives them again.
+_REMEMBERED = 500_000
 
 
 def compared_lines(text: str | None) -> list[str]:
@@ -77,20 +79,32 @@ def band_keys(lines: Lines, count: int) -> np.ndarray:
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Marks of every line, and keys where the task meets a line for the first time: equal lines have equal keys."""
+    seen: set[int] = set()
     for batch in batches:
         for lo, hi in slices(batch.column("text"), 1 << 20):
             texts = batch.column("text")[lo:hi].to_pylist()
-            found = [(row, at, line) for row, text in enumerate(texts) for at, line in enumerate(compared_lines(text)) if line]
+            distinct: dict[str, int] = {}
+            found = [(row, at, distinct.setdefault(line, len(distinct)))
+                     for row, text in enumerate(texts) for at, line in enumerate(compared_lines(text)) if line]
             if not found:
                 continue
-            row, at, lines = zip(*found)
-            signed = Lines(list(lines))
-            keys = band_keys(signed, len(lines)).view(np.int64)
-            cuts = np.arange(len(lines) + 1, dtype=np.int32) * BANDS
+            row, at, which = (np.array(c) for c in zip(*found))
+            signed = Lines(list(distinct))
+            keys = band_keys(signed, len(distinct)).view(np.int64)
+            # the first place of each line in the slice, unless a slice before had it
+            first = np.zeros(len(which), dtype=bool)
+            first[np.unique(which, return_index=True)[1]] = True
+            marks = signed.mark.tolist()
+            first[first] = [marks[w] not in seen for w in which[first].tolist()]
+            if len(seen) > _REMEMBERED:
+                seen.clear()
+            seen.update(marks)
+            cuts = np.concatenate([[0], np.cumsum(np.where(first, BANDS, 0))]).astype(np.int32)
             yield pa.record_batch(
-                [batch.column("doc_id")[lo:hi].take(pa.array(row)), pa.array(at, pa.int32()), pa.array(signed.size),
-                 pa.array(signed.mark.view(np.int64)), pa.array(signed.other.view(np.int64)),
-                 pa.ListArray.from_arrays(pa.array(cuts), pa.array(keys.ravel()))],
+                [batch.column("doc_id")[lo:hi].take(pa.array(row)), pa.array(at.astype(np.int32)), pa.array(signed.size[which]),
+                 pa.array(signed.mark[which].view(np.int64)), pa.array(signed.other[which].view(np.int64)),
+                 pa.ListArray.from_arrays(pa.array(cuts), pa.array(keys[which[first]].ravel()))],
                 names=["doc_id", "line", "size", "mark", "other", "keys"])
 
 
@@ -158,14 +172,15 @@ def deduplicate_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
 
     Other columns stay as they are. Documents without any line to compare stay untouched.
     """
-    dropped = (line_groups(docs, percent).where("NOT kept").groupBy(F.col("doc_id").alias("_doc"))
-               .agg(F.array_sort(F.collect_set("line")).alias("_dropped")))
+    own, gone, left = unused_names(docs, "doc", "dropped", "lines")
+    dropped = (line_groups(docs, percent).where("NOT kept").groupBy(F.col("doc_id").alias(own))
+               .agg(F.array_sort(F.collect_set("line")).alias(gone)))
     lines = F.split(F.col("text"), "\n", -1)
-    kept = F.filter(lines, lambda line, at: ~F.array_contains(F.col("_dropped"), at))
-    both = docs.join(dropped, docs.doc_id.cast("long") == F.col("_doc"), "left")
-    both = both.withColumn("_lines", F.when(F.col("_dropped").isNotNull(), kept))
-    both = both.where("_lines IS NULL OR exists(_lines, x -> trim(x) <> '')")
-    return both.withColumn("text", F.coalesce(F.array_join("_lines", "\n"), F.col("text"))).select(*docs.columns)
+    kept = F.filter(lines, lambda line, at: ~F.array_contains(F.col(gone), at))
+    both = docs.join(dropped, docs.doc_id.cast("long") == F.col(own), "left")
+    both = both.withColumn(left, F.when(F.col(gone).isNotNull(), kept))
+    both = both.where(F.col(left).isNull() | F.exists(left, lambda line: F.trim(line) != ""))
+    return both.withColumn("text", F.coalesce(F.array_join(left, "\n"), F.col("text"))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

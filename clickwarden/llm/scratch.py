@@ -43,3 +43,14 @@ class Scratch:
         path = self._spark._jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(self._spark._jsc.hadoopConfiguration()).delete(path, True)
         self._paths.discard(name)
+
+
+def unused_names(df: DataFrame, *names: str) -> list[str]:
+    """Column names made of ``names`` that the table has none of, whatever their case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out

@@ -25,13 +25,18 @@ from clickwarden.llm.scratch import Scratch
 WORDS = 32  # 64-bit words of a bitmap
 TWIG = 16  # sets under a lowest node inside a block
 HEIGHT = 16  # blocks under an upper node
+FEW_PAIRS = 64  # of two blocks that are compared without a traversal
+#: Elements of the block pairs that a task unpacks together.
+UNPACKED = 1 << 20
 _NODE = "block long, cluster long, least int, most int, any binary, all binary, sets binary, sizes binary, ids binary"
 
 
-def bitmap(elements: np.ndarray) -> np.ndarray:
-    bits = np.zeros(WORDS * 64, dtype=bool)
-    bits[(elements >> np.uint64(17)).astype(np.int64) % (WORDS * 64)] = True
-    return np.packbits(bits).view(np.uint64)
+def bitmaps(sets: list[np.ndarray]) -> np.ndarray:
+    """One bitmap per set."""
+    bits = np.zeros((len(sets), WORDS * 64), dtype=bool)
+    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    bits[row, (np.concatenate(sets) >> np.uint64(17)).astype(np.int64) % (WORDS * 64)] = True
+    return np.packbits(bits, axis=1).view(np.uint64)
 
 
 def missing(all_of: np.ndarray, any_of: np.ndarray) -> np.ndarray:
@@ -85,11 +90,23 @@ def numbers(packed: list[bytes]) -> list[np.ndarray]:
     return [np.frombuffer(p, "<u8") for p in packed]
 
 
-def _unpack(row: dict, expand: Callable[[list[bytes]], list[np.ndarray]]):
-    cuts = np.concatenate([[0], np.cumsum(np.frombuffer(row["sizes"], "<i8"))]).tolist()
-    raw = zstandard.ZstdDecompressor().decompress(row["sets"])
-    sets = expand([raw[a:b] for a, b in zip(cuts, cuts[1:])])
-    return np.frombuffer(row["ids"], "<i8"), np.array([len(s) for s in sets], dtype=np.int64), sets, np.stack([bitmap(s) for s in sets])
+def _unpack(packed: dict[int, tuple], expand: Callable[[list[bytes]], list[np.ndarray]]) -> dict[int, tuple]:
+    """(ids, sizes, sets, bitmaps) of some blocks (sets, sizes, ids), all expanded together."""
+    pieces, counts = [], []
+    for blob, sizes, _ in packed.values():
+        cuts = np.concatenate([[0], np.cumsum(np.frombuffer(sizes, "<i8"))]).tolist()
+        raw = zstandard.ZstdDecompressor().decompress(blob)
+        pieces += [raw[a:b] for a, b in zip(cuts, cuts[1:])]
+        counts.append(len(cuts) - 1)
+    if not pieces:
+        return {}
+    sets = expand(pieces)
+    bits, size, out, at = bitmaps(sets), np.array([len(s) for s in sets], dtype=np.int64), {}, 0
+    for (block, (_, _, ids)), n in zip(packed.items(), counts):
+        own = slice(at, at + n)
+        out[block] = (np.frombuffer(ids, "<i8"), size[own], sets[own], bits[own])
+        at += n
+    return out
 
 
 def overlap_sizes(sets_a: list[np.ndarray], sets_b: list[np.ndarray], columns: int = 4096) -> np.ndarray:
@@ -116,12 +133,14 @@ def overlap_sizes(sets_a: list[np.ndarray], sets_b: list[np.ndarray], columns: i
     return total
 
 
-def matches(a: dict, b: dict, percent: int, expand: Callable[[list[bytes]], list[np.ndarray]] = numbers, every: bool = False) -> list[tuple[int, int]]:
-    """Links between the sets of two block rows (or of one with itself): those that join their components, or ``every`` one."""
-    same = a["block"] == b["block"]
-    ids_a, size_a, sets_a, bits_a = _unpack(a, expand)
-    ids_b, size_b, sets_b, bits_b = (ids_a, size_a, sets_a, bits_a) if same else _unpack(b, expand)
-    left, right = candidate_pairs(size_a, bits_a, size_b, bits_b, percent)
+def matches(a: tuple, b: tuple, same: bool, percent: int, every: bool = False) -> list[tuple[int, int]]:
+    """Links between the sets of two blocks (or of one with itself): those that join their components, or ``every`` one."""
+    (ids_a, size_a, sets_a, bits_a), (ids_b, size_b, sets_b, bits_b) = a, b
+    if len(ids_a) * len(ids_b) <= FEW_PAIRS:
+        x, y = size_a[:, None], size_b[None, :]
+        left, right = np.nonzero(100 * np.minimum(x, y) >= percent * np.maximum(x, y))
+    else:
+        left, right = candidate_pairs(size_a, bits_a, size_b, bits_b, percent)
     if every:
         if same:
             left, right = left[left < right], right[left < right]
@@ -150,28 +169,32 @@ def _blocks(expand: Callable[[list[bytes]], list[np.ndarray]]):
 
     def node(rows):
         packed = [r["elements"] for r in rows]
-        sets = expand(packed)
-        size = np.array([len(s) for s in sets], "<i8")
-        bits = np.stack([bitmap(s) for s in sets])
-        return pa.RecordBatch.from_pylist([{
+        size = np.array([r["size"] for r in rows], "<i8")
+        bits = np.stack([r["bits"] for r in rows])
+        return {
             "block": rows[0]["block"], "cluster": rows[0]["cluster"], "least": int(size.min()), "most": int(size.max()),
             "any": np.bitwise_or.reduce(bits).tobytes(), "all": np.bitwise_and.reduce(bits).tobytes(),
             # near copies share most elements, and a block goes to every pair that stays
-            "sets": zstandard.ZstdCompressor(level=3).compress(b"".join(packed)), "sizes": np.array([len(p) for p in packed], "<i8").tobytes(), "ids": np.array([r["id"] for r in rows], "<i8").tobytes()}], schema=schema)
+            "sets": zstandard.ZstdCompressor(level=3).compress(b"".join(packed)),
+            "sizes": np.array([len(p) for p in packed], "<i8").tobytes(), "ids": np.array([r["id"] for r in rows], "<i8").tobytes()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = []
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
-                for row in batch.slice(lo, 256).to_pylist():
+                part, done = batch.slice(lo, 256).to_pylist(), []
+                sets = expand([row["elements"] for row in part])
+                for row, size, bits in zip(part, map(len, sets), bitmaps(sets)):
                     if rows and row["block"] == rows[0]["block"] and row["id"] == rows[-1]["id"]:
                         continue  # a repeated row; each set counts once
                     if rows and row["block"] != rows[0]["block"]:
-                        yield node(rows)
+                        done.append(node(rows))
                         rows = []
-                    rows.append(row)
+                    rows.append(row | {"size": size, "bits": bits})
+                if done:
+                    yield pa.RecordBatch.from_pylist(done, schema=schema)
         if rows:
-            yield node(rows)
+            yield pa.RecordBatch.from_pylist([node(rows)], schema=schema)
 
     return run
 
@@ -239,16 +262,39 @@ def _pairs(nodes: DataFrame, key: str, percent: int, within: DataFrame | None =
 
 
 def _compare(percent: int, expand, output: str):
+    def compared(rows: list[dict], known: dict[int, tuple]) -> dict[int, tuple]:
+        """Unpack what the block pairs need and was not unpacked for the pairs before."""
+        wanted = {row[f"block_{s}"]: tuple(row[f"{k}_{s}"] for k in ("sets", "sizes", "ids")) for row in rows for s in "ab"}
+        held = {block: known[block] for block in wanted if block in known}
+        return held | _unpack({block: packed for block, packed in wanted.items() if block not in held}, expand)
+
+    def answers(rows: list[dict], known: dict[int, tuple]):
+        links = []
+        for row in rows:
+            a, b = row["block_a"], row["block_b"]
+            own = matches(known[a], known[b], a == b, percent, output != "spanning")
+            if own and output == "counts":
+                yield _counted(np.array(own, dtype=np.int64))
+            else:
+                links += own
+        if links:
+            yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*links)], names=["a", "b"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[int, tuple] = {}
         for batch in batches:
-            for lo in range(batch.num_rows):
-                row = batch.slice(lo, 1).to_pylist()[0]
-                a, b = ({k: row[f"{k}_{s}"] for k in ("block", "sets", "sizes", "ids")} for s in "ab")
-                links = matches(a, b, percent, expand, output != "spanning")
-                if links and output == "counts":
-                    yield _counted(np.array(links, dtype=np.int64))
-                elif links:
-                    yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*links)], names=["a", "b"])
+            rows, weight = [], 0
+            for lo in range(0, batch.num_rows, 64):
+                for row in batch.slice(lo, 64).to_pylist():
+                    rows.append(row)
+                    weight += (row["most_a"] * len(row["sizes_a"]) + row["most_b"] * len(row["sizes_b"])) // 8
+                    if weight > UNPACKED:
+                        known = compared(rows, known)
+                        yield from answers(rows, known)
+                        rows, weight = [], 0
+            if rows:
+                known = compared(rows, known)
+                yield from answers(rows, known)
 
     return run
 
@@ -280,6 +326,6 @@ def tree_links(sets: DataFrame, percent: int, scratch: Scratch, expand: Callable
     upper = (narrow.withColumnRenamed("parent", "upper").drop("block").repartition("upper").sortWithinPartitions("upper")
              .mapInArrow(_above, "upper long, cluster long, least int, most int, any binary, all binary").withColumn("parent", F.lit(0)))
     pairs = _pairs(narrow, "block", percent, within=_pairs(upper, "upper", percent))
-    full = [nodes.select(*_side(nodes, s, "block", "sets", "sizes", "ids")) for s in "ab"]
+    full = [nodes.select(*_side(nodes, s, "block", "most", "sets", "sizes", "ids")) for s in "ab"]
     both = pairs.join(full[0], "block_a").join(full[1], "block_b")
     return both.mapInArrow(_compare(percent, expand, output), "a long, b long" + (", n long" if output == "counts" else ""))
