@@ -12,14 +12,14 @@ rows among the documents that reach them.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from clickwarden.llm.line_dedup import deduplicate_lines
 from clickwarden.llm.ngram_join import ngram_components
 from clickwarden.llm.packing import pack_documents
 from clickwarden.llm.quality import fit_quality, with_quality
-from clickwarden.llm.scratch import Scratch
+from clickwarden.llm.scratch import Scratch, unused_names
 from clickwarden.llm.toxicity import fit_toxicity, with_toxicity
 
 
@@ -27,20 +27,32 @@ def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/labels.parquet")
 
 
+def _accepted(docs: DataFrame, scored: DataFrame, score: str, accept: str) -> DataFrame:
+    return scored.where(f"`{score}` {accept} 0.5").select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a toxicity score below 0.5."""
-    scored = with_toxicity(docs, fit_toxicity(docs, _labels(spark, sf_dir)), "_score")
-    return scored.where("_score < 0.5").drop("_score")
+    """Documents with a toxicity score below 0.5, all columns as they are.
+
+    A null or empty text has the score of a text without evidence. Rows that repeat each other or a doc_id are judged
+    by their own texts; a row without doc_id is judged like others. An empty table stays empty.
+    """
+    (score,) = unused_names(docs, "score")
+    return _accepted(docs, with_toxicity(docs, fit_toxicity(docs, _labels(spark, sf_dir)), score), score, "<")
 
 
 def reject_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a quality score of 0.5 or more."""
-    scored = with_quality(docs, fit_quality(docs, _labels(spark, sf_dir)), "_score")
-    return scored.where("_score >= 0.5").drop("_score")
+    """Documents with a quality score of 0.5 or more, all columns as they are; odd rows as in ``reject_toxic``."""
+    (score,) = unused_names(docs, "score")
+    return _accepted(docs, with_quality(docs, fit_quality(docs, _labels(spark, sf_dir)), score), score, ">=")
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that a similar line before them stands for."""
+    """Documents without the lines that a similar line before them stands for; ``n_chars`` follows the text.
+
+    Null texts, documents without a line to compare and rows without doc_id stay as they are. Of equal lines of rows that
+    repeat a doc_id, those at equal places stay or go together. A document of any length is compared whole.
+    """
     kept = deduplicate_lines(docs)
     if "n_chars" in docs.columns:
         kept = kept.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
@@ -48,16 +60,26 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near copies the document with the smallest id."""
+    """Of each component of near copies the document with the smallest id, all columns as they are.
+
+    A text without words has no copies and stays. Of rows with one doc_id and text one stays, the smallest by all its
+    other columns; rows without doc_id stay if their component has no id. An empty table stays empty.
+    """
     groups = ngram_components(docs, n=5, percent=80)
-    stays = groups.where("doc_id <=> component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    kept = docs.join(stays.hint("merge"), docs.doc_id.cast("long").eqNullSafe(F.col("_kept")), "left_semi")
+    own, place = unused_names(docs, "kept", "place")
+    stays = groups.where("doc_id <=> component_id").select(F.col("doc_id").alias(own)).distinct()
+    kept = docs.join(stays.hint("merge"), docs["doc_id"].cast("long").eqNullSafe(F.col(own)), "left_semi")
     # a row that repeats another is its copy
-    return kept.dropDuplicates(["doc_id", "text"])
+    order = Window.partitionBy("doc_id", "text").orderBy(*[F.to_json(F.struct(F.col(f"`{c}`"))) for c in docs.columns])
+    return kept.withColumn(place, F.row_number().over(order)).where(F.col(place) == 1).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents with their places in the sequences."""
+    """The pieces of all documents with their places in the sequences.
+
+    A null text is empty and still has its end mark. Every row is packed, repeated ones and rows without doc_id too;
+    other columns are ignored. An empty table has no piece.
+    """
     import public_tokenizers
 
     return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
