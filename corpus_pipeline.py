@@ -70,7 +70,8 @@ def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     stays = groups.where("doc_id <=> component_id").select(F.col("doc_id").alias(own)).distinct()
     kept = docs.join(stays.hint("merge"), docs["doc_id"].cast("long").eqNullSafe(F.col(own)), "left_semi")
     # a row that repeats another is its copy
-    order = Window.partitionBy("doc_id", "text").orderBy(*[F.to_json(F.struct(F.col(f"`{c}`"))) for c in docs.columns])
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
+    order = Window.partitionBy("doc_id", "text").orderBy(F.to_json(F.struct(*others)) if others else F.lit(0))
     return kept.withColumn(place, F.row_number().over(order)).where(F.col(place) == 1).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
