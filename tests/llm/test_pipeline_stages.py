@@ -77,3 +77,25 @@ def test_empty_tables(spark, tmp_path):
     spark.createDataFrame([], SCHEMA).write.parquet(f"{path}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
     assert corpus_pipeline.run(spark, path).count() == 0
+
+
+def test_stages_with_clashing_columns_long_texts_and_empty_tables(spark, folder):
+    path, rows, _ = folder
+    clashing = "doc_id long, text string, _score string, score int, _kept int, kept string, place int, _doc long, doc string, _dropped string, _lines array<string>, lines string"
+    odd = [(i, text, "s", 1, 2, "k", 3, 4, "d", "x", ["own"], "l") for i, text, *_ in rows[:60]]
+    odd += [(2000, "one word after the other " * 100_000, "s", 1, 2, "k", 3, 4, "d", "x", ["own"], "l")]
+    docs = spark.createDataFrame(odd, clashing)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, path)
+        assert out.schema.names == docs.schema.names, name
+        kept = out.collect()
+        assert kept and all(tuple(r)[2:] == odd[0][2:] for r in kept), name
+        assert stage(spark, docs.limit(0), path).collect() == [], name
+    assert corpus_pipeline.STAGES[-1][1](spark, docs.limit(0), path).collect() == []
+
+
+def test_rows_of_one_id_and_text_leave_the_smallest(spark, folder):
+    rows = [(1, "a b c d e f", "z"), (1, "a b c d e f", "y"), (1, "a b c d e f", None), (2, "", "q"), (2, "", "p")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, other string")
+    out = corpus_pipeline.one_of_near_copies(spark, docs, folder[0]).collect()
+    assert sorted(r["doc_id"] for r in out) == [1, 2] and {r["other"] for r in out if r["doc_id"] == 2} == {"p"}
