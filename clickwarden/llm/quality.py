@@ -174,14 +174,15 @@ def fit_quality(docs: DataFrame, labels: DataFrame, modulus: int = 3, held_out:
     """Learn from at most ``per_label`` training rows of each label; a shard holds 1 / ``shards`` of them.
 
     Labels weigh so that both sides count as often as they occur among all training labels.
-    Without rows of both labels the score is the smoothed share of label 1.
+    Without labelled rows of both labels, or without any of their documents, the score is the smoothed share of label 1.
     """
     spark = docs.sparkSession
     sample, sizes = labelled_sample(labels, "quality", modulus, held_out, per_label)
     p = initial_parameters()
+    share = (sizes[1] + 0.5) / (sum(sizes.values()) + 1)
+    untrained = p | {"c": np.zeros(HIDDEN), "d": np.array([np.log(share / (1 - share))])}
     if not all(sizes.values()):
-        share = (sizes[1] + 0.5) / (sum(sizes.values()) + 1)
-        return p | {"c": np.zeros(HIDDEN), "d": np.array([np.log(share / (1 - share))])}
+        return untrained
     scratch = Scratch(spark, "quality")
     rows = sampled_documents(docs, sample).select("text", "label", F.pmod(F.xxhash64(F.lit("shard"), "doc_id"), F.lit(shards)).cast("int").alias("shard"))
     bags = scratch.keep(rows.mapInArrow(_bags, "shard int, label int, bag binary").repartition(shards, "shard"))
@@ -190,6 +191,8 @@ def fit_quality(docs: DataFrame, labels: DataFrame, modulus: int = 3, held_out:
         state = spark.sparkContext.broadcast(p)
         # every shard lies in one file group, whichever task reads it
         got = (bags.repartition(shards, "shard").mapInArrow(_train_shards(state, weights, epochs, turn), "n long, flat binary").collect())
+        if not got:  # none of the labelled rows is among the documents
+            return untrained
         total = sum(r.n for r in got)
         flat = sum(np.frombuffer(r.flat) * (r.n / total) for r in sorted(got, key=lambda r: r.flat))
         at = 0
