@@ -262,16 +262,16 @@ def _pairs(nodes: DataFrame, key: str, percent: int, within: DataFrame | None =
 
 
 def _compare(percent: int, expand, output: str):
-    def compared(rows: list[dict], known: dict[int, tuple]) -> dict[int, tuple]:
+    def compared(rows: list[tuple], packed: dict[int, dict], known: dict[int, tuple]) -> dict[int, tuple]:
         """Unpack what the block pairs need and was not unpacked for the pairs before."""
-        wanted = {row[f"block_{s}"]: tuple(row[f"{k}_{s}"] for k in ("sets", "sizes", "ids")) for row in rows for s in "ab"}
+        wanted = dict.fromkeys(block for pair in rows for block in pair)
         held = {block: known[block] for block in wanted if block in known}
-        return held | _unpack({block: packed for block, packed in wanted.items() if block not in held}, expand)
+        new = {x: tuple(packed[x][k] for k in ("sets", "sizes", "ids")) for x in wanted if x not in held}
+        return held | _unpack(new, expand)
 
-    def answers(rows: list[dict], known: dict[int, tuple]):
+    def answers(rows: list[tuple], known: dict[int, tuple]):
         links = []
-        for row in rows:
-            a, b = row["block_a"], row["block_b"]
+        for a, b in rows:
             own = matches(known[a], known[b], a == b, percent, output != "spanning")
             if own and output == "counts":
                 yield _counted(np.array(own, dtype=np.int64))
@@ -281,20 +281,26 @@ def _compare(percent: int, expand, output: str):
             yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*links)], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[int, tuple] = {}
+        known, packed, tile, rows, weight = {}, {}, None, [], 0
         for batch in batches:
-            rows, weight = [], 0
             for lo in range(0, batch.num_rows, 64):
                 for row in batch.slice(lo, 64).to_pylist():
-                    rows.append(row)
-                    weight += (row["most_a"] * len(row["sizes_a"]) + row["most_b"] * len(row["sizes_b"])) // 8
+                    if (row["upper_a"], row["upper_b"]) != tile:
+                        if rows:
+                            known = compared(rows, packed, known)
+                            yield from answers(rows, known)
+                        tile, packed, rows, weight = (row["upper_a"], row["upper_b"]), {}, [], 0
+                    if row["block_b"] is None:
+                        packed[row["block_a"]] = row
+                        continue
+                    rows.append((row["block_a"], row["block_b"]))
+                    weight += sum(packed[x]["most"] * len(packed[x]["sizes"]) // 8 for x in rows[-1])
                     if weight > UNPACKED:
-                        known = compared(rows, known)
+                        known = compared(rows, packed, known)
                         yield from answers(rows, known)
                         rows, weight = [], 0
-            if rows:
-                known = compared(rows, known)
-                yield from answers(rows, known)
+        if rows:
+            yield from answers(rows, compared(rows, packed, known))
 
     return run
 
@@ -326,6 +332,13 @@ def tree_links(sets: DataFrame, percent: int, scratch: Scratch, expand: Callable
     upper = (narrow.withColumnRenamed("parent", "upper").drop("block").repartition("upper").sortWithinPartitions("upper")
              .mapInArrow(_above, "upper long, cluster long, least int, most int, any binary, all binary").withColumn("parent", F.lit(0)))
     pairs = _pairs(narrow, "block", percent, within=_pairs(upper, "upper", percent))
-    full = [nodes.select(*_side(nodes, s, "block", "most", "sets", "sizes", "ids")) for s in "ab"]
-    both = pairs.join(full[0], "block_a").join(full[1], "block_b")
+    # a tile is a pair of upper nodes: a block goes there once, however many of the tile's pairs it is in
+    tile = [F.floor(F.col(f"block_{s}") / F.lit(HEIGHT)).alias(f"upper_{s}") for s in "ab"]
+    pairs = scratch.keep(pairs.select(*tile, "block_a", "block_b"))
+    needed = pairs.select("upper_a", "upper_b", F.explode(F.array("block_a", "block_b")).alias("block")).distinct()
+    content = ["most", "sets", "sizes", "ids"]
+    placed = needed.join(nodes.select("block", *content), "block").withColumnRenamed("block", "block_a").withColumn("block_b", F.lit(None).cast("long"))
+    none = {c: F.lit(None).cast(nodes.schema[c].dataType) for c in content}
+    both = placed.unionByName(pairs.withColumns(none)).repartition("upper_a", "upper_b").sortWithinPartitions(
+        "upper_a", "upper_b", F.col("block_b").isNotNull(), "block_b", "block_a")
     return both.mapInArrow(_compare(percent, expand, output), "a long, b long" + (", n long" if output == "counts" else ""))
