@@ -7,8 +7,11 @@ their lists, until a round renews only a small share of their entries. A query s
 its own node and expands its best unexpanded candidates, hop by hop, until all candidates that any query
 keeps are expanded; what is left is scored exactly on the original vectors.
 
-Largest inner products become nearest neighbours by one extra coordinate that gives all vectors the
-same norm. Inside the graph vectors travel as 8-bit codes.
+Vectors of very different norms are kept apart: a shell holds the nodes whose norms lie within a factor
+of two, and has a graph of its own. Largest inner products become nearest neighbours in a shell by one extra
+coordinate that gives all its vectors the same norm. A query enters its own shell at its node, every other one at the
+best of some nodes taken by hash (all of a small shell), and keeps the best candidates of every shell
+until the exact scores decide. Vectors travel as 8-bit codes with a scale each.
 """
 
 from __future__ import annotations
@@ -41,7 +44,8 @@ class Settings:
     offers: int = 4  # of each pair of lists, to each node and round
     expand: int = 40  # candidates opened in a hop; hops follow until none is left to open
     search_reverse: int = 40  # as reverse, for the search
-    beam: int = 64  # candidates kept, and scored exactly
+    beam: int = 64  # candidates kept of each shell, and scored exactly; 3 times the rows asked for if that is more
+    doors: int = 4096  # nodes of a shell, about, at which queries of other shells can enter; 65,536 in all
 
 
 def usable(vector: Column) -> Column:
@@ -50,17 +54,26 @@ def usable(vector: Column) -> Column:
     return F.coalesce(finite & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
-def _codes(norm: float, largest: float):
-    scale = 127 / largest
+def _level(vector: Column) -> Column:
+    """Binary logarithm of the norm, of numbers that could not be squared, too."""
+    largest = F.array_max(F.transform(vector, F.abs))
+    return F.log2(largest) + F.log2(F.aggregate(F.transform(vector, lambda x: x / largest), F.lit(0.0), lambda s, x: s + x * x)) / 2
 
+
+def _codes(top: float):
+    """The vector over the largest norm of its shell, with the coordinate that completes it to norm 1: a 4-byte scale and 8-bit parts."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x = _matrix(batch.column("vector"))
-            extra = np.sqrt(np.maximum(norm * norm - (x * x).sum(1), 0))
-            code = np.clip(np.rint(np.column_stack([x, extra]) * scale), -127, 127).astype(np.int8)
-            yield pa.record_batch([batch.column("node"), pa.array([c.tobytes() for c in code], pa.binary())], names=["node", "code"])
+            x, shell = _matrix(batch.column("vector")), batch.column("shell").to_numpy()
+            largest = np.abs(x).max(1)
+            x = x / largest[:, None] * np.exp2(np.log2(largest) - (top - shell))[:, None]
+            x = np.column_stack([x, np.sqrt(np.maximum(1 - (x * x).sum(1), 0))])
+            scale = (np.abs(x).max(1) / 127).astype(np.float32)
+            code = np.clip(np.rint(x / scale[:, None]), -127, 127).astype(np.int8)
+            packed = [s.tobytes() + c.tobytes() for s, c in zip(scale, code)]
+            yield pa.record_batch([batch.column("node"), batch.column("shell"), pa.array(packed, pa.binary())], names=["node", "shell", "code"])
 
     return run
 
@@ -70,20 +83,21 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 def _decode(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.int8).reshape(len(column), -1).astype(np.float32)
+    packed = np.frombuffer(b"".join(column.to_pylist()), np.int8).reshape(len(column), -1)
+    return packed[:, 4:] * np.ascontiguousarray(packed[:, :4]).view(np.float32)
 
 
 def _sides(trees: int):
-    """(tree, side bits, node, code): rows near each other mostly agree in their first bits."""
+    """(tree of a shell, side bits, node, code): rows near each other mostly agree in their first bits."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x = _decode(batch.column("code"))[:, :-1]
+            x, shell = _decode(batch.column("code"))[:, :-1], batch.column("shell").to_numpy()
             planes = np.random.default_rng(11).normal(size=(trees, x.shape[1], _BITS)).astype(np.float32)
             for tree in range(trees):
                 bits = (x @ planes[tree] > 0) @ (1 << np.arange(_BITS)[::-1])
-                yield pa.record_batch([pa.array(np.full(len(x), tree, np.int32)), pa.array(bits.astype(np.int64)), batch.column("node"), batch.column("code")],
+                yield pa.record_batch([pa.array((shell * trees + tree).astype(np.int32)), pa.array(bits.astype(np.int64)), batch.column("node"), batch.column("code")],
                                       names=["tree", "bits", "node", "code"])
 
     return run
@@ -241,20 +255,65 @@ def neighbour_graph(codes: DataFrame, settings: Settings, scratch: Scratch) -> D
             return graph
 
 
+def _asked(code: np.ndarray) -> np.ndarray:
+    """Codes as queries: without the extra coordinate, products are inner products up to a factor of the query and the shell."""
+    asked = code.copy()
+    asked[:, -1] = 0
+    return asked
+
+
 def _score_codes(group: dict):
     """Scores of a query's candidates by codes; the query's own row has no candidate."""
     x, dst = _decode(group["code"]), group["dst"].to_pylist()
     at = dst.index(None)
-    own = x[at].copy()
-    own[-1] = 0
     kept = np.array([i for i in range(len(dst)) if i != at], dtype=np.int64)
-    query = group["query"].to_numpy()
-    return query[kept], np.array([dst[i] for i in kept], dtype=np.int64), x[kept] @ own
+    return group["query"].to_numpy()[kept], group["shell"].to_numpy()[kept], group["dst"].take(pa.array(kept)).to_numpy(), x[kept] @ _asked(x[at : at + 1])[0]
+
+
+_CANDIDATE = "query long, shell int, dst long, score float"
+
+
+def _candidates(found: list) -> pa.RecordBatch:
+    query, shell, dst, score = (np.concatenate(x) for x in zip(*found))
+    return pa.record_batch([pa.array(query), pa.array(shell.astype(np.int32)), pa.array(dst.astype(np.int64)), pa.array(score.astype(np.float32))],
+                           names=["query", "shell", "dst", "score"])
 
 
 def _scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for found in _groups(batches, "query", _score_codes):
-        yield _edges(found)
+        yield _candidates(found)
+
+
+def _entered(doors: dict[int, tuple[list[int], list[bytes]]], most: int):
+    """The best doors of every shell but its own for each query."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = {shell: (np.array(ids), _decode(pa.array(codes, pa.binary()))) for shell, (ids, codes) in doors.items()}
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 1000):
+                part = batch.slice(lo, 1000)
+                own, query, home = _asked(_decode(part.column("code"))), part.column("node").to_numpy(), part.column("shell").to_numpy()
+                for shell, (ids, x) in known.items():
+                    away = np.flatnonzero(home != shell)
+                    if len(away):
+                        score = own[away] @ x.T
+                        r, c = _best(score, most)
+                        yield _candidates([(query[away][r], np.full(len(r), shell), ids[c], score[r, c])])
+
+    return run
+
+
+def _doors(codes: DataFrame, sizes: dict[int, int], settings: Settings) -> dict[int, tuple[list[int], list[bytes]]]:
+    """Some nodes of each shell, by hash; all of one that has no more than are wanted."""
+    wanted = max(64, min(settings.doors, 65_536 // len(sizes)))
+    million = 1_000_000
+    share = F.create_map(*[F.lit(x) for shell, n in sizes.items() for x in (shell, million if n <= wanted else max(1, wanted * million // n))])
+    chosen = codes.where(F.pmod(F.xxhash64("node", F.lit(5)), F.lit(million)) < share[F.col("shell")])
+    doors: dict[int, tuple[list[int], list[bytes]]] = {}
+    for row in chosen.select("shell", "node", "code").toLocalIterator():
+        ids, packed = doors.setdefault(row.shell, ([], []))
+        ids.append(row.node)
+        packed.append(bytes(row.code))
+    return doors
 
 
 def _exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -271,7 +330,7 @@ def nearest_neighbours(vectors: DataFrame, query_filter: Column, most: int = 20,
     those with null or non-finite components, those of another length than most have, and
     rows without vec_id take no part; of rows that repeat a vec_id one does. Scores are double
     precision on the original vectors, equal scores go to the smaller vec_id. Equal vectors are one
-    node and are all found with it. Other columns are ignored.
+    node and are all found with it; any norms are allowed. Other columns are ignored.
     """
     spark = vectors.sparkSession
     scratch = Scratch(spark, "ann")
@@ -281,24 +340,29 @@ def nearest_neighbours(vectors: DataFrame, query_filter: Column, most: int = 20,
     rows = rows.where(F.size("vector") == (length.d if length else 0)).dropDuplicates(["vec_id"])
     keyed = scratch.keep(rows.withColumns({"key": F.xxhash64("vector"), "check": F.hash("vector")}))
     same = ["key", "check"]
-    nodes = scratch.keep(keyed.groupBy(*same).agg(F.min("vec_id").alias("node"), F.min_by("vector", "vec_id").alias("vector")))
-    extent = nodes.agg(F.max(F.sqrt(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x))).alias("norm"),
-                       F.max(F.array_max(F.transform("vector", F.abs))).alias("largest"), F.min("node").alias("any")).first()
+    nodes = scratch.keep(keyed.groupBy(*same).agg(F.min("vec_id").alias("node"), F.min_by("vector", "vec_id").alias("vector"))
+                         .withColumn("level", _level(F.col("vector"))))
+    # a little above the largest, so that vectors of one norm share a shell
+    top = (nodes.agg(F.max("level")).first()[0] or 0.0) + 1e-6
+    nodes = nodes.withColumn("shell", F.floor(F.lit(top) - F.col("level")).cast("int"))
     # one member more than asked for, since a query is not its own neighbour
     order = Window.partitionBy(*same).orderBy("vec_id")
     members = keyed.select("vec_id", *same).withColumn("place", F.row_number().over(order)).where(F.col("place") <= most + 1)
     members = members.join(nodes.select(*same, "node"), same).select("node", "vec_id")
     asking = scratch.keep(keyed.where("asks").select("vec_id", *same).join(nodes.select(*same, "node"), same).select(F.col("vec_id").alias("query"), "node"))
 
-    norm, largest = (extent.norm, extent.largest) if extent.any is not None else (1.0, 1.0)
-    # the extra coordinate can be as large as the norm
-    spread = max(largest, norm * float(np.sqrt(max(0.0, 1 - _least_share(nodes, norm))))) if extent.any is not None else 1.0
-    codes = scratch.keep(nodes.select("node", "vector").mapInArrow(_codes(norm, spread), "node long, code binary"))
+    beam = max(settings.beam, 3 * most)
+    codes = scratch.keep(nodes.select("node", "shell", "vector").mapInArrow(_codes(top), "node long, shell int, code binary"))
+    sizes = {r.shell: r["count"] for r in codes.groupBy("shell").count().collect()}
     graph = neighbour_graph(codes, settings, scratch)
 
     # queries with one vector have one search
     starts = asking.select(F.col("node").alias("query")).distinct()
     ways = scratch.keep(_both_ways(graph, settings.search_reverse, -1))
+    entered = None
+    if len(sizes) > 1:
+        entered = starts.join(codes, F.col("query") == F.col("node")).select("node", "shell", "code")
+        entered = entered.mapInArrow(_entered(_doors(codes, sizes, settings), settings.expand), _CANDIDATE).withColumn("open", F.lit(False))
     found = None
     while found is None or not found.where(~F.col("open")).isEmpty():
         if found is None:
@@ -308,18 +372,20 @@ def nearest_neighbours(vectors: DataFrame, query_filter: Column, most: int = 20,
         reached = opened.join(ways, "node").where(F.col("dst") != F.col("query")).select("query", "dst").distinct()
         if found is not None:
             reached = reached.join(found.select("query", "dst"), ["query", "dst"], "left_anti")
-        listed = reached.join(codes.select(F.col("node").alias("dst"), "code"), "dst").select("query", "dst", "code")
-        listed = listed.unionByName(starts.join(codes, F.col("query") == F.col("node")).select("query", F.lit(None).cast("long").alias("dst"), "code"))
-        scored = listed.repartition("query").sortWithinPartitions("query", "dst").mapInArrow(_scored, "query long, dst long, score float")
+        listed = reached.join(codes.withColumnRenamed("node", "dst"), "dst").select("query", "shell", "dst", "code")
+        listed = listed.unionByName(starts.join(codes, F.col("query") == F.col("node")).select("query", "shell", F.lit(None).cast("long").alias("dst"), "code"))
+        scored = listed.repartition("query").sortWithinPartitions("query", "dst").mapInArrow(_scored, _CANDIDATE)
         scored = scored.withColumn("open", F.lit(False))
         if found is not None:
             opened = F.col("open") | (F.col("turn") <= settings.expand)
-            scored = scored.unionByName(found.select("query", "dst", "score", opened.alias("open")))
-        rank = Window.partitionBy("query").orderBy(F.desc("score"), "dst")
+            scored = scored.unionByName(found.select("query", "shell", "dst", "score", opened.alias("open")))
+        elif entered is not None:
+            scored = scored.unionByName(entered)
+        rank = Window.partitionBy("query", "shell").orderBy(F.desc("score"), "dst")
         before = found
         # the place among all, and among those not opened
         scored = scored.withColumns({"place": F.row_number().over(rank), "turn": F.sum((~F.col("open")).cast("int")).over(rank)})
-        found = scratch.keep(scored.where(F.col("place") <= settings.beam))
+        found = scratch.keep(scored.where(F.col("place") <= beam))
         if before is not None:
             scratch.free(before)
 
@@ -329,19 +395,13 @@ def nearest_neighbours(vectors: DataFrame, query_filter: Column, most: int = 20,
     exact = pairs.mapInArrow(_exact, "query long, node long, score double")
     # of the nodes at equal rank at most ``most`` + 1 members can matter; so few nodes can, too
     best = Window.partitionBy("node_of").orderBy(F.desc("score"), "node")
-    exact = exact.withColumnRenamed("query", "node_of").withColumn("place", F.row_number().over(best)).where(F.col("place") <= settings.beam)
+    exact = exact.withColumnRenamed("query", "node_of").withColumn("place", F.row_number().over(best)).where(F.col("place") <= beam)
     listed = exact.join(members, "node").join(asking.select(F.col("query").alias("query_id"), F.col("node").alias("node_of")), "node_of")
     final = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     listed = listed.where("vec_id <> query_id").withColumn("rank", F.row_number().over(final)).where(F.col("rank") <= most)
     return listed.select("query_id", F.col("rank").cast("int"), "vec_id", "score")
 
 
-def _least_share(nodes: DataFrame, norm: float) -> float:
-    """Least squared norm over the largest squared norm."""
-    squares = F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x)
-    return float(nodes.agg(F.min(squares)).first()[0]) / (norm * norm)
-
-
 def op4_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 nearest of every vector whose id is divisible by 20, among all others."""
     vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")

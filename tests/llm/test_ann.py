@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from clickwarden.llm.ann import _slot, nearest_neighbours
+from clickwarden.llm.ann import Settings, _slot, nearest_neighbours
 
 SCHEMA = "vec_id long, embedding array<float>, label int, score double"
 
@@ -57,6 +57,27 @@ def test_recall_and_odd_vectors(spark, norms):
     assert [v for _, v in own[300]] == [i for i in range(200, 700)][:20]
 
 
+@pytest.mark.parametrize("doors", [4096, 128])
+def test_vectors_of_very_large_and_very_small_norm(spark, doors):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(3000, 16))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x[7:12] *= 100
+    x[1000:2000] *= 3
+    x[2500:2600] *= 1e-3
+    rows = [(i, [float(np.float32(c)) for c in v], 1, 0.5) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(4)
+    assert recall(nearest_neighbours(df, F.col("vec_id") % 20 == 0, settings=Settings(doors=doors)).collect(), brute(rows)) >= 0.9
+
+
+def test_more_neighbours_than_the_usual_beam(spark):
+    x = np.random.default_rng(5).normal(size=(1500, 16))
+    rows = [(i, [float(np.float32(c)) for c in v], 1, 0.5) for i, v in enumerate(x)]
+    got = nearest_neighbours(spark.createDataFrame(rows, SCHEMA), F.col("vec_id") % 20 == 0, most=100).collect()
+    want = brute(rows, 100)
+    assert len(got) == 100 * len(want) and recall(got, want) >= 0.9
+
+
 def test_few_rows_and_none(spark):
     rows = [(i * 20, [float(i + 1), 1.0], 1, 0.5) for i in range(4)]
     df = spark.createDataFrame(rows, SCHEMA)
