@@ -457,6 +457,31 @@ def participant_holdout(spark, sf):
     return splits.holdout_base(known_metadata(spark, sf), "participant_id")
 
 
+def _folds_sql(key, folds):
+    """Values by size, dealt there and back over the folds, or each alone."""
+    return query(f"""
+  SELECT value, sessions, CASE WHEN total <= {folds} THEN value
+    ELSE 'fold_' || printf('%02d', CASE WHEN (r // {folds}) % 2 = 1 THEN {folds - 1} - r % {folds} ELSE r % {folds} END) END AS fold
+  FROM (SELECT *, row_number() OVER (ORDER BY sessions DESC, value) - 1 AS r, count(*) OVER () AS total FROM (
+    SELECT {key} AS value, count(*) AS sessions FROM kmeta
+    WHERE trim({key}) <> '' AND {key} <> 'human' GROUP BY {key}))""")
+
+
+@register("family_folds", _folds_sql("bot_family", 2))
+def family_folds(spark, sf):
+    return splits.balanced_folds(known_metadata(spark, sf), "bot_family", 2)
+
+
+@register("family_folds_alone", _folds_sql("bot_family", 50))
+def family_folds_alone(spark, sf):
+    return splits.balanced_folds(known_metadata(spark, sf), "bot_family", 50)
+
+
+@register("participant_folds", _folds_sql("participant_id", 4))
+def participant_folds(spark, sf):
+    return splits.balanced_folds(known_metadata(spark, sf), "participant_id", 4)
+
+
 def _sizes(spark, sf, key, eligible):
     metadata = materialized(known_metadata(spark, sf).select("session_id", "label", "bot_family", "participant_id"))
     sizes = splits.holdout_sizes(splits.holdout_base(metadata, key), eligible(metadata))

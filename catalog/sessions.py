@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
-from clickwarden.constants import FEATURE_COLUMNS
+from clickwarden.constants import ABLATIONS, FEATURE_COLUMNS
 from clickwarden.operators import features as feats, graph as graphs, labels as labelling, summary as summaries
 
+from clickwarden.operators.scoring import spread_session_scores
+from clickwarden.session import materialized
+
 from .common import (
     all_events, early_and_all, full_feature_rows, label_table, labelled, page_events,
     prefix_feature_rows, rounded, site_nodes,
 )
+from .ingest import scratch
 from .requests_view import PREFIXES
 from .sql import METADATA, query, r6
 
@@ -79,6 +85,24 @@ def manual_labels(spark, sf):
     return merged.select("session_id", "client_key", "manual_label", *METADATA)
 
 
+@register("session_level_labels", query(
+    "SELECT s.session_id, s.client_key, coalesce(m.label, p.label) AS manual_label, s.participant_id, s.traffic_family, "
+    "coalesce(s.collection_method, m.collection_method, p.collection_method) AS collection_method, s.automation_stack, "
+    "coalesce(s.notes, p.notes) AS notes "
+    "FROM summary s LEFT JOIN manual m USING (client_key) LEFT JOIN reviewed p USING (session_id)",
+    {"reviewed": """
+      SELECT session_id, CASE WHEN num_events % 2 = 1 THEN 'human' ELSE 'bot' END AS label,
+        'review' AS collection_method, 'seen ' || num_events AS notes FROM summary WHERE num_events % 3 <> 0"""}))
+def session_level_labels(spark, sf):
+    summary = materialized(summaries.session_summary(page_events(spark, sf)))
+    events = F.col("num_events")
+    reviewed = labelling.manual_labels(summary.where(events % 3 != 0).select(
+        "session_id", F.when(events % 2 == 1, " Human ").otherwise("BOT").alias("label"),
+        F.lit("review").alias("collection_method"), F.concat(F.lit("seen "), events.cast("string")).alias("notes")))
+    merged = labelling.join_manual_labels(summary, label_table(spark, sf).unionByName(reviewed))
+    return merged.select("session_id", "client_key", "manual_label", *METADATA)
+
+
 @register("weak_labels", query(f"SELECT {_LABEL_SELECT} FROM labelled_summary"))
 def weak_labels(spark, sf):
     _, summary = labelled(spark, sf)
@@ -103,6 +127,31 @@ def graph_nodes(spark, sf):
     return site_nodes(page_events(spark, sf))
 
 
+def _stored_edges(spark, sf):
+    """An edge file of two states of the site, read back: the later weight of an edge is the larger one."""
+    early, events = early_and_all(spark, sf)
+    folder = scratch(spark, "edge_file")
+    states = graphs.graph_edges(early).unionByName(graphs.graph_edges(events))
+    states.write.csv(folder, header=True, quoteAll=True, escape='"')
+    return graphs.read_edges(spark.read.csv(folder, header=True, escape='"', schema="source string, target string, weight string"))
+
+
+@register("stored_edges", query("SELECT source, target, weight FROM edges"))
+def stored_edges(spark, sf):
+    return _stored_edges(spark, sf)
+
+
+@register("stored_graph_nodes", query(
+    "SELECT path, CASE WHEN length(path) % 2 = 0 THEN 'filed ' || length(path) ELSE category END AS category, "
+    "depth, in_degree, out_degree, is_leaf FROM nodes"))
+def stored_graph_nodes(spark, sf):
+    edges = materialized(_stored_edges(spark, sf))
+    pages = edges.select(F.explode(F.array("source", "target")).alias("path"))
+    size = F.length("path")
+    filed = pages.where(size % 2 == 0).select("path", F.concat(F.lit("filed "), size.cast("string")).alias("category"))
+    return graphs.graph_nodes(edges, graphs.read_categories(filed))
+
+
 @register("bfs_depth", query("SELECT path, min(d) AS depth FROM bfs GROUP BY path"))
 def bfs_depth(spark, sf):
     return graphs.bfs_depths(graphs.graph_edges(page_events(spark, sf)))
@@ -163,6 +212,25 @@ def graph_features(spark, sf):
         "far_jump_ratio", "navigation_entropy_score"))
 
 
-@register("feature_groups", query(feature_select("ff", feats.ablation_columns("timing_only"))))
+_in_ablations = lambda column: ", ".join(f"'{a}'" for a in ABLATIONS if column in feats.ablation_columns(a))
+
+
+@register("feature_groups", query(
+    "SELECT session_id, prefix_len, label, ablation_name, "
+    + ", ".join(f"CASE WHEN ablation_name IN ({_in_ablations(c)}) THEN {r6(c)} END AS {c}" for c in feats.ablation_columns("all_features"))
+    + f" FROM ff, (SELECT unnest({list(ABLATIONS)}) AS ablation_name)"))
 def feature_groups(spark, sf):
-    return rounded(feats.ablation_features(full_feature_rows(spark, sf), "timing_only"))
+    full = materialized(full_feature_rows(spark, sf))
+    tables = [feats.ablation_features(full, a).withColumn("ablation_name", F.lit(a)) for a in ABLATIONS]
+    return rounded(reduce(lambda one, other: one.unionByName(other, allowMissingColumns=True), tables))
+
+
+@register("static_scores", query(
+    f"SELECT session_id, prefix_len, pf.label, {r6('weak_bot_score')} AS bot_probability "
+    "FROM pf JOIN labelled_summary USING (session_id) WHERE num_events >= 5"))
+def static_scores(spark, sf):
+    events, summary = labelled(spark, sf)
+    events = materialized(events)
+    features = feats.prefix_features(events, site_nodes(events), PREFIXES)
+    score = F.when(F.col("num_events") >= 5, F.col("weak_bot_score")).alias("bot_probability")
+    return rounded(spread_session_scores(features, summary.select("session_id", score)))

@@ -177,14 +177,26 @@ def participant_holdouts(metadata: DataFrame) -> DataFrame:
     return counts.where(enough).drop("_n")
 
 
-def in_folds(metadata: DataFrame, key: str, folds: int, seed: str = DEFAULT_SEED) -> DataFrame:
-    """The metadata with each known value of ``key`` replaced by its fold; people and families stay whole.
+def balanced_folds(metadata: DataFrame, key: str, folds: int) -> DataFrame:
+    """(value, sessions, fold) of each known value of ``key``; ``human`` as a family is no bot family.
 
-    ``human`` as a family is no bot family and stays.
+    While there are at most ``folds`` values each is a fold of its own, by its name. More values are dealt
+    by size, largest first, there and back over the folds, so folds differ by less than the largest value.
     """
     value = blank_to_null(F.col(key))
-    fold = F.format_string("fold_%02d", F.floor(hash_share(value, seed) * folds).cast("int"))
-    return metadata.withColumn(key, F.when(value.isNull() | (value == HUMAN), F.col(key)).otherwise(fold))
+    sizes = metadata.where(value.isNotNull() & (value != HUMAN)).groupBy(F.col(key).alias("value")).agg(F.count("*").alias("sessions"))
+    ranked = with_global_row_number(sizes, [F.desc("sessions"), F.col("value")], "_rank")
+    place = (F.col("_rank") - 1) % folds
+    turned = F.floor((F.col("_rank") - 1) / folds) % 2 == 1
+    fold = F.format_string("fold_%02d", F.when(turned, folds - 1 - place).otherwise(place))
+    alone = ranked.agg(F.count("*")).scalar() <= folds
+    return ranked.select("value", "sessions", F.when(alone, F.col("value")).otherwise(fold).alias("fold"))
+
+
+def in_folds(metadata: DataFrame, key: str, folds: int) -> DataFrame:
+    """The metadata with each known value of ``key`` replaced by its balanced fold; people and families stay whole."""
+    dealt = balanced_folds(metadata, key, folds).select(F.col("value").alias(key), F.col("fold").alias("_fold"))
+    return metadata.join(dealt, key, "left").withColumn(key, F.coalesce("_fold", key)).select(*metadata.columns)
 
 
 _PARTS = {

@@ -133,8 +133,8 @@ def run_experiments(
 ) -> dict[str, DataFrame]:
     """Result tables of the whole grid.
 
-    A hold-out protocol deals all families or participants to ``holdout_folds`` folds by hash and
-    holds out one fold at a time, so each is held out exactly once however many there are.
+    A hold-out protocol holds out one family or participant at a time while there are at most
+    ``holdout_folds``; more are dealt to that many folds of like size, each held out once.
     """
     lengths, protocols = sorted(set(prefixes)), list(protocols)
     prefix = materialized(known_labels(prefix_features))

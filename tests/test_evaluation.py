@@ -208,3 +208,19 @@ def test_online_scorer_and_reset(spark, tmp_path):
     assert not rows["s", 0, 1]["ready"] and rows["s", 0, 1]["bot_probability"] is None
     assert rows["s", 0, 2]["ready"] and 0 <= rows["s", 0, 2]["bot_probability"] <= 1
     assert [r["session_id"] for r in active_sessions(spark, checkpoint).collect()] == ["s"]
+
+
+def test_few_families_are_folds_of_their_own_and_many_are_dealt_by_size(spark):
+    from clickwarden.operators.splits import balanced_folds, in_folds
+
+    sizes = {"a": 9, "b": 7, "c": 5, "d": 4, "e": 1}
+    rows = [(f"{f}{i}", "bot", f) for f, n in sizes.items() for i in range(n)] + [("h", "human", "human"), ("x", "bot", None), ("y", "bot", " ")]
+    meta = spark.createDataFrame(rows, "session_id string, label string, bot_family string")
+    alone = {r.value: (r.sessions, r.fold) for r in balanced_folds(meta, "bot_family", 5).collect()}
+    assert alone == {f: (n, f) for f, n in sizes.items()}
+    dealt = {r.value: r.fold for r in balanced_folds(meta, "bot_family", 2).collect()}
+    assert dealt == {"a": "fold_00", "b": "fold_01", "c": "fold_01", "d": "fold_00", "e": "fold_00"}
+    placed = {r.session_id: r.bot_family for r in in_folds(meta, "bot_family", 2).collect()}
+    assert len(placed) == len(rows) and placed["c3"] == "fold_01"
+    assert (placed["h"], placed["x"], placed["y"]) == ("human", None, " ")
+    assert balanced_folds(meta.limit(0), "bot_family", 3).count() == 0
