@@ -2,9 +2,10 @@
 
 A client's requests are cut into sessions at gaps longer than the timeout and numbered within
 them. Ordinary clients are one window partition. A client with more rows than ``hot_rows`` is cut
-into time slices of about that many rows; each slice is a window partition of its own, and what
-crosses a slice border (open session, position, last paths, last agent) is carried over by a
-window on one summary row per slice. All rows are shuffled once.
+into slices of about that many rows at sampled quantiles of its order (time, path, tie-breaker), so
+bursts and equal times are cut too; each slice is a window partition of its own, and what crosses a
+slice border (open session, position, last paths, last agent) is carried over by a window on one
+summary row per slice. Rows of hot clients are written in slices once, all others are shuffled once.
 """
 
 from __future__ import annotations
@@ -16,10 +17,13 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..constants import LABELS, REQUIRED_SESSION_REQUEST_COLUMNS, SESSION_TIMEOUT_SECONDS, UNKNOWN
 from ..functions.paths import is_page_path, normalize_path, path_category
 from ..functions.values import blank_to_null, int_or_null, text_or_null
+from ..session import materialized
 
 # rows of one key that a single task may order; None when no key can have more
 HOT_ROWS = 1_000_000
 MAX_HOT_KEYS = 100_000
+# characters of a text that slice borders look at
+BORDER_CHARACTERS = 64
 
 _EVENT = "struct<path:string,page_category:string>"
 _CARRY = {
@@ -132,32 +136,49 @@ def _ordered_columns(events: DataFrame) -> DataFrame:
     return events.select(*[c for c in first if c in events.columns], *rest, *last)
 
 
-def _hot_keys(df: DataFrame, key: str, hot_rows: int) -> DataFrame | None:
-    """Keys with too many rows for one window partition and the slice width of each; None without any.
+def _hot_keys(df: DataFrame, key: str, hot_rows: int) -> tuple[DataFrame, int] | None:
+    """Keys with too many rows for one window partition and the number of slices; None without any.
 
     A hot key holds more than total/MAX_HOT_KEYS rows, so there are fewer than MAX_HOT_KEYS of
     them and their list is safe to broadcast at any data size.
     """
-    counts = df.groupBy(key).agg(
-        F.count("*").alias("_rows"), F.min("timestamp").alias("_from"), F.max("timestamp").alias("_to")
-    )
+    counts = df.groupBy(key).agg(F.count("*").alias("_rows"))
     largest, total = counts.agg(F.max("_rows"), F.sum("_rows")).head()
     limit = max(hot_rows, (total or 0) // MAX_HOT_KEYS)
     if not total or largest <= limit:
         return None
-    width = (F.col("_to") - F.col("_from")) * F.lit(float(limit)) / F.col("_rows")
-    return counts.where(F.col("_rows") > limit).select(key, "_from", width.alias("_width"))
-
-
-def _with_slices(df: DataFrame, key: str, hot: DataFrame) -> DataFrame:
-    """Add ``_slice``: the time slice for hot keys, NULL for all others."""
-    position = F.floor((F.col("timestamp") - F.col("_from")) / F.nullif("_width", F.lit(0.0)))
-    in_slice = F.when(F.col("_from").isNotNull(), F.coalesce(position, F.lit(0)))
-    return (
-        df.join(F.broadcast(hot), key, "left")
-        .withColumn("_slice", in_slice)
-        .drop("_from", "_width")
-    )
+    hot = materialized(counts.where(F.col("_rows") > limit))
+    return hot.select(key), -(-hot.agg(F.sum("_rows")).head()[0] // limit)
+
+
+def _border_order(df: DataFrame, order: Sequence[str]) -> list[Column]:
+    """Columns of bounded length that sort like ``order``, with ties behind long texts that start alike.
+
+    The range partitioner samples them, so what passes through the driver has a fixed size a row.
+    """
+    columns, open_so_far = [], F.lit(True)
+    for name in order:
+        here = F.when(open_so_far, F.col(name))
+        if df.schema[name].dataType.typeName() != "string":
+            columns.append(here)
+            continue
+        is_long = F.coalesce(F.length(name) > BORDER_CHARACTERS, F.lit(False))
+        columns += [F.left(here, F.lit(BORDER_CHARACTERS)), open_so_far & is_long]
+        open_so_far = open_so_far & ~is_long
+    return columns
+
+
+def _with_slices(df: DataFrame, key: str, hot: DataFrame, slices: int, order: Sequence[str]) -> DataFrame:
+    """Add ``_slice``: rising with the order for hot keys, NULL for all others.
+
+    Borders come from a sample, so the sliced rows are written: whatever reads them, and however
+    often, sees one set of borders.
+    """
+    chosen = df.join(F.broadcast(hot), key, "left_semi")
+    ranged = chosen.repartitionByRange(slices, F.col(key), *_border_order(df, order))
+    sliced = materialized(ranged.withColumn("_slice", F.spark_partition_id().cast("bigint")))
+    rest = df.join(F.broadcast(hot), key, "left_anti").withColumn("_slice", F.lit(None).cast("bigint"))
+    return rest.unionByName(sliced)
 
 
 def _sequence(
@@ -183,7 +204,7 @@ def _sequence(
     hot = _hot_keys(df, key, hot_rows) if hot_rows else None
     part = [key]
     if hot is not None:
-        df, part = _with_slices(df, key, hot), [key, "_slice"]
+        df, part = _with_slices(df, key, *hot, order), [key, "_slice"]
     ordered = Window.partitionBy(*part).orderBy(*order)
     running = ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     before = ordered.rowsBetween(Window.unboundedPreceding, -1)
