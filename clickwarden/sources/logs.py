@@ -11,6 +11,7 @@ from ..constants import COMBINED_LOG_PATTERN, REQUEST_COLUMN_ALIASES
 from ..functions.paths import normalize_path, normalize_referrer, path_from_request_line
 from ..functions.times import coerce_epoch_seconds, combined_log_epoch
 from ..functions.values import int_or_null, stripped
+from .csv_records import read_csv_records
 
 Paths = str | Sequence[str]
 
@@ -46,7 +47,7 @@ def read_requests(spark: SparkSession, paths: Paths, log_format: str = "auto", *
     if log_format == "csv":
         # one reader per file: each header names its own columns
         files = [paths] if isinstance(paths, str) else paths
-        parts = [normalize_requests(spark.read.csv(path, header=True, escape='"', mode="FAILFAST", multiLine=True), **options) for path in files]
+        parts = [normalize_requests(read_csv_records(spark, path), **options) for path in files]
         return reduce(lambda a, b: a.unionByName(b), parts)
     if log_format == "jsonl":
         schema = options.pop("schema", None)
