@@ -140,6 +140,22 @@ def csv_requests(spark, sf):
     return _file_requests(spark, sf, "csv")
 
 
+_note = '\n"beta", build'
+_noted = f"SELECT * REPLACE (CASE WHEN event_id % 7 = 0 THEN user_agent || '{_note}' ELSE user_agent END AS user_agent) FROM requests"
+
+
+@register("csv_quoted_requests", query(
+    f"SELECT event_id, user_agent, path, status_code FROM ({_noted})"))
+def csv_quoted_requests(spark, sf):
+    """Requests whose agents hold line feeds, quotes and commas, through CSV files."""
+    path = scratch(spark, "csv_quoted")
+    rows = requests_view(spark, sf).select("event_id", "timestamp", "path", "status_code", "ip", F.when(
+        F.col("event_id") % 7 == 0, F.concat("user_agent", F.lit(_note))).otherwise(F.col("user_agent")).alias("user_agent"))
+    rows.write.csv(path, header=True, escape='"')
+    read = read_requests(spark, path, "csv", keep=["event_id"])
+    return read.select(F.col("event_id").cast("bigint").alias("event_id"), "user_agent", "path", "status_code")
+
+
 @register("jsonl_requests", query(_counted))
 def jsonl_requests(spark, sf):
     return _file_requests(spark, sf, "json")

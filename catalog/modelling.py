@@ -1,10 +1,10 @@
-"""Models, experiments and stored tables; the fitted models have no SQL counterpart."""
+"""Models, experiments and stored tables. Fitted models have no SQL counterpart, the conditions of their optimum have."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from clickwarden.operators import evaluation as ev, features as feats, splits, summary as summaries
+from clickwarden.operators import certificates, evaluation as ev, features as feats, splits, summary as summaries
 from clickwarden.operators.models import MODELS, ModelBundle
 from clickwarden.operators.scoring import rule_scores
 from clickwarden.plans import experiment
@@ -13,11 +13,11 @@ from clickwarden.session import materialized
 from clickwarden.sources.tables import load_or_build, prefix_table_name, read_table, write_results
 
 from .common import label_table, labelled, rounded, site_nodes, stored_events
-from .evaluation import _curves, _metric_select, baseline, curve_sql, dataset, heuristic_predictions, metrics_sql
+from .evaluation import _curves, _metric_select, baseline, curve_sql, dataset, heuristic_predictions, metrics_sql, share_sql
 from .ingest import scratch
 from .requests_view import PREFIXES, TIMEOUT, requests_view
 from .sessions import feature_select
-from .sql import query
+from .sql import CTES, query, r6
 
 QUERIES, SQL = {}, {}
 # sizes for the registered runs; the library defaults are 300 trees and 300 rounds
@@ -64,6 +64,52 @@ model_query("gbt_experiment", "hist_gradient_boosting", rounds=ROUNDS)
 model_query("svm_experiment", "calibrated_svm")
 
 
+CTES["ltrain"] = "SELECT ff.*, CASE WHEN ff.label = 'bot' THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END AS side FROM ff JOIN bsplit USING (session_id) WHERE split = 'train'"
+_COLUMNS = feats.ablation_columns("all_features")
+# weights give bots half of the total, so a weighted mean over bots is half their mean
+_moment = lambda c: (
+    f"CASE WHEN stddev_samp({c}) > 1e-12::DOUBLE THEN 0.5::DOUBLE * (avg({c}) FILTER (label = 'bot') - avg({c})) / stddev_samp({c}) "
+    "ELSE 0.0::DOUBLE END")
+
+
+def training_rows(spark, sf):
+    data = split_data(spark, sf)
+    return data.part(data.full, "train")
+
+
+@register("lr_certificate", query(
+    f"SELECT feature, round(moment, 4) + 0.0 AS moment FROM (SELECT unnest({[certificates.INTERCEPT, *_COLUMNS]}) AS feature, "
+    f"unnest(moments) AS moment FROM (SELECT [0.5::DOUBLE, {', '.join(map(_moment, _COLUMNS))}] AS moments FROM ltrain))"))
+def lr_certificate(spark, sf):
+    """The model's side of the optimality condition, from a stored and reloaded bundle; SQL has the rows' side."""
+    training, path = training_rows(spark, sf), scratch(spark, "certified")
+    ModelBundle("logistic_regression", _COLUMNS, MODELS["logistic_regression"](training, _COLUMNS)).save(path)
+    bundle = ModelBundle.load(spark, path)
+    moments = certificates.logistic_moments(bundle.model, training, bundle.feature_columns)
+    return moments.select("feature", (F.round("model_moment", 4) + F.lit(0.0)).alias("moment"))
+
+
+@register("svm_certificate", query(
+    "SELECT fold, count(*) AS num_rows, round(count(*) FILTER (label = 'bot'), 3)::DOUBLE AS expected_bots "
+    f"FROM (SELECT *, CAST(floor({share_sql('session_id', 'fold')} * 3) AS BIGINT) AS fold FROM ltrain) GROUP BY fold"))
+def svm_certificate(spark, sf):
+    """Bots that each fold's sigmoid expects in it; SQL counts them."""
+    training = training_rows(spark, sf)
+    moments = certificates.sigmoid_moments(MODELS["calibrated_svm"](training, _COLUMNS), training)
+    return moments.select("fold", "num_rows", (F.round("expected_bots", 3) + F.lit(0.0)).alias("expected_bots"))
+
+
+@register("gbt_certificate", query(
+    f"SELECT count(*) AS num_rows, {r6('sum(side)')} AS answer_sum, "
+    f"{r6('count(*) - sum(side) * sum(side) / count(*)')} AS squares FROM ltrain"))
+def gbt_certificate(spark, sf):
+    """Leaf answers of the first boosted tree over the rows in its leaves; SQL has the classes' sums."""
+    training = training_rows(spark, sf)
+    # the first tree is the same however many follow
+    fitted = MODELS["hist_gradient_boosting"](training, _COLUMNS, rounds=1)
+    return rounded(certificates.tree_balance(certificates.first_tree_leaves(fitted, training)))
+
+
 @register("static_baseline")
 def static_baseline(spark, sf):
     run = experiment.static_run(split_data(spark, sf), "session_split")

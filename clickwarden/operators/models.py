@@ -10,13 +10,16 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..constants import BOT, HUMAN, STATIC_CATEGORICAL, STATIC_NUMERIC
 from ..functions.values import double_or_zero
 from .splits import hash_share
 
 CALIBRATION_FOLDS = 3
+ROWS_PER_TASK = 20_000
+# relative gain of a step at which a convex fit ends
+FIT_TOLERANCE = 1e-12
 
 
 @dataclass
@@ -41,7 +44,9 @@ def weighted_training_rows(rows: DataFrame) -> tuple[DataFrame, int]:
     if not 0 < bots < total:
         raise ValueError("training rows need both classes")
     weight = F.when(F.col("target") == 1.0, F.lit(total / (2.0 * bots))).otherwise(F.lit(total / (2.0 * (total - bots))))
-    return target.withColumn("weight", weight), total
+    # a fit passes over the rows in every iteration: as many tasks as the rows need
+    tasks = -(-total // ROWS_PER_TASK)
+    return target.withColumn("weight", weight).coalesce(tasks), total
 
 
 def _assembler(columns: Sequence[str], output: str = "features") -> VectorAssembler:
@@ -55,7 +60,7 @@ def _scaler() -> StandardScaler:
 def _logistic(rows: int, **options) -> LogisticRegression:
     # the penalty of one unit per weight, over the mean loss
     return LogisticRegression(
-        labelCol="target", weightCol="weight", maxIter=1000, regParam=1.0 / rows, standardization=False, **options
+        labelCol="target", weightCol="weight", maxIter=1000, tol=FIT_TOLERANCE, regParam=1.0 / rows, standardization=False, **options
     )
 
 
@@ -80,11 +85,15 @@ def fit_gradient_boosting(rows: DataFrame, columns: Sequence[str], rounds: int =
     return FittedModel(Pipeline(stages=[_assembler(columns), boosting]).fit(training))
 
 
+def calibration_fold() -> Column:
+    """The fold of a session, whose sigmoid is fitted on it."""
+    return F.floor(hash_share(F.col("session_id"), "fold") * CALIBRATION_FOLDS)
+
+
 def fit_calibrated_svm(rows: DataFrame, columns: Sequence[str], iterations: int = 1000, **_) -> FittedModel:
     """Linear SVMs on two of three folds, each with a sigmoid fitted on the third."""
     training, total = weighted_training_rows(rows)
-    fold = F.floor(hash_share(F.col("session_id"), "fold") * CALIBRATION_FOLDS)
-    training = training.withColumn("fold", fold)
+    training = training.withColumn("fold", calibration_fold())
     prepare = Pipeline(stages=[_assembler(columns, "raw_features"), _scaler()]).fit(training)
     scaled = prepare.transform(training)
     per_fold = {row["fold"]: row["n"] for row in training.groupBy("fold").agg(F.count("*").alias("n")).collect()}
