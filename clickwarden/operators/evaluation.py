@@ -1,8 +1,9 @@
 """Detection metrics, thresholds, detection delay and bootstrap intervals.
 
-Curves need a running count over scores. Rows are first counted per distinct score; the distinct
-scores are cut at approximate quantiles and the running count adds the totals of the lower cuts,
-so no task sees all scores of a group and the result is exact.
+Curves need a running count over scores. Rows are first counted per distinct score; the counts are
+cut into ranges of (group, score) at sampled quantiles, as many as their number asks for, and each range
+adds the totals of the lower ones of its group, so no task sees all scores of a group and the result
+is exact.
 """
 
 from __future__ import annotations
@@ -17,8 +18,8 @@ from ..functions.values import ratio
 from ..session import materialized
 from .bootstrap import METRICS, replicate_intervals
 
-SCORE_CUTS = 128
-CUT_STEP = 12
+# distinct scores of one range
+RANGE_SCORES = 500_000
 CANDIDATE_THRESHOLDS = np.linspace(0.05, 0.95, 19).tolist()
 BOOTSTRAP_METRICS = ["f1", "roc_auc", "pr_auc"]
 
@@ -62,33 +63,27 @@ def score_counts(rows: DataFrame, keys: Sequence[str], score: str = "bot_probabi
     )
 
 
-def running_counts(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
+def running_counts(counts: DataFrame, keys: Sequence[str], range_scores: int | None = None) -> DataFrame:
     """Add ``pos_below`` and ``neg_below`` (strictly lower scores), and the group totals."""
-    counts = materialized(counts)  # read three times below
-    shares = [i / SCORE_CUTS for i in range(1, SCORE_CUTS)]
-    cuts = counts.groupBy(*keys).agg(
-        F.percentile_approx("score", F.array(*map(F.lit, shares)), F.lit(10 * SCORE_CUTS)).alias("cuts"),
-        F.sum("pos").alias("pos_total"), F.sum("neg").alias("neg_total"),
-    )
-    # every twelfth cut first, then the twelve behind it
-    coarse = F.array(*[F.get("cuts", F.lit(i)) for i in range(CUT_STEP - 1, SCORE_CUTS - 1, CUT_STEP)])
-    cuts = cuts.withColumn("coarse", coarse)
-    below_score = lambda c: c < F.col("score")
-    steps = F.size(F.filter("coarse", below_score)) * CUT_STEP
-    cut = F.col("steps") + F.size(F.filter(F.slice("cuts", F.col("steps") + 1, F.lit(CUT_STEP)), below_score))
-    placed = counts.join(cuts, list(keys)).withColumn("steps", steps).withColumn("cut", cut).drop("cuts", "coarse", "steps")
-    lower = Window.partitionBy(*keys).orderBy("cut").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = placed.groupBy(*keys, "cut").agg(F.sum("pos").alias("p"), F.sum("neg").alias("n")).select(
-        *keys, "cut",
-        F.coalesce(F.sum("p").over(lower), F.lit(0)).alias("p"),
-        F.coalesce(F.sum("n").over(lower), F.lit(0)).alias("n"),
-    )
-    before = Window.partitionBy(*keys, "cut").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
+    keys, counts = list(keys), materialized(counts)
+    ranges = max(1, -(-counts.count() // (range_scores or RANGE_SCORES)))
+    placed = counts.withColumn("range", F.lit(0))
+    if ranges > 1:
+        # written, so that both readers below see one set of sampled borders
+        placed = materialized(counts.repartitionByRange(ranges, *keys, "score").withColumn("range", F.spark_partition_id()))
+    group = Window.partitionBy(*keys)
+    lower = group.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = placed.groupBy(*keys, "range").agg(F.sum("pos").alias("p"), F.sum("neg").alias("n")).select(
+        *keys, "range",
+        F.coalesce(F.sum("p").over(lower), F.lit(0)).alias("p"), F.coalesce(F.sum("n").over(lower), F.lit(0)).alias("n"),
+        F.sum("p").over(group).alias("pos_total"), F.sum("n").over(group).alias("neg_total"),
+    )
+    before = Window.partitionBy(*keys, "range").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
     below = lambda name, offset: F.col(offset) + F.coalesce(F.sum(name).over(before), F.lit(0))
     return (
-        placed.join(offsets, [*keys, "cut"])
+        placed.join(offsets, [*keys, "range"])
         .withColumns({"pos_below": below("pos", "p"), "neg_below": below("neg", "n")})
-        .drop("p", "n", "cut")
+        .drop("p", "n", "range")
     )
 
 

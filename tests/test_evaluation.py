@@ -224,3 +224,20 @@ def test_few_families_are_folds_of_their_own_and_many_are_dealt_by_size(spark):
     assert len(placed) == len(rows) and placed["c3"] == "fold_01"
     assert (placed["h"], placed["x"], placed["y"]) == ("human", None, " ")
     assert balanced_folds(meta.limit(0), "bot_family", 3).count() == 0
+
+
+def test_running_counts_over_ranges_of_scores(spark):
+    rows = [("a", i * 11 % 301 / 301.0, 1 + i % 2, i % 3) for i in range(301)] + [("b", 0.5, 2, 1), ("c", -1.0, 0, 4), ("c", 2.0, 3, 0)]
+    counts = spark.createDataFrame(rows, "g string, score double, pos long, neg long")
+    want = {
+        (g, score): (
+            sum(p for h, s, p, _ in rows if h == g and s < score), sum(n for h, s, _, n in rows if h == g and s < score),
+            sum(p for h, _, p, _ in rows if h == g), sum(n for h, _, _, n in rows if h == g))
+        for g, score, _, _ in rows
+    }
+    for range_scores in (1, 10, 100, 10_000):
+        found = ev.running_counts(counts, ["g"], range_scores).collect()
+        assert len(found) == len(rows)
+        got = {(r["g"], r["score"]): (r["pos_below"], r["neg_below"], r["pos_total"], r["neg_total"]) for r in found}
+        assert got == want
+    assert ev.running_counts(counts.limit(0), ["g"]).isEmpty()
