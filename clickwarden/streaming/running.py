@@ -13,7 +13,7 @@ import math
 import zlib
 from collections.abc import Iterator
 
-import pandas as pd
+from pyspark.sql import DataFrame, Row, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 REQUEST_COLUMNS = [
@@ -33,9 +33,14 @@ SUMS_SCHEMA = ", ".join([
     *(f"{family}_{name} {kind}" for family in FAMILIES for name, kind in _OF_FAMILY.items()),
 ])
 _FIELDS = [field.strip().split(" ")[0] for field in SUMS_SCHEMA.split(",")]
+_TEXTS = ["session_id", "path", "first_agent"]
+_NUMBERS = [name for name in _FIELDS if name not in _TEXTS]
+#: What the state operator gives out. Every session is an Arrow batch that costs by its columns, so all numbers travel
+#: as one array; requests come in as one JSON text each for the same reason.
+PACKED_SCHEMA = "session_id string, path string, first_agent string, sums array<double>"
+_PACKED = Row(*_TEXTS, "sums")
 #: Symbols of one page of the state, and requests of one page of the later half.
 PAGE_SYMBOLS, PAGE_REQUESTS = 64, 128
-CHUNK_ROWS = 10_000
 LOW_LATENCY, FAR_JUMP, NO_PATH = 1.0, 3, 999
 
 
@@ -44,7 +49,20 @@ def clogc(count: int) -> float:
 
 
 def missing(value) -> bool:
-    return value is None or (isinstance(value, float) and value != value) or value is pd.NA or value is pd.NaT
+    return value is None or value != value
+
+
+def unpacked(packed: DataFrame) -> DataFrame:
+    """The sums as columns of their own; counts below 2^53 are exact as doubles."""
+    kinds = dict(field.strip().split(" ") for field in SUMS_SCHEMA.split(","))
+    numbers = {name: F.col("sums")[i].cast(kinds[name]).alias(name) for i, name in enumerate(_NUMBERS)}
+    return packed.select(*(numbers.get(name, F.col(name)) for name in _FIELDS))
+
+
+def _place(request: dict) -> tuple:
+    """Order of arrival, rows without one last."""
+    first, second = float(request.get("order_1", "nan")), request.get("order_2")
+    return missing(first), 0.0 if missing(first) else first, second is None, second or ""
 
 
 class MemoryPages(dict):
@@ -104,7 +122,8 @@ class RunningSession:
         return self._read[name]
 
     def _symbol_page(self, key: str) -> str:
-        return f"s{zlib.crc32(key.encode()) % self.s['pages']}"
+        pages = self.s["pages"]
+        return "s0" if pages == 1 else f"s{zlib.crc32(key.encode()) % pages}"
 
     def _get(self, key: str):
         return (self._page(self._symbol_page(key)) or {}).get(key)
@@ -273,43 +292,38 @@ class RunningSums(StatefulProcessor):
         self.summary = handle.getValueState("summary", "content string")
         self.symbols = handle.getMapState("symbols", "page string", "content string")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         # a session's requests of one micro-batch, as many as the trigger lets in
-        arrived = pd.concat(list(rows)).sort_values(["order_1", "order_2"], kind="stable")
+        arrived = sorted((json.loads(row.request) for row in rows), key=_place)
         kept = self.summary.get()
         stored = json.loads(kept[0]) if kept else None
-        emitted = []
         session = RunningSession(StatePages(self.symbols), stored)
-        for request in arrived.itertuples(index=False):
-            if request.op == "reset":
+        for request in arrived:
+            # absent where it is null
+            of = request.get
+            if request["op"] == "reset":
                 if session.stored_apart:
                     self.symbols.clear()
                 timer, visit = session.s.get("timer"), session.s["visit"] + 1
                 session = RunningSession(StatePages(self.symbols), None, visit)
                 session.s["timer"] = timer
                 continue
-            clean = lambda value: None if missing(value) else value
-            status = clean(request.status_code)
             session.observe(
-                float(request.timestamp), request.path, request.page_category, clean(request.user_agent),
-                None if status is None else int(status), int(request.depth), int(request.out_degree), bool(request.is_leaf),
-                json.loads(request.hubs_out) if request.hubs_out else None, json.loads(request.hubs_in) if request.hubs_in else None)
-            emitted.append(session.row(key[0], request.path))
-            if len(emitted) == CHUNK_ROWS:
-                yield pd.DataFrame(emitted, columns=_FIELDS)
-                emitted = []
+                float(request["timestamp"]), of("path"), of("page_category"), of("user_agent"), of("status_code"),
+                request["depth"], request["out_degree"], request["is_leaf"],
+                json.loads(request["hubs_out"]) if of("hubs_out") else None, json.loads(request["hubs_in"]) if of("hubs_in") else None)
+            name, visit, number, started, time, path, agent, *sums = session.row(key[0], of("path"))
+            yield _PACKED(name, path, agent, [visit, number, started, time, *sums])
         # one timer a session: it looks at the last request when it fires
         if self.expire_seconds is not None and session.s["n"] and not session.s.get("timer"):
             self.handle.registerTimer(self._end(session.s))
             session.s["timer"] = True
         self.summary.update((json.dumps(session.flush(), separators=(",", ":")),))
-        if emitted:
-            yield pd.DataFrame(emitted, columns=_FIELDS)
 
     def _end(self, sums: dict) -> int:
         return int((sums["time"] + self.expire_seconds) * 1000)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         kept = self.summary.get()
         sums = json.loads(kept[0]) if kept else None
         if sums and sums["n"] and self._end(sums) > timerValues.getCurrentWatermarkInMs():

@@ -17,7 +17,7 @@ from ..functions.values import text_or_null
 from ..operators.features import features_of_sums
 from ..operators.models import ModelBundle
 from ..operators.scoring import rule_score
-from .running import REQUEST_COLUMNS, SUMS_SCHEMA, RunningSums
+from .running import PACKED_SCHEMA, REQUEST_COLUMNS, RunningSums, unpacked
 
 _KEYS = ["session_id", "visit", "prefix_len"]
 _STATE_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
@@ -65,10 +65,11 @@ def running_sums(
         "is_leaf": F.coalesce("is_leaf", F.lit(False)),
         "page_category": F.coalesce("_given", "_category", path_category(F.col("path"))),
     })
-    rows = rows.select("session_id", *REQUEST_COLUMNS, *(["event_time"] if expire_seconds is not None else []))
-    return rows.groupBy("session_id").transformWithStateInPandas(
-        statefulProcessor=RunningSums(expire_seconds), outputStructType=SUMS_SCHEMA, outputMode="Append", timeMode=mode
-    )
+    request = F.to_json(F.struct(*REQUEST_COLUMNS)).alias("request")
+    rows = rows.select("session_id", request, *(["event_time"] if expire_seconds is not None else []))
+    return unpacked(rows.groupBy("session_id").transformWithState(
+        statefulProcessor=RunningSums(expire_seconds), outputStructType=PACKED_SCHEMA, outputMode="Append", timeMode=mode
+    ))
 
 
 def rule_scorer(features: DataFrame) -> DataFrame:
