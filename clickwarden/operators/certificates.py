@@ -15,7 +15,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..constants import BOT
-from .models import CALIBRATION_FOLDS, FittedModel, calibration_fold, weighted_training_rows
+from .models import CALIBRATION_FOLDS, FittedModel, calibration_fold, feature_coefficients, weighted_training_rows
 
 INTERCEPT = "intercept"
 
@@ -32,7 +32,7 @@ def logistic_moments(fitted: FittedModel, training: DataFrame, columns: Sequence
     ``target_moment`` is the weighted mean of target times feature, ``model_moment`` that of
     probability times feature plus penalty times coefficient. Their difference, ``gradient``, is the
     partial derivative of the loss; the loss is strictly convex, so it is zero at the optimum only.
-    Features are those the regression saw, after scaling. Empty training rows raise, as in a fit.
+    Features are those after scaling, before their turn. Empty training rows raise, as in a fit.
     """
     model = next(s for s in fitted.pipeline.stages if isinstance(s, LogisticRegressionModel))
     rows, _ = weighted_training_rows(training)
@@ -45,7 +45,7 @@ def logistic_moments(fitted: FittedModel, training: DataFrame, columns: Sequence
         _weighted_sums("features", F.col("on_model")).alias("answers"))
     parameters = F.array(*[
         F.struct(F.lit(name).alias("feature"), F.lit(float(value)).alias("coefficient"))
-        for name, value in zip(columns, model.coefficients.toArray(), strict=True)])
+        for name, value in zip(columns, feature_coefficients(fitted, model), strict=True)])
     penalty = F.lit(float(model.getRegParam()))
     per_feature = F.transform(parameters, lambda p, i: F.struct(
         p["feature"].alias("feature"), p["coefficient"].alias("coefficient"),

@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable, Iterable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, RandomForestClassifier
-from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.feature import PCA, OneHotEncoder, PCAModel, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.storagelevel import StorageLevel
 
 from ..constants import BOT, HUMAN, STATIC_CATEGORICAL, STATIC_NUMERIC
 from ..functions.values import double_or_zero
@@ -19,6 +21,8 @@ from .splits import hash_share
 CALIBRATION_FOLDS = 3
 # relative gain of a step at which a convex fit ends
 FIT_TOLERANCE = 1e-12
+# share of the largest variance below which a direction is rounding noise
+NO_VARIANCE = 1e-13
 
 
 @dataclass
@@ -54,6 +58,28 @@ def _scaler() -> StandardScaler:
     return StandardScaler(inputCol="raw_features", outputCol="features", withMean=True, withStd=True)
 
 
+def _prepare(rows: DataFrame, columns: Sequence[str]) -> PipelineModel:
+    """Scaled ``features`` and the same turned to their principal directions, ``rotated``.
+
+    A turn leaves the penalty and so the optimum as they are. The directions are uncorrelated, and as the
+    linear fits scale their columns inside, they need a tenth of the passes. Directions without variance hold no weight.
+    """
+    scaler = Pipeline(stages=[_assembler(columns, "raw_features"), _scaler()]).fit(rows)
+    scaled = scaler.transform(rows)
+    turn = lambda k: PCA(k=k, inputCol="features", outputCol="rotated").fit(scaled)
+    rotation = turn(len(columns))
+    shares = rotation.explainedVariance.toArray()
+    kept = max(1, int((shares > NO_VARIANCE * shares.max(initial=0.0)).sum()))
+    return PipelineModel([*scaler.stages, rotation if kept == len(columns) else turn(kept)])
+
+
+def feature_coefficients(fitted: FittedModel, model) -> list[float]:
+    """Weights of a linear stage on the scaled features before their turn."""
+    rotation = next((s for s in fitted.pipeline.stages if isinstance(s, PCAModel)), None)
+    weights = model.coefficients.toArray()
+    return [float(w) for w in (weights if rotation is None else rotation.pc.toArray() @ weights)]
+
+
 def _logistic(rows: int, **options) -> LogisticRegression:
     # the penalty of one unit per weight, over the mean loss
     return LogisticRegression(
@@ -63,8 +89,9 @@ def _logistic(rows: int, **options) -> LogisticRegression:
 
 def fit_logistic_regression(rows: DataFrame, columns: Sequence[str], **_) -> FittedModel:
     training, total = weighted_training_rows(rows)
-    stages = [_assembler(columns, "raw_features"), _scaler(), _logistic(total)]
-    return FittedModel(Pipeline(stages=stages).fit(training))
+    prepare = _prepare(training, columns)
+    ready = prepare.transform(training).select("rotated", "target", "weight")
+    return FittedModel(PipelineModel([*prepare.stages, _logistic(total, featuresCol="rotated").fit(ready)]))
 
 
 def fit_random_forest(rows: DataFrame, columns: Sequence[str], trees: int = 300, seed: int = 42, **_) -> FittedModel:
@@ -91,22 +118,31 @@ def fit_calibrated_svm(rows: DataFrame, columns: Sequence[str], iterations: int
     """Linear SVMs on two of three folds, each with a sigmoid fitted on the third."""
     training, total = weighted_training_rows(rows)
     training = training.withColumn("fold", calibration_fold())
-    prepare = Pipeline(stages=[_assembler(columns, "raw_features"), _scaler()]).fit(training)
-    scaled = prepare.transform(training)
+    prepare = _prepare(training, columns)
     per_fold = {row["fold"]: row["n"] for row in training.groupBy("fold").agg(F.count("*").alias("n")).collect()}
-    stages, chances = list(prepare.stages), []
-    for index in range(CALIBRATION_FOLDS):
+    ready = prepare.transform(training).select("rotated", "target", "weight", "fold").persist(StorageLevel.MEMORY_AND_DISK)
+
+    def calibrated(index: int) -> list:
         machine = LinearSVC(
-            labelCol="target", weightCol="weight", maxIter=iterations, regParam=1.0 / max(1, total - per_fold.get(index, 0)), standardization=False,
+            labelCol="target", featuresCol="rotated", weightCol="weight", maxIter=iterations,
+            regParam=1.0 / max(1, total - per_fold.get(index, 0)), standardization=False,
             rawPredictionCol=f"margin_{index}", predictionCol=f"side_{index}",
-        ).fit(scaled.where(F.col("fold") != index))
-        held = machine.transform(scaled.where(F.col("fold") == index))
+        ).fit(ready.where(F.col("fold") != index))
+        held = machine.transform(ready.where(F.col("fold") == index))
         sigmoid = LogisticRegression(
             labelCol="target", featuresCol=f"margin_{index}", rawPredictionCol=f"logit_{index}",
             probabilityCol=f"probability_{index}", predictionCol=f"call_{index}", maxIter=iterations,
         ).fit(held)
-        stages += [machine, sigmoid]
-        chances.append(f"probability_{index}")
+        return [machine, sigmoid]
+
+    # the passes of a fit are short jobs one after the other; the folds' jobs run side by side
+    try:
+        with ThreadPoolExecutor(CALIBRATION_FOLDS) as pool:
+            fits = list(pool.map(calibrated, range(CALIBRATION_FOLDS)))
+    finally:
+        ready.unpersist()
+    stages = [*prepare.stages, *(stage for fit in fits for stage in fit)]
+    chances = [f"probability_{index}" for index in range(CALIBRATION_FOLDS)]
     return FittedModel(PipelineModel(stages), chances)
 
 
