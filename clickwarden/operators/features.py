@@ -130,6 +130,9 @@ def _symbol_measures(events: DataFrame, salted: bool, place: list[str]) -> DataF
     )
     nothing, no_degree = F.lit(None).cast("string"), F.lit(None).cast("bigint")
     path, category = F.col("path"), F.col("page_category")
+    if not salted:  # move before exploding: an event travels once, not as its up to four symbols
+        events = events.select(
+            *_KEYS, "n_events", "seq", "path", "page_category", "prev_path", "prev_category", "out_degree").repartition(*place)
     symbols = events.select(
         *_KEYS, "n_events", (F.col("seq") <= half).alias("early"),
         F.explode(F.array_compact(F.array(
@@ -149,7 +152,7 @@ def _symbol_measures(events: DataFrame, salted: bool, place: list[str]) -> DataF
     if salted:  # combine before moving: a long session shrinks to its distinct symbols
         counted = symbols.groupBy(*keys, "family", "a", "b").agg(*measures).repartition(*place)
     else:
-        counted = symbols.repartition(*place).groupBy(*keys, "family", "a", "b").agg(*measures)
+        counted = symbols.groupBy(*keys, "family", "a", "b").agg(*measures)
     visit, step = F.col("b").isNull(), F.col("b").isNotNull()
     visits = F.col("prefix_len")
     early_visits = half
