@@ -10,8 +10,8 @@ _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 _GRAM = (np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB),
          np.uint64(0x8EBC6AF09C88C6E3), np.uint64(0x589965CC75374CC3))
-#: Bytes of text handled at once; a longer text is handled alone and whole.
-SLICE_BYTES = 1 << 20
+#: Bytes of text handled at once, at some hundred bytes of arrays for each; a longer text is handled alone and whole.
+SLICE_BYTES = 1 << 18
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32

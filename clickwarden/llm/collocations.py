@@ -39,6 +39,8 @@ class Settings:
     least: int = 100  # occurrences of a candidate
     first: int = 2000  # rows of each language
     dictionary: int = 1 << 18  # most frequent words with short ids; other words go by a 63-bit hash
+    word_entries: int = 200_000  # distinct words that a task holds, and their bytes
+    word_bytes: int = 1 << 25
     trie_entries: int = 300_000  # of a task before it spills
     range_windows: int = 1 << 20  # windows of one range
     most_ranges: int = 1 << 13
@@ -105,32 +107,59 @@ def _window_sizes(alive: np.ndarray, follows: np.ndarray, longest: int) -> np.nd
     return np.where(alive, sizes, 0)
 
 
+def _strings(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Array:
+    """The bytes from each start to its end."""
+    borders = np.concatenate([[0], np.cumsum(end - start)])
+    place = np.arange(borders[-1]) + np.repeat(start - borders[:-1], end - start)
+    return pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(borders.astype(np.int32)), pa.py_buffer(data[place])])
+
+
+def _decoded(words: pa.Array) -> pa.Array:
+    try:
+        return words.cast(pa.string())
+    except pa.ArrowInvalid:
+        return pa.array([w.decode(errors="replace") for w in words.to_pylist()], pa.string())
+
+
+class _WordCounts:
+    """Occurrences of words by key, with the language and the word of each, as arrays that are added up when they get long."""
+
+    def __init__(self):
+        self._parts: list[tuple] = []
+        self.entries = self.size = 0  # words and their bytes
+
+    def add(self, key: np.ndarray, row: np.ndarray, words: Words, names: pa.Array) -> None:
+        keys, first, n = np.unique(key, return_index=True, return_counts=True)
+        self._parts.append((keys, n, names.take(pa.array(row[first])), _strings(words.data, words.start[first], words.end[first])))
+        self.entries, self.size = self.entries + len(keys), self.size + self._parts[-1][3].nbytes
+
+    def compact(self) -> None:
+        if len(self._parts) > 1:
+            keys, n = (np.concatenate([p[i] for p in self._parts]) for i in (0, 1))
+            names, words = (pa.concat_arrays([p[i] for p in self._parts]) for i in (2, 3))
+            order = np.argsort(keys, kind="stable")
+            starts = np.flatnonzero(np.r_[True, keys[order[1:]] != keys[order[:-1]]])
+            first = order[starts]
+            self._parts = [(keys[first], np.add.reduceat(n[order], starts), names.take(pa.array(first)), words.take(pa.array(first)))]
+        self.entries, self.size = sum(len(p[0]) for p in self._parts), sum(p[3].nbytes for p in self._parts)
+
+    def rows(self, size: int) -> Iterator[pa.RecordBatch]:
+        self.compact()
+        for keys, n, names, words in self._parts:
+            for at in range(0, len(keys), size):
+                part = slice(at, at + size)
+                yield pa.record_batch([names[part], _decoded(words[part]), pa.array(keys[part].view(np.int64)), pa.array(n[part], pa.int64()),
+                                       pa.nulls(len(keys[part]), pa.binary())], names=["lang", "word", "key", "n", "window"])
+        self.__init__()
+
+
 def _count_words(settings: Settings):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        langs, counts, seen = _Langs(), {}, {}
+        langs, counts = _Langs(), _WordCounts()
         sample: dict[int, bytes] = {}
-
-        def rows(size: int):
-            items = list(counts.items())
-            for at in range(0, len(items), size):
-                part = items[at: at + size]
-                yield pa.record_batch(
-                    [pa.array([seen[k][0] for k, _ in part], pa.string()), pa.array([seen[k][1] for k, _ in part], pa.string()),
-                     pa.array(np.array([k for k, _ in part], np.uint64).view(np.int64)), pa.array([n for _, n in part], pa.int64()),
-                     pa.nulls(len(part), pa.binary())], names=["lang", "word", "key", "n", "window"])
-            counts.clear()
-            seen.clear()
-
         for batch in batches:
-            names = batch.column("lang")
             for words, row, key, follows in _words(batch, langs):
-                keys, first, n = np.unique(key, return_index=True, return_counts=True)
-                for k, at, c in zip(keys.tolist(), first.tolist(), n.tolist()):
-                    if k in counts:
-                        counts[k] += c
-                    else:
-                        counts[k] = c
-                        seen[k] = (names[int(row[at])].as_py(), words.data[words.start[at]: words.end[at]].tobytes().decode(errors="replace"))
+                counts.add(key, row, words, batch.column("lang"))
                 # windows of the smallest hashes, each once
                 sizes = _window_sizes(np.ones(len(key), bool), follows, settings.longest)
                 whole = np.flatnonzero(sizes == settings.longest)
@@ -138,13 +167,16 @@ def _count_words(settings: Settings):
                     total = np.zeros(len(whole), np.uint64)
                     for j in range(settings.longest):
                         total = mix(total ^ key[whole + j])
-                    for at in np.argsort(total)[: settings.sample].tolist():
+                    least = np.argpartition(total, settings.sample)[: settings.sample] if len(total) > settings.sample else np.arange(len(total))
+                    for at in least.tolist():
                         start = whole[at]
                         sample[int(total[at])] = key[start: start + settings.longest].tobytes()
                     sample = dict(sorted(sample.items())[: settings.sample])
-                if len(counts) > 200_000:
-                    yield from rows(20_000)
-        yield from rows(20_000)
+                if counts.entries > 2 * settings.word_entries or counts.size > 2 * settings.word_bytes:
+                    counts.compact()
+                    if counts.entries > settings.word_entries or counts.size > settings.word_bytes:
+                        yield from counts.rows(20_000)
+        yield from counts.rows(20_000)
         if sample:
             order = np.array(list(sample), np.uint64).view(np.int64)
             none = pa.nulls(len(sample), pa.string())

@@ -50,13 +50,19 @@ class HatTrie:
     def spill(self, left: int = 0) -> list[tuple[bytes, int]]:
         """Take out whole subtrees of the root, the largest first, until ``left`` strings remain; sorted."""
         sizes = sorted(((_size(child), part) for part, child in self.root.items()), reverse=True)
-        out: list[tuple[bytes, int]] = []
+        taken = []
         for size, part in sizes:
             if self.entries <= left:
                 break
-            _collect(self.root.pop(part), part, out)
+            taken.append(part)
             self.entries -= size
-        out.sort()
+        out: list[tuple[bytes, int]] = []
+        # a subtree's strings lie together, so each is sorted alone
+        for part in sorted(taken):
+            own: list[tuple[bytes, int]] = []
+            _collect(self.root.pop(part), part, own)
+            own.sort()
+            out += own
         return out
 
 
@@ -82,14 +88,16 @@ def cut(run: list[tuple[bytes, int]], splitters: list[bytes]) -> Iterator[tuple[
 
 def pack(piece: list[tuple[bytes, int]], words: int) -> bytes:
     """A sorted piece with the ids that each string shares with the one before left out, compressed."""
-    ids = np.frombuffer(b"".join(key.ljust(ID * words, b"\0") for key, _ in piece), dtype=">u8").reshape(-1, words).astype(np.uint64)
-    counts = np.array([n for _, n in piece], dtype=np.uint64)
+    keys, counts = zip(*piece)
+    place, sizes = np.arange(words), np.fromiter(map(len, keys), dtype=np.int64, count=len(keys)) // ID
+    given = place < sizes[:, None]
+    ids = np.zeros((len(keys), words), dtype=np.uint64)
+    ids[given] = np.frombuffer(b"".join(keys), dtype=">u8")
+    counts, sizes = np.array(counts, dtype=np.uint64), sizes.astype(np.uint8)
     shared = np.zeros(len(ids), dtype=np.uint8)
     shared[1:] = np.cumprod(ids[1:] == ids[:-1], axis=1).sum(axis=1)
-    sizes = (ids != 0).sum(axis=1).astype(np.uint8)
     np.minimum(shared, sizes, out=shared)
-    place = np.arange(words)
-    new = ids[(place >= shared[:, None]) & (place < sizes[:, None])]
+    new = ids[(place >= shared[:, None]) & given]
     wide = [int(a.max(initial=0) >> np.uint64(32) > 0) for a in (new, counts)]
     parts = [np.array([len(ids), len(new), *wide], dtype="<u4").tobytes(), (shared << 4 | sizes).tobytes(),
              new.astype("<u8" if wide[0] else "<u4").tobytes(), counts.astype("<u8" if wide[1] else "<u4").tobytes()]

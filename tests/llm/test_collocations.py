@@ -1,5 +1,6 @@
 """Phrases against plain counting; the trie, runs and merges by themselves; odd rows."""
 
+import cProfile
 import random
 import re
 from collections import Counter
@@ -111,3 +112,23 @@ def test_wide_ids_and_counts_survive_packing():
     piece = [((1 << 63).to_bytes(8) + (7).to_bytes(8), 1 << 40), ((1 << 63).to_bytes(8) + (9).to_bytes(8), 3)]
     ids, counts = hat_trie.unpack(hat_trie.pack(piece, 5), 5)
     assert ids.tolist() == [[1 << 63, 7, 0, 0, 0], [1 << 63, 9, 0, 0, 0]] and counts.tolist() == [1 << 40, 3]
+
+
+def test_words_are_counted_without_a_step_of_python_for_each():
+    words = [f"w{i}" for i in range(20_000)]
+    texts = [" ".join(words[at: at + 50]) + " É w7" for at in range(0, len(words), 50)]
+    batch = pa.record_batch([pa.array(texts), pa.array([("en", "de")[i % 2] for i in range(len(texts))])], names=["text", "lang"])
+    plain = Counter(((lang, w) for text, lang in zip(*(c.to_pylist() for c in batch.columns)) for w in text.split()))
+    for settings in (co.Settings(), co.Settings(word_entries=300), co.Settings(word_bytes=2_000)):
+        profile = cProfile.Profile()
+        out = profile.runcall(lambda: list(co._count_words(settings)(iter([batch, batch]))))
+        got = Counter()
+        for part in out:
+            for lang, word, n in zip(*(part.column(c).to_pylist() for c in ("lang", "word", "n"))):
+                if word is not None:
+                    got[lang, word] += n
+        assert got == {k: 2 * n for k, n in plain.items()}
+        # other threads are profiled too, and decode none of the words
+        assert sum(entry.callcount for entry in profile.getstats() if "'decode'" in str(entry.code)) < 5_000
+    broken = pa.array([b"ok", b"\xff"], pa.binary())
+    assert co._decoded(broken).to_pylist() == ["ok", "\ufffd"]
