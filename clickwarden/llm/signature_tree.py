@@ -28,6 +28,8 @@ HEIGHT = 16  # blocks under an upper node
 FEW_PAIRS = 64  # of two blocks that are compared without a traversal
 #: Elements of the block pairs that a task unpacks together.
 UNPACKED = 1 << 20
+#: Elements and sets of small tiles' pairs that are unpacked together.
+GATHERED, GATHERED_SETS = 1 << 17, 1 << 12
 _NODE = "block long, cluster long, least int, most int, any binary, all binary, sets binary, sizes binary, ids binary"
 
 
@@ -92,10 +94,10 @@ def numbers(packed: list[bytes]) -> list[np.ndarray]:
 
 def _unpack(packed: dict[int, tuple], expand: Callable[[list[bytes]], list[np.ndarray]]) -> dict[int, tuple]:
     """(ids, sizes, sets, bitmaps) of some blocks (sets, sizes, ids), all expanded together."""
-    pieces, counts = [], []
+    pieces, counts, unzip = [], [], zstandard.ZstdDecompressor()
     for blob, sizes, _ in packed.values():
         cuts = np.concatenate([[0], np.cumsum(np.frombuffer(sizes, "<i8"))]).tolist()
-        raw = zstandard.ZstdDecompressor().decompress(blob)
+        raw = unzip.decompress(blob)
         pieces += [raw[a:b] for a, b in zip(cuts, cuts[1:])]
         counts.append(len(cuts) - 1)
     if not pieces:
@@ -167,7 +169,7 @@ def _blocks(expand: Callable[[list[bytes]], list[np.ndarray]]):
     schema = pa.schema([("block", pa.int64()), ("cluster", pa.int64()), ("least", pa.int32()), ("most", pa.int32()),
                         *[(n, pa.binary()) for n in ("any", "all", "sets", "sizes", "ids")]])
 
-    def node(rows):
+    def node(rows, zipped):
         packed = [r["elements"] for r in rows]
         size = np.array([r["size"] for r in rows], "<i8")
         bits = np.stack([r["bits"] for r in rows])
@@ -175,11 +177,11 @@ def _blocks(expand: Callable[[list[bytes]], list[np.ndarray]]):
             "block": rows[0]["block"], "cluster": rows[0]["cluster"], "least": int(size.min()), "most": int(size.max()),
             "any": np.bitwise_or.reduce(bits).tobytes(), "all": np.bitwise_and.reduce(bits).tobytes(),
             # near copies share most elements, and a block goes to every pair that stays
-            "sets": zstandard.ZstdCompressor(level=3).compress(b"".join(packed)),
+            "sets": zipped.compress(b"".join(packed)),
             "sizes": np.array([len(p) for p in packed], "<i8").tobytes(), "ids": np.array([r["id"] for r in rows], "<i8").tobytes()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = []
+        rows, zipped = [], zstandard.ZstdCompressor(level=3)
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part, done = batch.slice(lo, 256).to_pylist(), []
@@ -188,13 +190,13 @@ def _blocks(expand: Callable[[list[bytes]], list[np.ndarray]]):
                     if rows and row["block"] == rows[0]["block"] and row["id"] == rows[-1]["id"]:
                         continue  # a repeated row; each set counts once
                     if rows and row["block"] != rows[0]["block"]:
-                        done.append(node(rows))
+                        done.append(node(rows, zipped))
                         rows = []
                     rows.append(row | {"size": size, "bits": bits})
                 if done:
                     yield pa.RecordBatch.from_pylist(done, schema=schema)
         if rows:
-            yield pa.RecordBatch.from_pylist([node(rows)], schema=schema)
+            yield pa.RecordBatch.from_pylist([node(rows, zipped)], schema=schema)
 
     return run
 
@@ -281,24 +283,28 @@ def _compare(percent: int, expand, output: str):
             yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*links)], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, packed, tile, rows, weight = {}, {}, None, [], 0
+        known, packed, tile, rows, weight, held = {}, {}, None, [], 0, 0
         for batch in batches:
             for lo in range(0, batch.num_rows, 64):
                 for row in batch.slice(lo, 64).to_pylist():
                     if (row["upper_a"], row["upper_b"]) != tile:
-                        if rows:
-                            known = compared(rows, packed, known)
-                            yield from answers(rows, known)
-                        tile, packed, rows, weight = (row["upper_a"], row["upper_b"]), {}, [], 0
+                        tile = (row["upper_a"], row["upper_b"])
+                        # most tiles are a pair or two, so several are unpacked at once
+                        if not rows or weight > GATHERED or held > GATHERED_SETS:
+                            if rows:
+                                known = compared(rows, packed, known)
+                                yield from answers(rows, known)
+                            packed, rows, weight, held = {}, [], 0, 0
                     if row["block_b"] is None:
                         packed[row["block_a"]] = row
                         continue
                     rows.append((row["block_a"], row["block_b"]))
-                    weight += sum(packed[x]["most"] * len(packed[x]["sizes"]) // 8 for x in rows[-1])
+                    sets = [len(packed[x]["sizes"]) // 8 for x in rows[-1]]
+                    weight, held = weight + sum(packed[x]["most"] * n for x, n in zip(rows[-1], sets)), held + sum(sets)
                     if weight > UNPACKED:
                         known = compared(rows, packed, known)
                         yield from answers(rows, known)
-                        rows, weight = [], 0
+                        rows, weight, held = [], 0, 0
         if rows:
             yield from answers(rows, compared(rows, packed, known))
 

@@ -2,7 +2,10 @@ import random
 from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
+import zstandard
 
+from clickwarden.llm import signature_tree
 from clickwarden.llm.grouping import UnionFind
 from clickwarden.llm.line_dedup import BANDS, Lines, band_keys, compared_lines, deduplicate_lines, line_groups
 
@@ -90,3 +93,34 @@ def test_pairs_at_the_threshold_share_a_band():
             for part in (hashes[:, :size], hashes[:, 20:])]
     missed = np.mean(~(keys[0] == keys[1]).any(1))
     assert missed < 0.009, missed
+
+
+def test_small_tiles_are_unpacked_together():
+    calls, rows, want = [], [], []
+
+    def expand(packed):
+        calls.append(len(packed))
+        return signature_tree.numbers(packed)
+
+    def blocks(tile, *sizes):
+        return [{"upper_a": tile, "upper_b": tile, "block_a": 16 * tile + i, "block_b": None, "most": size, "ids": np.array([10 * tile + i, 10 * tile + i + 5]).tobytes(),
+                 "sets": zstandard.ZstdCompressor().compress(np.arange(size, dtype="<u8").tobytes() * 2), "sizes": np.array([8 * size] * 2).tobytes()}
+                for i, size in enumerate(sizes)]
+
+    # tiles of a block each, and among them one whose pairs are many elements
+    for tile in range(400):
+        own = blocks(tile, *[200_000] * 4) if tile == 200 else blocks(tile, 9)
+        pairs = [(a, b) for i, a in enumerate(own) for b in own[i:]]
+        rows += own + [dict.fromkeys(a) | {"upper_a": tile, "upper_b": tile, "block_a": a["block_a"], "block_b": b["block_a"]} for a, b in pairs]
+        want.append({10 * tile + x for i in range(len(own)) for x in (i, i + 5)})
+    kinds = [(c, pa.int64()) for c in ("upper_a", "upper_b", "block_a", "block_b", "most")] + [(c, pa.binary()) for c in ("sets", "sizes", "ids")]
+    batch = pa.RecordBatch.from_pylist(rows, schema=pa.schema(kinds))
+    joined = UnionFind(5_000)
+    for out in signature_tree._compare(80, expand, "spanning")(iter([batch])):
+        for a, b in zip(*(c.to_pylist() for c in out.columns)):
+            joined.union(a, b)
+    got = {}
+    for x in set().union(*want):
+        got.setdefault(joined.find(x), set()).add(x)
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, want))
+    assert len(calls) < 20 and max(calls) <= signature_tree.GATHERED_SETS
