@@ -61,12 +61,12 @@ def site_nodes(events: DataFrame) -> DataFrame:
 
 
 def prefix_feature_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events, _ = labelled(spark, sf_dir)
+    events = materialized(labelled(spark, sf_dir)[0])
     return feats.prefix_features(events, site_nodes(events), PREFIXES)
 
 
 def full_feature_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events, _ = labelled(spark, sf_dir)
+    events = materialized(labelled(spark, sf_dir)[0])
     return feats.full_session_features(events, site_nodes(events))
 
 

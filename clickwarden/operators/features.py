@@ -11,10 +11,15 @@ from ..constants import (
     NAVIGATION_SCORE_V2_WEIGHTS, NAVIGATION_SCORE_WEIGHTS, NO_PATH_HOPS, PREFIXES,
 )
 from ..functions.values import clip01, ratio
+from ..session import materialized
 
 # a session with more events spreads its symbols over SALTS groups before the last sum
 LONG_SESSION_EVENTS = 100_000
 SALTS = 256
+# events of a task when a large table is dealt out by session
+EVENTS_PER_TASK = 50_000
+# a site of at most so many pages is broadcast; of a larger one, pages that hold more than that share of the events
+MAX_BROADCAST_PAGES = 10_000
 
 _KEYS = ["session_id", "prefix_len"]
 
@@ -45,13 +50,18 @@ def prefix_features(
     """
     lengths = clean_prefixes(prefixes)
     early = events.where(F.col("seq") <= lengths[-1])
-    return _features(expand_prefixes(_with_graph(early, nodes, hops), lengths), salted=False)
+    rows = early.count()
+    dealt = _dealt(_with_graph(early, nodes, hops, rows), rows, "session_id")
+    return _features(expand_prefixes(dealt, lengths), rows, salted=False)
 
 
 def full_session_features(events: DataFrame, nodes: DataFrame, hops: DataFrame | None = None) -> DataFrame:
     """One row per session of at least two events; ``prefix_len`` is its length."""
     whole = events.where(F.col("n_events") >= 2).withColumn("prefix_len", F.col("n_events").cast("int"))
-    return _features(_with_graph(whole, nodes, hops), salted=True)
+    rows, longest = whole.agg(F.count("*"), F.max("n_events")).head()
+    salted = (longest or 0) > LONG_SESSION_EVENTS
+    chunk = [F.floor(F.col("seq") / LONG_SESSION_EVENTS)] if salted else []
+    return _features(_dealt(_with_graph(whole, nodes, hops, rows), rows, "session_id", *chunk), rows, salted)
 
 
 def features_of_sums(sums: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -59,9 +69,29 @@ def features_of_sums(sums: DataFrame, keys: Sequence[str]) -> DataFrame:
     return _assemble(sums).select(*keys, *FEATURE_COLUMNS)
 
 
-def _with_graph(events: DataFrame, nodes: DataFrame, hops: DataFrame | None) -> DataFrame:
-    attributes = nodes.select("path", "depth", "out_degree", "is_leaf")
-    joined = events.join(attributes, "path", "left").withColumns({
+def _dealt(df: DataFrame, rows: int, *place: str | Column) -> DataFrame:
+    """Rows of one place in one task. A table of many rows goes to as many tasks as keep each at about
+    ``EVENTS_PER_TASK``, however few bytes the rows take; the tasks of a small one are the engine's choice."""
+    tasks = -(-rows // EVENTS_PER_TASK)
+    if tasks <= df.sparkSession.sparkContext.defaultParallelism:
+        return df.repartition(*place)
+    return df.repartition(tasks, *place)
+
+
+def _with_pages(events: DataFrame, nodes: DataFrame, rows: int) -> DataFrame:
+    """Events with the attributes of their page. No page brings its events together: those of a small site and the
+    busy pages of a large one, fewer than ``MAX_BROADCAST_PAGES``, come to the events, the others by a shuffle."""
+    attributes = materialized(nodes.select("path", "depth", "out_degree", "is_leaf"))
+    if attributes.count() <= MAX_BROADCAST_PAGES:
+        return events.join(F.broadcast(attributes), "path", "left")
+    counts = events.groupBy("path").agg(F.count("*").alias("_events"))
+    busy = materialized(counts.where(F.col("_events") * MAX_BROADCAST_PAGES > rows).select("path"))
+    at_busy = events.join(F.broadcast(busy.join(attributes, "path", "left")), "path")
+    return events.join(F.broadcast(busy), "path", "left_anti").join(attributes, "path", "left").unionByName(at_busy)
+
+
+def _with_graph(events: DataFrame, nodes: DataFrame, hops: DataFrame | None, rows: int) -> DataFrame:
+    joined = _with_pages(events, nodes, rows).withColumns({
         "depth": F.coalesce("depth", F.lit(-1)),
         "out_degree": F.coalesce("out_degree", F.lit(0)),
         "is_leaf": F.coalesce("is_leaf", F.lit(False)),
@@ -78,8 +108,10 @@ def _with_graph(events: DataFrame, nodes: DataFrame, hops: DataFrame | None) ->
     )
 
 
-def _features(events: DataFrame, salted: bool, place: list[str] = _KEYS[:1]) -> DataFrame:
-    joined = _event_measures(events).join(_symbol_measures(events, salted, place), _KEYS)
+def _features(dealt: DataFrame, rows: int, salted: bool) -> DataFrame:
+    """Features of events that lie together by session, or with ``salted`` by session and chunk."""
+    symbols = _symbol_measures(dealt, salted, ["session_id"] if salted else None, rows)
+    joined = _event_measures(dealt).join(symbols, _KEYS)
     return _assemble(joined).select(*_KEYS, "label", *FEATURE_COLUMNS)
 
 
@@ -116,12 +148,12 @@ def _plogp(count: Column, total: Column) -> Column:
     return F.when(count > 0, p * F.log2(p)).otherwise(F.lit(0.0))
 
 
-def _symbol_measures(events: DataFrame, salted: bool, place: list[str]) -> DataFrame:
+def _symbol_measures(events: DataFrame, salted: bool, place: list[str] | None, rows: int = 0) -> DataFrame:
     """Entropy and concentration sums over paths, categories and their transitions.
 
     A symbol is (family, a, b): a visited path or category when b is NULL, else a step a -> b.
-    One placement by session serves the aggregations. Sessions without a length bound are first
-    combined to their distinct symbols, and long ones are spread by symbol.
+    One placement by session serves the aggregations; without ``place`` the events have it already. When some
+    sessions are long, symbols are first combined to the distinct ones, and those of long sessions are spread.
     """
     half = F.greatest(F.lit(2), F.floor(F.col("prefix_len") / 2))
     moved = F.col("seq") > 1
@@ -130,7 +162,7 @@ def _symbol_measures(events: DataFrame, salted: bool, place: list[str]) -> DataF
     )
     nothing, no_degree = F.lit(None).cast("string"), F.lit(None).cast("bigint")
     path, category = F.col("path"), F.col("page_category")
-    if not salted:  # move before exploding: an event travels once, not as its up to four symbols
+    if place and not salted:  # move before exploding: an event travels once, not as its up to four symbols
         events = events.select(
             *_KEYS, "n_events", "seq", "path", "page_category", "prev_path", "prev_category", "out_degree").repartition(*place)
     symbols = events.select(
@@ -150,7 +182,8 @@ def _symbol_measures(events: DataFrame, salted: bool, place: list[str]) -> DataF
 
     measures = [F.count("*").alias("c"), F.count_if("early").alias("c_early"), F.max("degree").alias("degree")]
     if salted:  # combine before moving: a long session shrinks to its distinct symbols
-        counted = symbols.groupBy(*keys, "family", "a", "b").agg(*measures).repartition(*place)
+        counted = symbols.groupBy(*keys, "family", "a", "b").agg(*measures)
+        counted = _dealt(counted, rows, *place)
     else:
         counted = symbols.groupBy(*keys, "family", "a", "b").agg(*measures)
     visit, step = F.col("b").isNull(), F.col("b").isNotNull()
