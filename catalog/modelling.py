@@ -43,9 +43,21 @@ def inputs(spark, sf):
     )
 
 
-def split_data(spark, sf):
-    prefix, full, metadata = inputs(spark, sf)
-    return experiment.SplitData.of(prefix, full, metadata, splits.bucket_split(metadata))
+def split_data(spark, sf, with_metadata=False):
+    """Feature rows by split, written once. Models need no more of the metadata than the key of the split, so the
+    whole is made only for queries that read it."""
+    if with_metadata:
+        prefix, full, metadata = inputs(spark, sf)
+        return experiment.SplitData.of(prefix, full, metadata, splits.bucket_split(metadata))
+    events = materialized(labelled(spark, sf)[0])
+    nodes = materialized(site_nodes(events))
+    metadata = ev.known_labels(summaries.session_metadata(events))
+    table = materialized(splits.bucket_split(metadata))
+    by_split = lambda df: splits.with_split(ev.known_labels(df), table)
+    return experiment.SplitData(
+        materialized(by_split(feats.prefix_features(events, nodes, PREFIXES))),
+        materialized(by_split(feats.full_session_features(events, nodes))), by_split(metadata),
+    )
 
 
 def model_query(name, model, **options):
@@ -112,7 +124,7 @@ def gbt_certificate(spark, sf):
 
 @register("static_baseline")
 def static_baseline(spark, sf):
-    run = experiment.static_run(split_data(spark, sf), "session_split")
+    run = experiment.static_run(split_data(spark, sf, with_metadata=True), "session_split")
     return rounded(ev.metrics_by_group(materialized(run)))
 
 

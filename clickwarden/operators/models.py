@@ -16,6 +16,7 @@ from pyspark.storagelevel import StorageLevel
 
 from ..constants import BOT, HUMAN, STATIC_CATEGORICAL, STATIC_NUMERIC
 from ..functions.values import double_or_zero
+from ..session import ensure_checkpoint_dir
 from .splits import hash_share
 
 CALIBRATION_FOLDS = 3
@@ -98,8 +99,9 @@ def fit_random_forest(rows: DataFrame, columns: Sequence[str], trees: int = 300,
     training, _total = weighted_training_rows(rows)
     forest = RandomForestClassifier(
         labelCol="target", weightCol="weight", numTrees=trees, minInstancesPerNode=2, maxDepth=30,
-        minWeightFractionPerNode=0.0, seed=seed,
+        minWeightFractionPerNode=0.0, seed=seed, cacheNodeIds=True,  # rows keep their node: no walk down 30 levels at each level
     )
+    ensure_checkpoint_dir(rows.sparkSession)
     return FittedModel(Pipeline(stages=[_assembler(columns), forest]).fit(training))
 
 
