@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -45,37 +45,117 @@ def _link_rows(a: list, b: list) -> pa.RecordBatch:
     return pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64()), *[pa.nulls(len(a), pa.int64())] * 5], names=list(_LINK_FIELDS))
 
 
-def _key_components(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+#: Ids of one key whose pairs are looked at; all ids of a key with more are joined.
+_CHECKED = 1 << 12
+#: Ids of a key whose pairs are looked at together with those of other keys.
+_FEW_IDS = 16
+
+
+def _pairs_of_runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of all pairs of rows with equal keys; the keys are sorted."""
+    left, right, alive, step = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], np.arange(len(keys)), 0
+    while len(alive):
+        step += 1
+        alive = alive[alive + step < len(keys)]
+        alive = alive[keys[alive] == keys[alive + step]]
+        left.append(alive)
+        right.append(alive + step)
+    return np.concatenate(left), np.concatenate(right)
+
+
+def _reached(columns: list[np.ndarray], alike: Callable[[list, list], np.ndarray]) -> Iterator[tuple[int, int]]:
+    """Pairs of rows that join what all pairs of alike rows would."""
+    rest = np.arange(len(columns[0]))
+    while len(rest):
+        queue, rest = [int(rest[0])], rest[1:]
+        while queue and len(rest):
+            at = queue.pop()
+            met = alike([c[at] for c in columns], [c[rest] for c in columns])
+            found, rest = rest[met].tolist(), rest[~met]
+            yield from ((at, x) for x in found)
+            queue += found
+
+
+def _key_components(alike: Callable[[list, list], np.ndarray] | None, checked: int):
     """Join the ids of every run of one key in a sorted partition; report the components and the partition's ends."""
-    part, key, last, head, forest = TaskContext.get().partitionId(), None, None, None, _Forest()
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        keys, ids = batch.column("key").to_numpy(), batch.column("id").to_numpy()
-        before = np.concatenate([[ids[0] if last is None else last], ids[:-1]])
-        linked = np.concatenate([[keys[0] == key and key is not None], keys[1:] == keys[:-1]]) & (ids != before)
-        for pair in zip(ids[linked].tolist(), before[linked].tolist()):
-            forest.union(*pair)
-        if len(forest) > _REMEMBERED:
-            yield _link_rows(*forest.links())
-            forest.clear()
-        head = head or (int(keys[0]), int(ids[0]))
-        key, last = keys[-1], ids[-1]
-    yield _link_rows(*forest.links())
-    if head:
-        row = dict(zip(_LINK_FIELDS, (None, None, part, *head, int(key), int(last))))
-        yield pa.RecordBatch.from_pylist([row], schema=pa.schema([(n, pa.int64()) for n in row]))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, head, tail, forest = TaskContext.get().partitionId(), None, None, _Forest()
+
+        def chained(keys: np.ndarray, ids: np.ndarray) -> None:
+            same = keys[1:] == keys[:-1]
+            for pair in zip(ids[1:][same].tolist(), ids[:-1][same].tolist()):
+                forest.union(*pair)
+
+        def joined(keys: np.ndarray, ids: np.ndarray, *more: np.ndarray) -> None:
+            """Join the alike ids of whole runs."""
+            if alike is None:
+                return chained(keys, ids)
+            starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+            sizes = np.diff(np.append(starts, len(keys)))
+            few = np.flatnonzero(np.repeat((sizes > 1) & (sizes <= _FEW_IDS), sizes))
+            left, right = (few[x] for x in _pairs_of_runs(keys[few]))
+            met = alike([c[left] for c in more], [c[right] for c in more])
+            for pair in zip(ids[left[met]].tolist(), ids[right[met]].tolist()):
+                forest.union(*pair)
+            for start, size in zip(starts[sizes > _FEW_IDS].tolist(), sizes[sizes > _FEW_IDS].tolist()):
+                own = slice(start, start + size)
+                if size > checked:
+                    chained(keys[own], ids[own])
+                    continue
+                names = ids[own].tolist()
+                for a, b in _reached([c[own] for c in more], alike):
+                    forest.union(names[a], names[b])
+
+        # a run that may go on waits, but for one whose ids are all joined: the first, which may have begun before, and long ones
+        held, open_key = None, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            columns = [c.to_numpy() for c in batch.columns]
+            if held:
+                columns = [np.concatenate(c) for c in zip(held, columns)]
+            keys, ids = columns[:2]
+            # rows of one key and id are alike
+            new = np.concatenate([[True], (keys[1:] != keys[:-1]) | (ids[1:] != ids[:-1])])
+            keys, ids, *_ = columns = [c[new] for c in columns]
+            if head is None:
+                head, open_key = (int(keys[0]), int(ids[0])), keys[0]
+            tail = int(keys[-1]), int(ids[-1])
+            begin, end = int(np.searchsorted(keys, open_key, side="right")), int(np.searchsorted(keys, keys[-1]))
+            chained(keys[:begin], ids[:begin])
+            if begin < end:
+                joined(*[c[begin:end] for c in columns])
+            if begin <= end and len(keys) - end > checked:
+                chained(keys[end:], ids[end:])
+                begin, open_key = len(keys), keys[-1]
+            held = [c[-1:] if begin == len(keys) else c[end:] for c in columns]
+            if len(forest) > _REMEMBERED:
+                yield _link_rows(*forest.links())
+                forest.clear()
+        if held:
+            # the last run may go on in the next partition
+            chained(*held[:2])
+        yield _link_rows(*forest.links())
+        if head:
+            row = dict(zip(_LINK_FIELDS, (None, None, part, *head, *tail)))
+            yield pa.RecordBatch.from_pylist([row], schema=pa.schema([(n, pa.int64()) for n in row]))
+
+    return run
 
 
-def key_links(rows: DataFrame, scratch: Scratch) -> DataFrame:
+def key_links(rows: DataFrame, scratch: Scratch, alike: Callable[[list, list], np.ndarray] | None = None, checked: int = _CHECKED) -> DataFrame:
     """Links (a, b) that join all ids of each key, fewer than rows.
 
     Rows (key, id) are range-partitioned by both, so the rows of a hot key spread over many tasks;
     parts of one key are linked over the partition borders.
+
+    ``alike`` tells from the further columns of rows, given for the left and the right rows of pairs, which pairs of one key may be
+    wanted; ids are then joined over such pairs alone. All ids are joined of a key with more than ``checked`` of
+    them in a partition, or that may run over its borders: more than asked for, never less.
     """
     n = max(2, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     ordered = rows.repartitionByRange(n, "key", "id").sortWithinPartitions("key", "id")
-    found = scratch.keep(ordered.mapInArrow(_key_components, ", ".join(f"{name} long" for name in _LINK_FIELDS)))
+    found = scratch.keep(ordered.mapInArrow(_key_components(alike, checked if alike else 1), ", ".join(f"{name} long" for name in _LINK_FIELDS)))
     ends = found.where("part IS NOT NULL")
     order = Window.orderBy("part")  # one row per partition
     over = (ends.withColumns({"before_key": F.lag("tail_key").over(order), "before_id": F.lag("tail_id").over(order)})

@@ -2,7 +2,8 @@
 
 Lines are signed by one-permutation MinHash with rotation for empty bins; bands of bins put similar
 lines under one key. Keys are linked by sorting, not by pairs, so a line that half the corpus
-repeats costs what it counts. Inside the clusters that come out, every pair above the threshold is
+repeats costs what it counts; lines of one key whose marked shingles show that they can't reach the
+threshold stay apart. Inside the clusters that come out, every pair above the threshold is
 found on exact shingle sets, and a distributed union-find closes the links.
 """
 
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 from clickwarden.llm.arrays import mix, powers, slices
 from clickwarden.llm.grouping import blocks_of_clusters, connected_components, key_links
 from clickwarden.llm.scratch import Scratch, unused_names
-from clickwarden.llm.signature_tree import tree_links
+from clickwarden.llm.signature_tree import reachable, tree_links
 
 SHINGLE = 8
 #: A pair shares no band with a probability of 0.9 % at a similarity of 0.8, 0.09 % at 0.85, 1 in 45,000 at 0.9.
@@ -78,6 +79,26 @@ def band_keys(lines: Lines, count: int) -> np.ndarray:
     return mix(total + np.arange(BANDS, dtype=np.uint64))
 
 
+def line_bits(lines: Lines) -> np.ndarray:
+    """64 bits per line, those that some shingle falls on."""
+    ends = np.cumsum(lines.size)
+    bits = np.zeros(len(ends), dtype=np.uint64)
+    filled = lines.size > 0
+    if filled.any():
+        bits[filled] = np.bitwise_or.reduceat(np.uint64(1) << (lines.hash & np.uint64(63)), (ends - lines.size)[filled])
+    return bits
+
+
+def may_link(percent: int):
+    """For pairs of lines by (bits, size): whether they could reach the threshold; repeated shingles count in a size."""
+    def alike(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+        (bits_a, size_a), (bits_b, size_b) = a, b
+        lost_a, lost_b = (np.bitwise_count(x.view(np.uint64)).astype(np.int64) for x in (bits_a & ~bits_b, bits_b & ~bits_a))
+        return reachable(size_a, size_b, 1, 1, lost_a, lost_b, percent)
+
+    return alike
+
+
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Marks of every line, and keys where the task meets a line for the first time: equal lines have equal keys."""
     seen: set[int] = set()
@@ -91,7 +112,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue
             row, at, which = (np.array(c) for c in zip(*found))
             signed = Lines(list(distinct))
-            keys = band_keys(signed, len(distinct)).view(np.int64)
+            keys, bits = band_keys(signed, len(distinct)).view(np.int64), line_bits(signed).view(np.int64)
             # the first place of each line in the slice, unless a slice before had it
             first = np.zeros(len(which), dtype=bool)
             first[np.unique(which, return_index=True)[1]] = True
@@ -104,8 +125,8 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch(
                 [batch.column("doc_id")[lo:hi].take(pa.array(row)), pa.array(at.astype(np.int32)), pa.array(signed.size[which]),
                  pa.array(signed.mark[which].view(np.int64)), pa.array(signed.other[which].view(np.int64)),
-                 pa.ListArray.from_arrays(pa.array(cuts), pa.array(keys[which[first]].ravel()))],
-                names=["doc_id", "line", "size", "mark", "other", "keys"])
+                 pa.ListArray.from_arrays(pa.array(cuts), pa.array(keys[which[first]].ravel())), pa.array(np.where(first, bits[which], 0))],
+                names=["doc_id", "line", "size", "mark", "other", "keys", "bits"])
 
 
 def shingle_sets(packed: list[bytes]) -> list[np.ndarray]:
@@ -146,11 +167,12 @@ def line_groups(docs: DataFrame, percent: int = 80) -> DataFrame:
     """
     scratch = Scratch(docs.sparkSession, "lines")
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("doc_id IS NOT NULL")
-    signed = scratch.keep(texts.mapInArrow(_sign, "doc_id long, line int, size long, mark long, other long, keys array<long>"))
+    signed = scratch.keep(texts.mapInArrow(_sign, "doc_id long, line int, size long, mark long, other long, keys array<long>, bits long"))
     same = ["size", "mark", "other"]
     classes = scratch.keep(signed.groupBy(*same).agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count("*").alias("n"))
                            .withColumn("id", F.xxhash64(*same)))
-    links = key_links(signed.select(F.explode("keys").alias("key"), F.xxhash64(*same).alias("id")), scratch)
+    keys = signed.select(F.explode("keys").alias("key"), F.xxhash64(*same).alias("id"), "bits", "size")
+    links = key_links(keys, scratch, may_link(percent))
     clusters = connected_components(links, scratch).select("id", F.col("root").alias("cluster"))
     members = classes.join(clusters, "id").select("cluster", F.col("size").alias("weight"), "id", "mark", "first.doc_id", "first.line")
     blocks = blocks_of_clusters(members)

@@ -345,6 +345,8 @@ def tree_links(sets: DataFrame, percent: int, scratch: Scratch, expand: Callable
     content = ["most", "sets", "sizes", "ids"]
     placed = needed.join(nodes.select("block", *content), "block").withColumnRenamed("block", "block_a").withColumn("block_b", F.lit(None).cast("long"))
     none = {c: F.lit(None).cast(nodes.schema[c].dataType) for c in content}
-    both = placed.unionByName(pairs.withColumns(none)).repartition("upper_a", "upper_b").sortWithinPartitions(
+    # a number of tasks that the few bytes of the tiles don't lower: each costs by its pairs
+    n = max(2, int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    both = placed.unionByName(pairs.withColumns(none)).repartition(n, "upper_a", "upper_b").sortWithinPartitions(
         "upper_a", "upper_b", F.col("block_b").isNotNull(), "block_b", "block_a")
     return both.mapInArrow(_compare(percent, expand, output), "a long, b long" + (", n long" if output == "counts" else ""))
