@@ -38,17 +38,21 @@ class _Forest(dict):
         return ids, [self[x] for x in ids]
 
 
-_LINK_FIELDS = ("a", "b", "part", "head_key", "head_id", "tail_key", "tail_id")
+_LINK_FIELDS = ("a", "b", "shared", "part", "head_key", "head_id", "tail_key", "tail_id")
 
 
-def _link_rows(a: list, b: list) -> pa.RecordBatch:
-    return pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64()), *[pa.nulls(len(a), pa.int64())] * 5], names=list(_LINK_FIELDS))
+def _link_rows(*columns) -> pa.RecordBatch:
+    n = len(columns[0])
+    given = [pa.array(c, pa.int64()) for c in columns]
+    return pa.record_batch([*given, *[pa.nulls(n, pa.int64())] * (len(_LINK_FIELDS) - len(given))], names=list(_LINK_FIELDS))
 
 
 #: Ids of one key whose pairs are looked at; all ids of a key with more are joined.
 _CHECKED = 1 << 12
 #: Ids of a key whose pairs are looked at together with those of other keys.
 _FEW_IDS = 16
+#: Ids of one key that give a row for each pair; all ids of a key with more are joined.
+_COUNTED = 1 << 8
 
 
 def _pairs_of_runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -76,7 +80,7 @@ def _reached(columns: list[np.ndarray], alike: Callable[[list, list], np.ndarray
             queue += found
 
 
-def _key_components(alike: Callable[[list, list], np.ndarray] | None, checked: int):
+def _key_components(alike: Callable[[list, list], np.ndarray] | None, checked: int, shared: Callable[[np.ndarray], np.ndarray] | None):
     """Join the ids of every run of one key in a sorted partition; report the components and the partition's ends."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, head, tail, forest = TaskContext.get().partitionId(), None, None, _Forest()
@@ -86,12 +90,26 @@ def _key_components(alike: Callable[[list, list], np.ndarray] | None, checked: i
             for pair in zip(ids[1:][same].tolist(), ids[:-1][same].tolist()):
                 forest.union(*pair)
 
+        def runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+            return starts, np.diff(np.append(starts, len(keys)))
+
+        def counted(keys: np.ndarray, ids: np.ndarray) -> Iterator[pa.RecordBatch]:
+            """All pairs of ids of whole runs, with the number of keys that they need."""
+            _, sizes = runs(keys)
+            long, few = (np.repeat(x, sizes) for x in (sizes > checked, (sizes > 1) & (sizes <= checked)))
+            chained(keys[long], ids[long])
+            keys, ids = keys[few], ids[few]
+            left, right = _pairs_of_runs(keys)
+            for at in range(0, len(left), 1 << 16):
+                a, b = left[at: at + (1 << 16)], right[at: at + (1 << 16)]
+                yield _link_rows(ids[a], ids[b], shared(keys[a]))
+
         def joined(keys: np.ndarray, ids: np.ndarray, *more: np.ndarray) -> None:
             """Join the alike ids of whole runs."""
-            if alike is None:
+            if not alike:
                 return chained(keys, ids)
-            starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-            sizes = np.diff(np.append(starts, len(keys)))
+            starts, sizes = runs(keys)
             few = np.flatnonzero(np.repeat((sizes > 1) & (sizes <= _FEW_IDS), sizes))
             left, right = (few[x] for x in _pairs_of_runs(keys[few]))
             met = alike([c[left] for c in more], [c[right] for c in more])
@@ -123,7 +141,9 @@ def _key_components(alike: Callable[[list, list], np.ndarray] | None, checked: i
             tail = int(keys[-1]), int(ids[-1])
             begin, end = int(np.searchsorted(keys, open_key, side="right")), int(np.searchsorted(keys, keys[-1]))
             chained(keys[:begin], ids[:begin])
-            if begin < end:
+            if begin < end and shared:
+                yield from counted(keys[begin:end], ids[begin:end])
+            elif begin < end:
                 joined(*[c[begin:end] for c in columns])
             if begin <= end and len(keys) - end > checked:
                 chained(keys[end:], ids[end:])
@@ -137,30 +157,37 @@ def _key_components(alike: Callable[[list, list], np.ndarray] | None, checked: i
             chained(*held[:2])
         yield _link_rows(*forest.links())
         if head:
-            row = dict(zip(_LINK_FIELDS, (None, None, part, *head, *tail)))
+            row = dict(zip(_LINK_FIELDS, (None, None, None, part, *head, *tail)))
             yield pa.RecordBatch.from_pylist([row], schema=pa.schema([(n, pa.int64()) for n in row]))
 
     return run
 
 
-def key_links(rows: DataFrame, scratch: Scratch, alike: Callable[[list, list], np.ndarray] | None = None, checked: int = _CHECKED) -> DataFrame:
+def key_links(rows: DataFrame, scratch: Scratch, alike: Callable[[list, list], np.ndarray] | None = None, checked: int = _CHECKED,
+              shared: Callable[[np.ndarray], np.ndarray] | None = None) -> DataFrame:
     """Links (a, b) that join all ids of each key, fewer than rows.
 
     Rows (key, id) are range-partitioned by both, so the rows of a hot key spread over many tasks;
     parts of one key are linked over the partition borders.
 
     ``alike`` tells from the further columns of rows, given for the left and the right rows of pairs, which pairs of one key may be
-    wanted; ids are then joined over such pairs alone. All ids are joined of a key with more than ``checked`` of
+    wanted; ids are then joined over such pairs alone. ``shared`` tells from a key how many keys two ids must share to be joined, the least
+    such number of the keys they do share. All ids are joined of a key with more than ``checked`` (at most ``_COUNTED`` with ``shared``) of
     them in a partition, or that may run over its borders: more than asked for, never less.
     """
     n = max(2, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     ordered = rows.repartitionByRange(n, "key", "id").sortWithinPartitions("key", "id")
-    found = scratch.keep(ordered.mapInArrow(_key_components(alike, checked if alike else 1), ", ".join(f"{name} long" for name in _LINK_FIELDS)))
+    checked = min(checked, _COUNTED) if shared else checked if alike else 1
+    found = scratch.keep(ordered.mapInArrow(_key_components(alike, checked, shared), ", ".join(f"{name} long" for name in _LINK_FIELDS)))
     ends = found.where("part IS NOT NULL")
     order = Window.orderBy("part")  # one row per partition
     over = (ends.withColumns({"before_key": F.lag("tail_key").over(order), "before_id": F.lag("tail_id").over(order)})
             .where("before_key = head_key AND before_id <> head_id").select(F.col("head_id").alias("a"), F.col("before_id").alias("b")))
-    return found.where("part IS NULL").select("a", "b").unionByName(over)
+    links = found.where("part IS NULL AND shared IS NULL").select("a", "b").unionByName(over)
+    if shared:
+        pairs = found.where("shared IS NOT NULL").groupBy("a", "b").agg(F.count("*").alias("n"), F.min("shared").alias("shared"))
+        links = links.unionByName(pairs.where("n >= shared").select("a", "b"))
+    return links
 
 
 def _local_components(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

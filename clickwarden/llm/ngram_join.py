@@ -1,8 +1,8 @@
 """Jaccard join of documents on word n-grams by signature trees.
 
 Equal sets are one class. A set is cut by hash ranges into more segments than two sets of the
-threshold can differ in, so linked classes agree on a whole segment: classes that share one, and
-theirs, form a cluster. In each cluster a signature tree excludes pairs; the links of the rest are
+threshold can differ in, so linked classes agree on several whole segments and, without those of fewest
+elements and some frequent ones, still share a number of keys: classes that share as many, and theirs, form a cluster. In each cluster a signature tree excludes pairs; the links of the rest are
 counted, listed or just closed to components. All counts in the bound are exact, no link is lost.
 """
 
@@ -20,12 +20,25 @@ from clickwarden.llm.grouping import blocks_of_clusters, connected_components, k
 from clickwarden.llm.scratch import Scratch
 from clickwarden.llm.signature_tree import tree_links
 
+
 def agreements(differ: int) -> int:
-    """Segments on which two linked sets agree at least; a set with fewer empty ones needs no rows for them.
+    """Segments on which two linked sets agree at least, since there are so many more than elements can differ."""
+    return 2 * shared_keys(differ) + 3 + differ // 3
+
 
-    More where segments are many, so that sets with so many empty ones stay rare.
+def shared_keys(differ: int) -> int:
+    """Keys that two linked sets have in common at least, although each leaves out ``agreements`` less as many.
+
+    It leaves out those of the segments of fewest elements, empty ones and those of one element, which unlike sets share by a passage or two, and
+    then as many again: frequent ones first. So many empty segments that some are left are rare.
     """
-    return 3 + differ // 12
+    return min(3 + differ // 10, _SHARED)
+
+
+#: The end of a key: the number of keys to share, and whether the number of its size class is odd.
+_SHARED, _ODD = 63, 64
+#: One in so many sets tells which keys are frequent: those that so many of the told ones have.
+_TOLD, _FREQUENT, _MOST_FREQUENT = 16, 4, 1 << 17
 
 
 _OTHER = np.uint64(0x2127599BF4325C37)
@@ -47,7 +60,10 @@ def differences(most: int, percent: int) -> int:
 
 
 def segment_keys(elements: np.ndarray, percent: int, classes: np.ndarray) -> np.ndarray:
-    """Keys of a sorted set: one per segment, for its own size class as the upper one and for the next."""
+    """Keys of a sorted set: for its own size class as the upper one and for the next, of all segments but the weakest, in their order.
+
+    The segments on which two linked sets agree have one order in both, so those that one of them leaves out are its first ones.
+    """
     own = int(np.searchsorted(classes, len(elements), side="right")) - 1
     spread = mix(elements.copy())
     keys = []
@@ -59,14 +75,51 @@ def segment_keys(elements: np.ndarray, percent: int, classes: np.ndarray) -> np.
         segments = np.uint64(differ + agreements(differ))
         segment = ((elements >> np.uint64(32)) * segments) >> np.uint64(32)
         starts = np.flatnonzero(np.concatenate([[True], segment[1:] != segment[:-1]]))
-        sums, used = np.add.reduceat(spread, starts), segment[starts]
-        if int(segments) - len(used) >= agreements(differ):
-            blank = np.setdiff1d(np.arange(int(segments), dtype=np.uint64), used, assume_unique=True)
-            sums, used = np.concatenate([sums, np.zeros(len(blank), np.uint64)]), np.concatenate([used, blank])
-        keys.append(mix(sums + np.uint64(c * int(_CLASS_STEP) % (1 << 64)) + used * _SEGMENT_STEP))
+        sums, used, held = np.add.reduceat(spread, starts), segment[starts], np.diff(np.append(starts, len(elements)))
+        weak = agreements(differ) - 2 * shared_keys(differ)
+        blank = int(segments) - len(used)
+        if blank > weak:
+            none = np.setdiff1d(np.arange(int(segments), dtype=np.uint64), used, assume_unique=True)
+            sums, used, held = (np.concatenate([a, b]) for a, b in ((sums, np.zeros(blank, np.uint64)), (used, none), (held, np.zeros(blank, np.int64))))
+            blank = 0
+        own_keys = mix(sums + np.uint64(c * int(_CLASS_STEP) % (1 << 64)) + used * _SEGMENT_STEP)
+        own_keys = (own_keys & ~np.uint64(_SHARED | _ODD)) | np.uint64(shared_keys(differ) + c % 2 * _ODD)
+        # by elements, then by key: an order that all sets have in common, in which empty segments come first
+        keys.append(own_keys[np.lexsort((own_keys, held))[weak - blank:]])
     return np.concatenate(keys) if keys else np.zeros(0, np.uint64)
 
 
+def without_frequent(keys: np.ndarray, borders: np.ndarray, frequent: np.ndarray) -> np.ndarray:
+    """Which keys of some sets are kept: in each size class all but as many as must be shared, of frequent keys (sorted) or else the first ones."""
+    number, row = np.arange(len(keys)), np.repeat(np.arange(len(borders) - 1), np.diff(borders))
+    odd = keys & np.int64(_ODD)
+    new = np.ones(len(keys), dtype=bool)
+    new[1:] = (row[1:] != row[:-1]) | (odd[1:] != odd[:-1])
+    start, group = np.flatnonzero(new), np.cumsum(new) - 1
+    hot = np.zeros(len(keys), dtype=bool)
+    if len(frequent):
+        hot = frequent[np.minimum(np.searchsorted(frequent, keys), len(frequent) - 1)] == keys
+    needed = keys & np.int64(_SHARED)
+    hot_so_far = np.concatenate([[0], np.cumsum(hot)])
+    rank_hot = hot_so_far[:-1] - hot_so_far[start][group]
+    all_hot = (hot_so_far[np.append(start[1:], len(keys))] - hot_so_far[start])[group]
+    rank_other = number - start[group] - rank_hot
+    return np.where(hot, rank_hot >= needed, rank_other >= needed - np.minimum(all_hot, needed))
+
+
+def _kept_keys(frequent):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 1000):
+                lists, ids = batch.column("keys")[lo: lo + 1000], batch.column("id")[lo: lo + 1000].to_numpy()
+                borders = lists.offsets.to_numpy().astype(np.int64)
+                keys = lists.values.to_numpy()[borders[0]: borders[-1]]
+                kept = without_frequent(keys, borders - borders[0], frequent.value)
+                yield pa.record_batch([pa.array(keys[kept]), pa.array(np.repeat(ids, np.diff(borders))[kept])], names=["key", "id"])
+
+    return run
+
+
 def shingle_sets(column: pa.Array, n: int):
     """Sorted distinct hashes of the word n-grams of every row, with the row's number."""
     for lo, hi in slices(column):
@@ -125,7 +178,12 @@ def _class_sets(docs: DataFrame, n: int, percent: int, scratch: Scratch) -> tupl
     filled = sketches.where("n_shingles > 0")
     classes = scratch.keep(filled.groupBy("n_shingles", "mark", "other").agg(F.min("doc_id").alias("class_id"))
                            .withColumn("id", F.xxhash64("n_shingles", "mark", "other")))
-    links = key_links(filled.select(F.explode("keys").alias("key"), F.xxhash64("n_shingles", "mark", "other").alias("id")), scratch)
+    keyed = filled.select("keys", F.xxhash64("n_shingles", "mark", "other").alias("id"))
+    told = keyed.where(F.pmod(F.xxhash64("id"), F.lit(_TOLD)) == 0).select(F.explode("keys").alias("key"), "id").distinct()
+    listed = told.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") >= _FREQUENT).orderBy(F.desc("n"), "key").limit(_MOST_FREQUENT)
+    frequent = docs.sparkSession.sparkContext.broadcast(np.sort(listed.select("key").toArrow().column("key").to_numpy()))
+    links = key_links(keyed.mapInArrow(_kept_keys(frequent), "key long, id long"), scratch, shared=lambda keys: keys & np.int64(_SHARED))
+    frequent.destroy()
     clusters = connected_components(links, scratch).select("id", F.col("root").alias("cluster"))
     members = classes.where("class_id IS NOT NULL").join(clusters, "id").select("cluster", F.col("n_shingles").alias("weight"), "id", "mark", "class_id")
     blocks = scratch.keep(blocks_of_clusters(members).select("block", "cluster", "id", "mark", F.col("class_id").alias("doc_id")))

@@ -6,6 +6,7 @@ import numpy as np
 
 from clickwarden.llm.grouping import UnionFind, key_links
 from clickwarden.llm.line_dedup import Lines, band_keys, line_bits, may_link
+from clickwarden.llm.ngram_join import _class_sets, differences, ngram_components, segment_keys, shared_keys, size_classes, without_frequent
 from clickwarden.llm.scratch import Scratch
 
 
@@ -93,3 +94,42 @@ def test_no_pair_at_the_threshold_is_denied():
         may = may_link(80)([bits[i], signed.size[i]], [bits[j], signed.size[j]])
         assert may[link].all() and link.sum() > 500
     assert may[~link].mean() < 0.7
+
+
+def test_linked_sets_share_as_many_keys_as_they_must():
+    rng = np.random.default_rng(1)
+    for percent in (80, 90):
+        classes = size_classes(percent, 1 << 40)
+        for size in [*range(4, 60, 3), 190, 400, 1500, 9000]:
+            for _ in range(5):
+                a = np.unique(rng.integers(0, 1 << 63, size, dtype=np.uint64) * np.uint64(2))
+                b = np.unique(np.concatenate([a[rng.permutation(len(a))[rng.integers(0, size) // 8:]], rng.integers(0, 1 << 63, rng.integers(0, size) // 8, dtype=np.uint64)]))
+                common = len(np.intersect1d(a, b))
+                if 100 * common < percent * (len(a) + len(b) - common):
+                    continue
+                keys = [segment_keys(x, percent, classes).view(np.int64) for x in (a, b)]
+                flat, borders = np.concatenate(keys), np.cumsum([0, *map(len, keys)])
+                for share in (0, 0.1, 0.6):
+                    frequent = np.sort(rng.choice(flat, int(share * len(flat))))
+                    kept = without_frequent(flat, borders, frequent)
+                    x, y = (set(flat[lo:hi][kept[lo:hi]].tolist()) for lo, hi in zip(borders, borders[1:]))
+                    upper = int(np.searchsorted(classes, max(len(a), len(b)), side="right"))
+                    if differences(int(classes[upper]) - 1, percent):
+                        both = [k & 63 for k in x & y]
+                        assert both and len(both) >= min(both) and min(both) >= min(shared_keys(0), 63)
+
+
+def test_texts_that_share_a_passage_form_no_cluster(spark):
+    rng = random.Random(5)
+    words = ["".join(rng.choices("abcdefghijklmnop", k=rng.randint(2, 9))) for _ in range(4000)]
+    passage = " ".join(rng.choices(words, k=24))
+    rows = []
+    for i in range(600):
+        own = rng.choices(words, k=rng.choice([60, 100, 150]))
+        rows.append((i, " ".join(own[:30] + passage.split() + own[30:])))
+    rows += [(1000 + i, rows[i][1] + " one more end") for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    sizes = [r["count"] for r in _class_sets(df, 5, 80, Scratch(spark, "sets"))[2].groupBy("cluster").count().collect()]
+    assert max(sizes) <= 10 and sum(sizes) < 200
+    got = {r.doc_id: r.component_id for r in ngram_components(df, 5, 80).collect()}
+    assert all(got[1000 + i] == i for i in range(40)) and len(set(got.values())) == 600
