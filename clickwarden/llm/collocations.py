@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from clickwarden.llm.arrays import SLICE_BYTES, Words, mix, slices, text_bytes
-from clickwarden.llm.hat_trie import ID, HatTrie, cut, merge, pack, prefix_counts, unpack
+from clickwarden.llm.hat_trie import ID, HatTrie, borders, columns, least, merge, pack_rows, pieces, prefix_counts, unpack
 from clickwarden.llm.scratch import Scratch
 
 BREAKS = np.zeros(256, dtype=bool)
@@ -42,6 +42,7 @@ class Settings:
     word_entries: int = 200_000  # distinct words that a task holds, and their bytes
     word_bytes: int = 1 << 25
     trie_entries: int = 300_000  # of a task before it spills
+    spills: int = 16  # that leave a task together
     range_windows: int = 1 << 20  # windows of one range
     most_ranges: int = 1 << 13
     sample: int = 64  # windows of each task that splitters are taken from
@@ -204,12 +205,17 @@ class _Ids:
 
 def _count_windows(ids, splitters, settings: Settings):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        langs, trie, cuts = _Langs(), HatTrie(), splitters.value
-
-        def spilled(left: int):
-            for number, piece in cut(trie.spill(left), cuts):
-                yield pa.record_batch([pa.array([number], pa.int32()), pa.array([piece[0][0]], pa.binary()),
-                                       pa.array([pack(piece, settings.longest)], pa.binary())], names=["range", "first", "packed"])
+        langs, trie, cuts, runs = _Langs(), HatTrie(), splitters.value, []
+
+        def spilled(left: int, together: int):
+            if run := trie.spill(left):
+                runs.append((*columns(run, settings.longest), borders(run, cuts)))
+            if len(runs) >= together:
+                # a run alone has few strings in each of many ranges
+                for number, ids_of, counts in pieces(runs) if runs else ():
+                    yield pa.record_batch([pa.array([number], pa.int32()), pa.array([least(ids_of)], pa.binary()),
+                                           pa.array([pack_rows(ids_of, counts)], pa.binary())], names=["range", "first", "packed"])
+                runs.clear()
 
         for batch in batches:
             for _, _, key, follows in _words(batch, langs):
@@ -221,17 +227,20 @@ def _count_windows(ids, splitters, settings: Settings):
                 ends = (starts + sizes[starts]) * ID
                 trie.add(Counter([raw[a:b] for a, b in zip((starts * ID).tolist(), ends.tolist())]))
                 if trie.entries > settings.trie_entries:
-                    yield from spilled(settings.trie_entries // 2)
-        yield from spilled(0)
+                    yield from spilled(settings.trie_entries // 2, settings.spills)
+        yield from spilled(0, 0)
 
     return count
 
 
 def _merge_ranges(settings: Settings):
-    """Merge the sorted pieces of each range: what lies before the next piece's first string is complete."""
+    """Merge the pieces of each range: what lies before the next piece's first string is complete.
+
+    Where little is, since many pieces begin with the range, the next merge waits until as much again has come.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, held, n = None, [], 0
+        current, held, n, most = None, [], 0, settings.merge_windows
 
         def counted(ids, counts):
             out = prefix_counts(ids, counts, settings.least)
@@ -247,8 +256,8 @@ def _merge_ranges(settings: Settings):
                 if number.as_py() != current:
                     if held:
                         yield from counted(*merged())
-                    current, held, n = number.as_py(), [], 0
-                elif n > settings.merge_windows:
+                    current, held, n, most = number.as_py(), [], 0, settings.merge_windows
+                elif n > most:
                     ids, counts = merged()
                     bound = np.frombuffer(first.as_py().ljust(ID * settings.longest, b"\0"), ">u8").tolist()
                     lo, hi = 0, len(ids)
@@ -258,6 +267,7 @@ def _merge_ranges(settings: Settings):
                     if lo:
                         yield from counted(ids[:lo], counts[:lo])
                     held, n = [(ids[lo:], counts[lo:])], len(ids) - lo
+                    most = max(settings.merge_windows, 2 * n)
                 held.append(unpack(packed.as_py(), settings.longest))
                 n += len(held[-1][0])
         if held:
@@ -304,7 +314,7 @@ def collocations(docs: DataFrame, text_column: str = "text", lang_column: str =
     ranges = int(min(max(1, -(-total // s.range_windows)), s.most_ranges))
     sampled = counted.where("window IS NOT NULL").orderBy("key").limit(16 * s.most_ranges).select("window").toArrow().column("window")
     sampled = np.frombuffer(b"".join(sampled.to_pylist()), np.uint64)
-    windows = sorted(row.tobytes() for row in ids.of(sampled).astype(">u8").reshape(-1, s.longest))
+    windows = sorted(row.tobytes() for row in ids.of(sampled).astype(">u8").reshape(-1, s.longest) if row[0])  # none begins with a word too rare
     splitters = sorted({windows[len(windows) * i // ranges] for i in range(1, ranges)}) if windows else []
 
     sent_ids, sent_splitters = spark.sparkContext.broadcast(ids), spark.sparkContext.broadcast(splitters)

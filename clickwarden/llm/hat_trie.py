@@ -78,22 +78,58 @@ def _collect(child: dict, prefix: bytes, out: list) -> None:
         out.extend((prefix + tail, n) for tail, n in child.items())
 
 
+def borders(run: list[tuple[bytes, int]], splitters: list[bytes]) -> list[int]:
+    """Where the ranges between splitters begin and end in a sorted run."""
+    return [0, *(bisect_left(run, (s,)) for s in splitters), len(run)]
+
+
 def cut(run: list[tuple[bytes, int]], splitters: list[bytes]) -> Iterator[tuple[int, list[tuple[bytes, int]]]]:
     """Pieces of a sorted run as (range between splitters, strings), none longer than ``PIECE``."""
-    borders = [0, *(bisect_left(run, (s,)) for s in splitters), len(run)]
-    for number, (lo, hi) in enumerate(zip(borders, borders[1:])):
-        for at in range(lo, hi, PIECE):
-            yield number, run[at: min(at + PIECE, hi)]
+    at = borders(run, splitters)
+    for number, (lo, hi) in enumerate(zip(at, at[1:])):
+        for start in range(lo, hi, PIECE):
+            yield number, run[start: min(start + PIECE, hi)]
+
+
+def columns(run: list[tuple[bytes, int]], words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids (rows padded with zeros) and counts of a run."""
+    keys, counts = zip(*run)
+    sizes = np.fromiter(map(len, keys), dtype=np.int64, count=len(keys)) // ID
+    ids = np.zeros((len(keys), words), dtype=np.uint64)
+    ids[np.arange(words) < sizes[:, None]] = np.frombuffer(b"".join(keys), dtype=">u8")
+    return ids, np.array(counts, dtype=np.int64)
+
+
+def pieces(runs: list[tuple[np.ndarray, np.ndarray, list[int]]]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(range, ids, counts): the strings that runs (ids, counts, borders) have in each range, together, not in order; long ones sorted and cut."""
+    for number in range(len(runs[0][2]) - 1):
+        own = [(ids[at[number]: at[number + 1]], counts[at[number]: at[number + 1]]) for ids, counts, at in runs if at[number] < at[number + 1]]
+        if not own:
+            continue
+        ids, counts = (np.concatenate(c) if len(own) > 1 else c[0] for c in zip(*own))
+        if len(ids) > PIECE:
+            ids, counts = merge(ids, counts)
+        for at in range(0, len(ids), PIECE):
+            yield number, ids[at: at + PIECE], counts[at: at + PIECE]
+
+
+def least(ids: np.ndarray) -> bytes:
+    """The first string in order."""
+    for j in range(ids.shape[1]):
+        ids = ids[ids[:, j] == ids[:, j].min()]
+    return ids[0][ids[0] != 0].astype(">u8").tobytes()
 
 
 def pack(piece: list[tuple[bytes, int]], words: int) -> bytes:
-    """A sorted piece with the ids that each string shares with the one before left out, compressed."""
-    keys, counts = zip(*piece)
-    place, sizes = np.arange(words), np.fromiter(map(len, keys), dtype=np.int64, count=len(keys)) // ID
+    """A piece of a run, packed."""
+    return pack_rows(*columns(piece, words))
+
+
+def pack_rows(ids: np.ndarray, counts: np.ndarray) -> bytes:
+    """Strings with the ids that each string shares with the one before left out, compressed."""
+    place, sizes = np.arange(ids.shape[1]), (ids != 0).sum(axis=1)
     given = place < sizes[:, None]
-    ids = np.zeros((len(keys), words), dtype=np.uint64)
-    ids[given] = np.frombuffer(b"".join(keys), dtype=">u8")
-    counts, sizes = np.array(counts, dtype=np.uint64), sizes.astype(np.uint8)
+    counts, sizes = counts.astype(np.uint64), sizes.astype(np.uint8)
     shared = np.zeros(len(ids), dtype=np.uint8)
     shared[1:] = np.cumprod(ids[1:] == ids[:-1], axis=1).sum(axis=1)
     np.minimum(shared, sizes, out=shared)

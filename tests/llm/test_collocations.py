@@ -5,6 +5,7 @@ import random
 import re
 from collections import Counter
 from dataclasses import replace
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
@@ -132,3 +133,46 @@ def test_words_are_counted_without_a_step_of_python_for_each():
         assert sum(entry.callcount for entry in profile.getstats() if "'decode'" in str(entry.code)) < 5_000
     broken = pa.array([b"ok", b"\xff"], pa.binary())
     assert co._decoded(broken).to_pylist() == ["ok", "\ufffd"]
+
+
+def test_pieces_that_begin_with_the_range_are_merged_few_times(monkeypatch):
+    rng, sizes = np.random.default_rng(3), []
+    merge = hat_trie.merge
+    monkeypatch.setattr(co, "merge", lambda ids, counts: sizes.append(len(ids)) or merge(ids, counts))
+    total, packed = Counter(), []
+    for _ in range(200):
+        ids = np.unique(np.concatenate([[[1, 1, 1, 1, 1]], rng.integers(1, 9, (40, 5))]).astype(np.uint64), axis=0)
+        packed.append(hat_trie.pack([(row.astype(">u8").tobytes(), 1) for row in ids], 5))
+        total.update(row[:2].tobytes() for row in ids.astype(">u8"))
+    first = np.ones(5, ">u8").tobytes()
+    batch = pa.record_batch([pa.array([0] * 200, pa.int32()), pa.array([first] * 200, pa.binary()), pa.array(packed, pa.binary())], names=["range", "first", "packed"])
+    got = Counter()
+    for out in co._merge_ranges(replace(SMALL, merge_windows=100))(iter([batch])):
+        for key, n in zip(out.column("key").to_pylist(), out.column("n").to_pylist()):
+            got.update({key: n} if len(key) == 16 else {})
+    assert got == {k: n for k, n in total.items() if n >= SMALL.least}
+    # every string is in a merge a few times, not in one for every piece
+    assert sum(sizes) < 5 * sum(total.values())
+
+
+def test_spills_leave_together(monkeypatch):
+    rng, words = random.Random(9), [f"w{i}" for i in range(60)]
+    texts = [" ".join(rng.choices(words, k=30)) for _ in range(300)]
+    batch = pa.record_batch([pa.array(texts), pa.array(["en"] * 300)], names=["text", "lang"])
+    # a batch of ten rows each, so that the trie spills often
+    batches = [batch.slice(at, 10) for at in range(0, 300, 10)]
+    keys = np.unique(np.concatenate([key for b in batches for _, _, key, _ in co._words(b, co._Langs())]))
+    ids = co._Ids(keys, True)
+    splitters = [np.array([i, 0, 0, 0, 0], ">u8").tobytes() for i in range(2, 60)]
+    rows = {}
+    for spills in (1, 16):
+        run = co._count_windows(SimpleNamespace(value=ids), SimpleNamespace(value=splitters), replace(SMALL, trie_entries=300, spills=spills))
+        out = list(run(iter(batches)))
+        counted = Counter()
+        for r in out:
+            window, n = hat_trie.unpack(r.column("packed")[0].as_py(), 5)
+            assert r.column("first")[0].as_py() == min(w[w != 0].astype(">u8").tobytes() for w in window)
+            for w, k in zip(window, n.tolist()):
+                counted[w.tobytes()] += k
+        rows[spills] = (len(out), counted)
+    assert rows[1][1] == rows[16][1] and rows[16][0] < rows[1][0] / 5
