@@ -52,7 +52,7 @@ _CHECKED = 1 << 12
 #: Ids of a key whose pairs are looked at together with those of other keys.
 _FEW_IDS = 16
 #: Ids of one key that give a row for each pair; all ids of a key with more are joined.
-_COUNTED = 1 << 8
+_COUNTED = 1 << 6
 
 
 def _pairs_of_runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -95,12 +95,16 @@ def _key_components(alike: Callable[[list, list], np.ndarray] | None, checked: i
             return starts, np.diff(np.append(starts, len(keys)))
 
         def counted(keys: np.ndarray, ids: np.ndarray) -> Iterator[pa.RecordBatch]:
-            """All pairs of ids of whole runs, with the number of keys that they need."""
+            """The pairs of ids of whole runs that are not joined yet, with the number of keys that they need."""
             _, sizes = runs(keys)
             long, few = (np.repeat(x, sizes) for x in (sizes > checked, (sizes > 1) & (sizes <= checked)))
             chained(keys[long], ids[long])
             keys, ids = keys[few], ids[few]
+            own, at = np.unique(ids, return_inverse=True)
+            roots = np.array([forest.find(x) if x in forest else x for x in own.tolist()], dtype=np.int64)[at]
             left, right = _pairs_of_runs(keys)
+            apart = roots[left] != roots[right]
+            left, right = left[apart], right[apart]
             for at in range(0, len(left), 1 << 16):
                 a, b = left[at: at + (1 << 16)], right[at: at + (1 << 16)]
                 yield _link_rows(ids[a], ids[b], shared(keys[a]))

@@ -38,7 +38,7 @@ def shared_keys(differ: int) -> int:
 #: The end of a key: the number of keys to share, and whether the number of its size class is odd.
 _SHARED, _ODD = 63, 64
 #: One in so many sets tells which keys are frequent: those that so many of the told ones have.
-_TOLD, _FREQUENT, _MOST_FREQUENT = 16, 4, 1 << 17
+_TOLD, _FREQUENT, _MOST_FREQUENT = 16, 2, 1 << 17
 
 
 _OTHER = np.uint64(0x2127599BF4325C37)
